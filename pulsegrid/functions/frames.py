@@ -41,11 +41,11 @@ def count_if(cond: Column) -> Column:
 def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts in `bins` equal bins over [min, max] of the non-null values; empty bins are left out.
 
-    The two bounds are scalar subqueries, so nothing is joined; one value alone fills bin 1.
+    The bounds are one scalar subquery, so nothing is joined; one value alone fills bin 1.
     """
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    low = values.agg(F.min("v").alias("low")).scalar()
-    high = values.agg(F.max("v").alias("high")).scalar()
+    bounds = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
+    low, high = bounds["low"], bounds["high"]
     width = (high - low) / bins
     index = F.when(high > low, F.least(F.width_bucket(F.col("v"), low, high, F.lit(bins)), F.lit(bins)))
     binned = values.select(F.coalesce(index, F.lit(1)).cast("bigint").alias("bin"))

@@ -27,6 +27,11 @@ def _field(df: DataFrame, key: str, column: str) -> tuple[Column | None, Column,
     return source, F.try_variant_get(source, f"$.{key}", "string"), None
 
 
+def _json(variant: Column, key: str) -> Column:
+    """The field as JSON: text stays quoted, so that "12" and 12 differ after one parse."""
+    return F.to_json(F.try_variant_get(variant, f"$.{key}", "variant"))
+
+
 def text(df: DataFrame, key: str, column: str = "metadata") -> Column:
     return _field(df, key, column)[1].cast("string")
 
@@ -41,8 +46,8 @@ def numeric(df: DataFrame, key: str, column: str = "metadata") -> Column:
         if isinstance(dtype, T.BooleanType):
             return plain.cast("int").cast("double")
         return plain.cast("double") if isinstance(dtype, T.NumericType) else F.lit(None).cast("double")
-    kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{key}", "variant"))
-    return F.when(kind != "STRING", F.try_variant_get(variant, f"$.{key}", "double"))
+    found = _json(variant, key)
+    return F.coalesce(found.try_cast("double"), F.when(found == "true", F.lit(1.0)))
 
 
 def whole_number(df: DataFrame, key: str, column: str = "metadata") -> Column:
@@ -63,11 +68,6 @@ def truthy(df: DataFrame, key: str, column: str = "metadata") -> Column:
         else:
             found = plain.cast("string") != ""
         return F.coalesce(found, F.lit(False))
-    path = f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    found = (F.when(kind == "BOOLEAN", F.try_variant_get(variant, path, "boolean"))
-             .when(kind == "STRING", F.try_variant_get(variant, path, "string") != "")
-             .when(kind.isin("VOID", "OBJECT<>", "ARRAY<VOID>"), F.lit(False))
-             .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
-             .otherwise(F.try_variant_get(variant, path, "double") != 0))
-    return F.coalesce(found, F.lit(False))
+    found = _json(variant, key)
+    empty = found.isin("false", "null", '""', "{}", "[]")
+    return F.coalesce(~empty & F.coalesce(found.try_cast("double") != 0, F.lit(True)), F.lit(False))

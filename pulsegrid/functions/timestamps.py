@@ -1,13 +1,23 @@
-"""UTC and local time. Instants are kept as TIMESTAMP_NTZ in UTC, so that results do not
-depend on the session time zone; local time is derived from them once."""
+"""UTC and local time.
+
+Instants are kept as TIMESTAMP_NTZ in UTC, and local time is derived from them once. Where the
+session time zone is UTC (as `session.SETTINGS` has it) the conversions go through TIMESTAMP,
+where casts are free and a zone shift costs a fraction of convert_timezone. In any other session
+zone they use expressions that do not depend on it. The results are the same.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OFFSET = r"(?i)(Z|[+-]\d{2}(:?\d{2})?)$"
+_UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
+
+
+def _utc_session() -> bool:
+    return SparkSession.active().conf.get("spark.sql.session.timeZone") in _UTC_NAMES
 
 
 def _epoch() -> Column:
@@ -16,12 +26,21 @@ def _epoch() -> Column:
 
 def from_micros(us: Column) -> Column:
     """UTC wall clock of microseconds since the epoch."""
+    if _utc_session():
+        return F.timestamp_micros(us).cast("timestamp_ntz")
     return _epoch() + F.make_dt_interval(secs=(us.cast("decimal(20,0)") / 1000000).cast("decimal(18,6)"))
 
 
+def micros(utc: Column) -> Column:
+    """Microseconds since the epoch of a UTC wall clock."""
+    if _utc_session():
+        return F.unix_micros(utc.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", _epoch(), utc)
+
+
 def instant_to_utc(instant: Column) -> Column:
-    """TIMESTAMP (an instant) to its UTC wall clock, whatever the session time zone is."""
-    return from_micros(F.unix_micros(instant))
+    """TIMESTAMP (an instant) to its UTC wall clock."""
+    return instant.cast("timestamp_ntz") if _utc_session() else from_micros(F.unix_micros(instant))
 
 
 def to_utc(df: DataFrame, name: str) -> Column:
@@ -39,14 +58,12 @@ def to_utc(df: DataFrame, name: str) -> Column:
 
 
 def to_local(utc: Column, tz: str) -> Column:
+    """Wall clock in `tz` of a UTC wall clock."""
+    if _utc_session():
+        return F.from_utc_timestamp(utc.cast("timestamp"), tz).cast("timestamp_ntz")
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def bucket(ts: Column, seconds: int) -> Column:
     """Start of the epoch-aligned tumbling bucket that holds `ts`."""
     return F.window(ts, f"{int(seconds)} seconds")["start"]
-
-
-def micros(utc: Column) -> Column:
-    """Microseconds since the epoch of a UTC wall clock."""
-    return F.timestamp_diff("MICROSECOND", _epoch(), utc)

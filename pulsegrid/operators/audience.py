@@ -14,7 +14,7 @@ from ..functions.frames import count_if, fill_spine, fixed_list, top, top_per, w
 from ..functions.numbers import half_even, percent, ratio
 from ..functions.timestamps import bucket, to_local
 from ..functions.wallets import short_wallet
-from .identity import enrich_identity
+from .identity import enrich_identity, enrich_top
 from .normalize import is_real_user
 
 WALLET = "wallet_address"
@@ -79,7 +79,7 @@ def user_activity(ev: DataFrame, identity: DataFrame) -> DataFrame:
 
 
 def most_active_users(ev: DataFrame, identity: DataFrame, *, k: int = 20) -> DataFrame:
-    users = enrich_identity(top(_activity(ev), k, "events", WALLET), identity)
+    users = enrich_top(top(_activity(ev), k, "events", WALLET), identity)
     return users.withColumn("wallet_short", short_wallet(F.col(WALLET))).orderBy(F.desc("events"), WALLET)
 
 
@@ -205,7 +205,7 @@ def time_spent_leaderboard(ev: DataFrame, identity: DataFrame, *, k: int = 20,
                 .agg(half_even(F.sum("duration_ms") / 60000, digits).alias("total_time_min"),
                      F.count("session_id").alias("sessions"),
                      half_even(F.avg("duration_ms") / 60000, digits).alias("avg_session_min")))
-    best = enrich_identity(top(per_user, k, "total_time_min", WALLET), identity)
+    best = enrich_top(top(per_user, k, "total_time_min", WALLET), identity)
     return (best.withColumn("wallet_short", short_wallet(F.col(WALLET)))
             .orderBy(F.desc("total_time_min"), WALLET))
 
@@ -220,11 +220,12 @@ def user_list(ev: DataFrame, identity: DataFrame) -> DataFrame:
 def user_profile(ev: DataFrame, identity: DataFrame, wallet: str) -> DataFrame:
     """One user: identity, events, active days, minutes in the app."""
     one = ev.where(F.col(WALLET) == wallet)
-    per_day = (one.withColumn("_ms", _timed_session(one)).groupBy("date")
+    per_day = (one.withColumn("_ms", _timed_session(one)).groupBy(WALLET, "date")
                .agg(F.count("*").alias("events"), F.sum("_ms").alias("ms")))
-    facts = per_day.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.count("date").alias("days_active"),
-                        (F.coalesce(F.sum("ms"), F.lit(0.0)) / 60000).alias("total_min"))
-    return enrich_identity(facts.select(F.lit(wallet).alias(WALLET), "*"), identity)
+    facts = per_day.groupBy(WALLET).agg(
+        F.sum("events").alias("events"), F.count("date").alias("days_active"),
+        (F.coalesce(F.sum("ms"), F.lit(0.0)) / 60000).alias("total_min"))
+    return enrich_top(facts, identity)
 
 
 def user_event_breakdown(ev: DataFrame, wallet: str, *, k: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -76,15 +76,12 @@ def login_badge(login_type: Column) -> Column:
     return badge.otherwise(NO_LOGIN_BADGE)
 
 
-def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
-    """Adds `user_label`, `user_contact` and `login_type` by wallet, case-insensitively.
+def _people(identity: DataFrame) -> DataFrame:
+    return identity.select(F.col("wallet").alias("_wallet"), F.col("label").alias("_label"),
+                           F.col("contact").alias("_contact"), F.col("login_type").alias("_login"))
 
-    No join hint: the identity table grows with the users, so the engine broadcasts it only when
-    its measured size allows, and otherwise shuffles both sides by wallet.
-    """
-    people = identity.select(F.col("wallet").alias("_wallet"), F.col("label").alias("_label"),
-                             F.col("contact").alias("_contact"), F.col("login_type").alias("_login"))
-    joined = df.join(people, F.lower(F.col(wallet_col)) == F.col("_wallet"), "left")
+
+def _with_labels(joined: DataFrame, wallet_col: str) -> DataFrame:
     return joined.withColumns({
         "user_label": F.coalesce(F.when(F.length("_label") > 0, F.col("_label")),
                                  short_wallet(F.col(wallet_col))),
@@ -93,6 +90,36 @@ def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "walle
     }).drop("_wallet", "_label", "_contact", "_login")
 
 
+def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
+    """Adds `user_label`, `user_contact` and `login_type` by wallet, case-insensitively.
+
+    No join hint: the identity table grows with the users, so the engine broadcasts it only when
+    its measured size allows, and otherwise shuffles both sides by wallet.
+    """
+    joined = df.join(_people(identity), F.lower(F.col(wallet_col)) == F.col("_wallet"), "left")
+    return _with_labels(joined, wallet_col)
+
+
+def enrich_top(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
+    """enrich_identity for a top-k list.
+
+    The list has at most k rows, so it is the side that is broadcast: the identity table is
+    streamed past it and neither shuffled nor sorted. An outer join cannot keep the broadcast
+    side's rows, so the list is added once more without identity and the two are folded by row.
+    Both uses of the list read the same shuffle, so it is computed once.
+    """
+    columns = df.columns
+    rows = df.withColumn("_row", F.row_number().over(Window.orderBy(*columns)))
+    columns = rows.columns
+    known = (_people(identity).join(F.broadcast(rows), F.col("_wallet") == F.lower(F.col(wallet_col)))
+             .select(*columns, "_label", "_contact", "_login"))
+    none = F.lit(None).cast("string")
+    plain = rows.select(*columns, none.alias("_label"), none.alias("_contact"), none.alias("_login"))
+    folded = (plain.unionByName(known).groupBy(*columns)
+              .agg(*[F.max(c).alias(c) for c in ("_label", "_contact", "_login")]))
+    return _with_labels(folded, wallet_col).drop("_row")
+
+
 def matched_users(ev: DataFrame, identity: DataFrame) -> DataFrame:
     """Users with a known identity, all users, and the share."""
     wallets = ev.where(F.col("wallet_address").isNotNull()).select("wallet_address").distinct()

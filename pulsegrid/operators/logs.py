@@ -16,18 +16,22 @@ from ..functions.wallets import short_token
 
 
 def _capture(text: Column, pattern: str, group: int = 1) -> Column:
-    """A captured group; null where the pattern does not match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """A captured group of the first match; null where the pattern does not match."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def _captured_int(text: Column, pattern: str, dtype: str = "int") -> Column:
+    """A captured whole number; no match gives '', which is no number and so null."""
+    return F.regexp_extract(text, pattern, 1).try_cast(dtype)
 
 
 def priority(message: Column) -> Column:
-    return _capture(message, C.PRIORITY_PATTERN).try_cast("int")
+    return _captured_int(message, C.PRIORITY_PATTERN)
 
 
 def body(message: Column) -> Column:
     """The text after the header; null where the header has another form."""
-    matched = message.rlike(C.LINE_PATTERN)
-    return F.when(matched, F.regexp_extract(message, C.LINE_PATTERN, 2))
+    return _capture(message, C.LINE_PATTERN, 2)
 
 
 def parse_syslog(logs: DataFrame) -> DataFrame:
@@ -41,11 +45,11 @@ def parse_syslog(logs: DataFrame) -> DataFrame:
     })
     line = F.col("body")
     parsed = parsed.withColumns({
-        "status": _capture(line, C.STATUS_PATTERN).try_cast("int"),
+        "status": _captured_int(line, C.STATUS_PATTERN),
         "path": _capture(line, C.PATH_PATTERN),
         "time": _capture(line, C.TIME_PATTERN),
         "method": _capture(line, C.METHOD_PATTERN),
-        "latency_ms": _capture(line, C.LATENCY_PATTERN).try_cast("bigint"),
+        "latency_ms": _captured_int(line, C.LATENCY_PATTERN, "bigint"),
     })
     path = F.col("path")
     return parsed.withColumns({
@@ -63,6 +67,12 @@ def _per_hour(logs: DataFrame) -> DataFrame:
     return logs.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("errors"))
 
 
+def _newest(logs: DataFrame, k: int) -> DataFrame:
+    """The k latest lines. The k rows are one partition already; coalesce(1) keeps what is
+    computed on them from being moved below the limit, which would turn the top-k into a sort."""
+    return logs.select("ts", "message").orderBy(F.desc("ts"), "message").limit(k).coalesce(1)
+
+
 def errors_by_service(logs: DataFrame, *, k: int = 15) -> DataFrame:
     counts = (_errors(logs).groupBy(_capture(F.col("message"), C.SERVICE_PATTERN).alias("service"))
               .agg(F.count("*").alias("errors")))
@@ -113,7 +123,7 @@ def top_error_messages(logs: DataFrame, *, k: int = 25, each: int = 15) -> DataF
 
 
 def recent_errors(logs: DataFrame, *, k: int = 30) -> DataFrame:
-    newest = _errors(logs).select("ts", "message").orderBy(F.desc("ts"), "message").limit(k)
+    newest = _newest(_errors(logs), k)
     parsed = parse_syslog(newest)
     matched = F.col("body").isNotNull()
     return (parsed.orderBy(F.desc("ts"), "message")
@@ -132,7 +142,7 @@ def keyword_errors_total(logs: DataFrame) -> DataFrame:
 def _swap_failures(logs: DataFrame) -> DataFrame:
     text = F.col("message")
     marked = logs.where(text.contains(C.SWAP_SERVICE_MARK) & text.contains(C.HTTP_MARK))
-    return marked.where(_capture(body(text), C.STATUS_PATTERN).try_cast("int") >= 400)
+    return marked.where(_captured_int(body(text), C.STATUS_PATTERN) >= 400)
 
 
 def swap_http_errors(logs: DataFrame, *, k: int = 20) -> DataFrame:
@@ -150,7 +160,7 @@ def swap_errors_per_hour(logs: DataFrame) -> DataFrame:
 
 
 def swap_recent_failures(logs: DataFrame, *, k: int = 25) -> DataFrame:
-    newest = _swap_failures(logs).select("ts", "message").orderBy(F.desc("ts"), "message").limit(k)
+    newest = _newest(_swap_failures(logs), k)
     return (parse_syslog(newest).orderBy(F.desc("ts"), "message")
             .select("time", "status", "method", "endpoint", "latency_ms",
                     short_token(F.col("in_mint")).alias("in_mint"), short_token(F.col("out_mint")).alias("out_mint")))
@@ -187,4 +197,4 @@ def log_search(logs: DataFrame, *, service: str | None = None, level: str | None
     for pattern in (service, C.LEVEL_PATTERNS[level] if level else None, text):
         if pattern:
             logs = logs.where(message.rlike(pattern))
-    return logs.select("ts", "message").orderBy(F.desc("ts"), "message").limit(k)
+    return _newest(logs, k)

@@ -11,7 +11,7 @@ from ..functions import metadata
 from ..functions.frames import count_if, equal_width_bins, top
 from ..functions.numbers import percent
 from ..functions.timestamps import from_micros, micros
-from .identity import enrich_identity
+from .identity import enrich_top
 from .normalize import is_real_user
 
 WALLET = "wallet_address"
@@ -98,11 +98,11 @@ def time_to_trade_stats(times: DataFrame) -> DataFrame:
     placed = per_second.select(
         "second", (F.sum("n").over(order) - F.col("n")).alias("below"), "n",
         F.floor(F.sum("n").over(Window.partitionBy()) / 2).alias("rank"))
-    home = placed.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
-    fine = (times.where(second == home.select("second").scalar()).groupBy("seconds").agg(F.count("*").alias("n")))
+    home = (placed.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+            .select(F.struct("second", (F.col("rank") - F.col("below")).alias("offset"))).scalar())
+    fine = times.where(second == home["second"]).groupBy("seconds").agg(F.count("*").alias("n"))
     fine_order = Window.orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
-    offset = home.select(F.col("rank") - F.col("below")).scalar()
-    median = (fine.withColumn("upto", F.sum("n").over(fine_order)).where(F.col("upto") > offset)
+    median = (fine.withColumn("upto", F.sum("n").over(fine_order)).where(F.col("upto") > home["offset"])
               .agg(F.min("seconds").alias("median")))
     return (times.agg(F.avg("seconds").alias("avg_seconds"), F.count("*").alias("conversions"))
             .select("avg_seconds", median.scalar().alias("median_seconds"), "conversions"))
@@ -122,4 +122,4 @@ def top_tapped_tickers(ev: DataFrame, *, k: int = 10) -> DataFrame:
 def top_tappers(ev: DataFrame, identity: DataFrame, *, k: int = 10) -> DataFrame:
     taps = ev.where((F.col("event") == NOTIFICATION_TAP) & F.col(WALLET).isNotNull())
     best = top(taps.groupBy(WALLET).agg(F.count("*").alias("taps")), k, "taps", WALLET)
-    return enrich_identity(best, identity).orderBy(F.desc("taps"), WALLET)
+    return enrich_top(best, identity).orderBy(F.desc("taps"), WALLET)

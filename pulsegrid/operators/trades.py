@@ -10,7 +10,7 @@ from ..functions.frames import equal_width_bins, fill_spine, fixed_list, top, wh
 from ..functions.numbers import half_even, percent, ratio, total
 from ..functions.wallets import short_wallet
 from .audience import day_name
-from .identity import enrich_identity
+from .identity import enrich_top
 
 WALLET = "wallet_address"
 VOLUME = "_volume_usd"
@@ -167,7 +167,7 @@ def top_traders_by_volume(tr: DataFrame, identity: DataFrame, *, k: int = 15,
                           digits: int | None = 0) -> DataFrame:
     per_wallet = (not_deposits(tr).where(F.col(WALLET).isNotNull()).groupBy(WALLET)
                   .agg(total(F.col(VOLUME)).alias("_exact"), F.count(VOLUME).alias("trades")))
-    best = enrich_identity(top(per_wallet, k, "_exact", WALLET), identity)
+    best = enrich_top(top(per_wallet, k, "_exact", WALLET), identity)
     return (best.withColumn("volume", half_even(F.col("_exact"), digits))
             .orderBy(F.desc("_exact"), WALLET)
             .select(WALLET, "volume", "trades", "user_label", "user_contact", "login_type"))
@@ -175,7 +175,7 @@ def top_traders_by_volume(tr: DataFrame, identity: DataFrame, *, k: int = 15,
 
 def top_traders_by_count(tr: DataFrame, identity: DataFrame, *, k: int = 15) -> DataFrame:
     counts = _count_by(not_deposits(tr), WALLET, WALLET, "trades")
-    return enrich_identity(top(counts, k, "trades", WALLET), identity).orderBy(F.desc("trades"), WALLET)
+    return enrich_top(top(counts, k, "trades", WALLET), identity).orderBy(F.desc("trades"), WALLET)
 
 
 def local_time_text(col: str = "ts_local") -> Column:
@@ -197,7 +197,7 @@ def _recent(df: DataFrame, identity: DataFrame, columns: list[str], k: int) -> D
     """The k latest rows with identity. Ties at the cut are settled by the shown columns."""
     order = [F.desc_nulls_last("ts"), F.asc_nulls_last(WALLET), *[F.asc_nulls_last(c) for c in columns]]
     latest = df.select("ts", "ts_local", WALLET, *columns).orderBy(*order).limit(k)
-    return (enrich_identity(latest, identity).orderBy(*order)
+    return (enrich_top(latest, identity).orderBy(*order)
             .select(local_time_text().alias("time"), "user_label", "login_type",
                     short_wallet(F.col(WALLET)).alias("wallet"), *columns))
 

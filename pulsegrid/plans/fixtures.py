@@ -75,30 +75,25 @@ METRICS = [
     C.METRIC_NETWORK_TX, C.METRIC_CDN_REQUESTS, C.METRIC_CDN_BYTES, C.METRIC_CDN_4XX, C.METRIC_CDN_5XX,
     C.METRIC_CDN_HIT_RATE,
 ]
-_VENUE_METRICS = [C.METRIC_ORDER_PLACE, C.METRIC_VENUE_READ, C.METRIC_VENUE_ERROR]
-_SERVICE_METRICS = METRICS[24:30]
-_CDN_METRICS = METRICS[30:]
+# Positions in the list above: which metrics carry which dimensions.
+_IS_SERVICE, _IS_CDN = "metric between 24 and 29", "metric >= 30"
 
-
-def _in(names: list[str]) -> str:
-    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
-
-
-_INDEX = f"(event_id * 11 + user_id) % {len(METRICS)}"
-_NAME = "case " + _INDEX + " " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(METRICS)) + " end"
+_POINT_METRIC = {
+    "ts": "ts", "value": "value", "event_id": "event_id", "user_id": "user_id",
+    "metric": f"(event_id * 11 + user_id) % {len(METRICS)}",
+}
 # One point per event. Dimension columns that are null are not part of the point's series.
 POINTS = {
     "ts": "ts",
     "value": "value",
-    "metric_name": _NAME,
-    "environment": f"case when {_NAME} in {_in(_SERVICE_METRICS + _CDN_METRICS)} then null "
-                   "when event_id % 13 = 0 then 'production' else 'development' end",
-    # Every seventh API point also carries a venue and so belongs to a finer series.
-    "venue": f"case when {_NAME} in {_in(_VENUE_METRICS)} or ({_NAME} = '{C.METRIC_API_REQUEST}' and event_id % 7 = 0) "
+    "metric_name": "case metric " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(METRICS)) + " end",
+    "environment": "case when metric >= 24 then null when event_id % 13 = 0 then 'production' else 'development' end",
+    # Every seventh API request point also carries a venue and so belongs to a finer series.
+    "venue": "case when metric in (4, 14, 15) or (metric = 1 and event_id % 7 = 0) "
              "then case user_id % 3 when 0 then 'hyperliquid' when 1 then 'lighter' else 'ostium' end end",
-    "service": f"case when {_NAME} in {_in(_SERVICE_METRICS)} then concat('svc-', cast(user_id % 5 as varchar(20))) end",
-    "distribution": f"case when {_NAME} in {_in(_CDN_METRICS)} then concat('E', cast(user_id % 2 as varchar(20))) end",
-    "region": f"case when {_NAME} in {_in(_CDN_METRICS)} then 'Global' end",
+    "service": f"case when {_IS_SERVICE} then concat('svc-', cast(user_id % 5 as varchar(20))) end",
+    "distribution": f"case when {_IS_CDN} then concat('E', cast(user_id % 2 as varchar(20))) end",
+    "region": f"case when {_IS_CDN} then 'Global' end",
 }
 _DIM_COLUMNS = {C.DIM_ENVIRONMENT: "environment", C.DIM_VENUE: "venue", C.DIM_SERVICE: "service",
                 C.DIM_DISTRIBUTION: "distribution", C.DIM_REGION: "region"}
@@ -171,7 +166,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_of(raw: DataFrame) -> DataFrame:
-    flat = raw.selectExpr(*_columns(POINTS))
+    flat = raw.selectExpr(*_columns(_POINT_METRIC)).selectExpr(*_columns(POINTS))
     pairs = F.array(*[F.struct(F.lit(key).alias("key"), F.col(name).alias("value")) for key, name in _DIM_COLUMNS.items()])
     dims = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
     return flat.select("ts", F.lit(None).cast("string").alias("namespace"), "metric_name", "value", dims.alias("dims"))
@@ -253,7 +248,7 @@ CTES = {
         SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ingest_order DESC) AS rn FROM (
             SELECT lower(own_wallet) AS wallet, * FROM people WHERE own_wallet IS NOT NULL
             UNION ALL SELECT lower(other_wallet) AS wallet, * FROM people WHERE other_wallet IS NOT NULL)) WHERE rn = 1""",
-    "points": _select(POINTS, "events"),
+    "points": _select(POINTS, "(" + _select(_POINT_METRIC, "events") + ")"),
     "logs_raw": _select(LOGS, "events"),
     "logs": r"""SELECT *, TRY_CAST(nullif(regexp_extract(body, '"statusCode":(\d+)', 1), '') AS INTEGER) AS sc,
         nullif(regexp_extract(body, '"method":"([^"]+)"', 1), '') AS method,
