@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,17 +32,20 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="pulsegrid-")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path for stream checkpoints and written tables.
 
     It lies in the shared folder that the cluster names in `spark.checkpoint.dir`. Only where
-    that is unset (tests on one machine) a local temporary folder is made and remembered.
+    that is unset and everything runs on one machine (tests), a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,0 +1,164 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import metadata
+from pulsegrid.functions.timestamps import from_micros, micros, to_local, to_utc
+from pulsegrid.functions.wallets import short_token, short_wallet
+from pulsegrid.operators import normalize as N
+from pulsegrid.operators import trades as T
+
+NY = "America/New_York"
+
+
+def test_timestamps_of_every_form_are_read_as_utc(frame, rows):
+    df = frame("timestamp string", [("2024-01-02T03:04:05",), ("2024-01-02 03:04:05.123456",), ("2024-01-02T03:04:05Z",),
+                                    ("2024-01-02T03:04:05+02:00",), ("2024-01-02",), ("rubbish",), (None,)])
+    got = [r["ts"] for r in rows(N.normalize_events(df))]
+    assert got == [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 123456),
+                   dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 1, 4, 5), dt.datetime(2024, 1, 2), None, None]
+
+
+def test_local_parts_and_weekday_conventions(frame, rows):
+    # Monday 03:00 UTC is Sunday evening in New York.
+    ev = rows(N.normalize_events(frame("timestamp string", [("2024-01-08T03:00:00",)])))[0]
+    assert (str(ev["date"]), ev["hour"], ev["day_of_week"]) == ("2024-01-07", 22, 0)
+    tr = rows(N.normalize_trades(frame("timestamp string, amount_usd double", [("2024-01-08T03:00:00", 1.0)])))[0]
+    assert (str(tr["trade_date"]), tr["hour"], tr["dow"]) == ("2024-01-07", 22, 6)
+
+
+def test_daylight_saving_change(frame, rows):
+    df = frame("timestamp string", [("2024-11-03T05:30:00",), ("2024-11-03T06:30:00",), ("2024-03-10T06:59:00",), ("2024-03-10T07:00:00",)])
+    assert [r["hour"] for r in rows(N.normalize_events(df))] == [1, 1, 1, 3]
+
+
+def test_session_zone_does_not_matter(spark, frame, rows):
+    df = frame("timestamp string", [("2024-11-03T05:30:00.25",), ("2024-11-03T06:30:00Z",), ("2024-07-01T00:00:00-03:00",)])
+    def read():
+        n = N.normalize_events(df)
+        return rows(n.select("ts", "ts_local", "date", "hour", micros(F.col("ts")).alias("us"),
+                             from_micros(micros(F.col("ts"))).alias("back")))
+    utc = read()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert read() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc[0]["us"] == 1730611800250000 and utc[0]["back"] == utc[0]["ts"]
+
+
+def test_timestamp_type_is_an_instant(spark, rows):
+    df = spark.sql("select timestamp '2024-01-02 03:04:05+05:00' as timestamp")
+    assert rows(df.select(to_utc(df, "timestamp").alias("t")))[0]["t"] == dt.datetime(2024, 1, 1, 22, 4, 5)
+
+
+def test_without_timestamp_column_stored_parts_are_used(frame, rows):
+    df = frame("date string, hour string, day_of_week string", [("2024-01-07", "22", "x"), ("bad", "7.0", "3")])
+    got = rows(N.normalize_events(df).select("date", "hour", "day_of_week", "ts"))
+    assert got == [{"date": dt.date(2024, 1, 7), "hour": 22, "day_of_week": None, "ts": None},
+                   {"date": None, "hour": 7, "day_of_week": 3, "ts": None}]
+
+
+def test_real_users_keeps_nulls(frame, rows):
+    df = frame("wallet_address string, platform string", [("0xa", "ios"), (None, "ios"), ("0xb", None), ("server", "ios"),
+                                                          ("unknown", "web"), ("system", "web"), ("", "web"), ("0xc", "server")])
+    assert [r["wallet_address"] for r in rows(N.real_users(df))] == ["0xa", None, "0xb"]
+
+
+TRADE = "type string, amount_usd string, leverage string, size string, price string, is_close boolean, category string, source string, venue string"
+
+
+@pytest.mark.parametrize("row, amount, volume", [
+    (("perps", "10", "5", "2", "3", False, None, None, None), 50.0, 50.0),
+    (("perps", "10", None, "2", "3", False, None, None, None), 10.0, 10.0),
+    (("perps", "10", "x", "2", "3", False, None, None, None), 10.0, 10.0),
+    (("perps", "10", "5", "2", "3", False, None, None, "Ostium"), 10.0, 10.0),
+    (("perps", "10", "5", "2", "3", False, "OSTIUM", None, None), 10.0, 10.0),
+    (("perps", "10", "5", "2", "3", False, None, "ostium", "other"), 10.0, 10.0),
+    (("perps", "10", "5", "-2", "3", True, None, None, None), 6.0, 12.0),
+    (("perps", "10", "5", "-2", None, True, None, None, None), 0.0, 0.0),
+    (("perps", "10", "5", None, "3", True, None, None, None), 0.0, 0.0),
+    (("perps", "10", "5", "-2", "3", True, None, None, "ostium"), 2.0, 4.0),
+    (("perps", "10", "5", "2", "3", None, None, None, None), 6.0, 12.0),
+    (("perps", None, "5", "2", "3", False, None, None, None), None, None),
+    (("swap", "10", "5", "2", "3", True, None, None, None), 10.0, 10.0),
+    (("deposit", "bad", "5", "2", "3", True, None, None, None), None, None),
+    ((None, "10", "5", "2", "3", True, None, None, None), 10.0, 10.0),
+])
+def test_perps_notional_truth_table(frame, rows, row, amount, volume):
+    got = rows(N.perps_notional(frame(TRADE, [row])))[0]
+    assert (got["amount_usd"], got["_volume_usd"]) == (amount, volume)
+
+
+def test_null_is_close_can_mean_open(frame, rows):
+    df = frame(TRADE, [("perps", "10", "5", "2", "3", None, None, None, None)])
+    assert rows(N.perps_notional(df, missing_is_close=False))[0]["_volume_usd"] == 50.0
+    assert rows(N.perps_notional(df, has_is_close=False))[0]["_volume_usd"] == 50.0
+
+
+def test_absent_columns(frame, rows):
+    # No is_close: all opens. No leverage: opens unchanged and no leverage known. No size/price: closes unchanged.
+    no_close = frame("type string, amount_usd double, leverage double", [("perps", 10.0, 5.0)])
+    assert rows(N.perps_notional(no_close))[0]["_volume_usd"] == 50.0
+    no_leverage = rows(N.perps_notional(frame("type string, amount_usd double", [("perps", 10.0)])))[0]
+    assert (no_leverage["_volume_usd"], no_leverage["leverage"]) == (10.0, None)
+    no_size = frame("type string, amount_usd double, is_close boolean", [("perps", 10.0, True)])
+    assert rows(N.perps_notional(no_size))[0]["_volume_usd"] == 20.0
+    assert "_volume_usd" not in N.perps_notional(frame("type string", [("perps",)])).columns
+    no_type = rows(N.normalize_trades(frame("amount_usd string, trade_date string", [("7", "2024-01-01")])))[0]
+    assert (no_type["_volume_usd"], str(no_type["trade_date"])) == (7.0, "2024-01-01")
+
+
+def test_filled_leverage_counts_in_later_results(frame, rows):
+    df = frame(TRADE, [("perps", "10", None, None, None, False, None, None, None), ("perps", "10", "3", None, None, False, None, None, None)])
+    assert [r["leverage"] for r in rows(N.normalize_trades(df))] == [1.0, 3.0]
+
+
+def test_three_trade_filters_stay_apart(frame):
+    df = frame("type string", [("swap",), ("perps",), ("deposit",), ("other",), (None,)])
+    assert T.swaps_and_perps(df).count() == 2
+    assert T.deposits(df).count() == 1
+    assert T.not_deposits(df).count() == 4
+
+
+def test_short_forms(frame, rows):
+    df = frame("w string", [(None,), ("",), ("1234567",), ("12345678",), ("0xABCDEF1234",), ("abcdefghijklm",)])
+    got = rows(df.select(short_wallet(F.col("w")).alias("s"), short_token(F.col("w")).alias("t"), short_token(F.col("w"), 10).alias("u")))
+    assert [g["s"] for g in got] == ["?", "?", "1234567", "1234...5678", "0xAB...1234", "abcd...jklm"]
+    assert [g["t"] for g in got][-2:] == ["0xABCDEF1234", "abcdef...jklm"]
+    assert [g["u"] for g in got][-2:] == ["0xABCD...1234", "abcdef...jklm"]
+
+
+META = ['{"a": 12}', '{"a": 12.5}', '{"a": "12"}', '{"a": true}', '{"a": false}', '{"a": null}', '{"a": ""}', '{"a": "no"}',
+        '{"a": 0}', '{"a": []}', '{"a": [1]}', '{"a": {}}', '{"a": {"b": 1}}', '{"b": 1}', '[1]', 'rubbish', None]
+
+
+def test_metadata_fields(frame, rows):
+    df = frame("metadata string", [(m,) for m in META])
+    got = rows(df.select(metadata.numeric(df, "a").alias("n"), metadata.truthy(df, "a").alias("t"), metadata.whole_number(df, "a").alias("w")))
+    n = len(META)
+    assert [g["n"] for g in got] == [12.0, 12.5, None, 1.0, None, None, None, None, 0.0] + [None] * (n - 9)
+    assert [g["t"] for g in got] == [True, True, True, True, False, False, False, True, False, False, True, False, True] + [False] * 4
+    assert [g["w"] for g in got][:4] == [12, 12, 12, 1] and set(g["w"] for g in got[4:]) == {0}
+
+
+def test_metadata_as_variant_map_or_struct(frame, rows):
+    df = frame("metadata string", [('{"a": 3, "s": "x"}',)])
+    variant = df.select(F.parse_json("metadata").alias("metadata"))
+    struct = df.select(F.from_json("metadata", "a double, s string").alias("metadata"))
+    text_map = df.select(F.from_json("metadata", "map<string,string>").alias("metadata"))
+    for d in (df, variant, struct):
+        assert rows(d.select(metadata.numeric(d, "a").alias("v")))[0]["v"] == 3.0
+    for d in (df, variant, struct, text_map):
+        got = rows(d.select(metadata.text(d, "s").alias("s"), metadata.truthy(d, "s").alias("t"), metadata.truthy(d, "zz").alias("z"),
+                            metadata.whole_number(d, "a").alias("w")))[0]
+        assert got == {"s": "x", "t": True, "z": False, "w": 3}
+    bare = frame("x int", [(1,)])
+    assert rows(bare.select(metadata.numeric(bare, "a").alias("v"), metadata.truthy(bare, "a").alias("t")))[0] == {"v": None, "t": False}
+
+
+def test_to_local_matches_known_offsets(frame, rows):
+    df = frame("t timestamp_ntz", [(dt.datetime(2024, 1, 1, 12),), (dt.datetime(2024, 7, 1, 12),), (None,)])
+    assert [r["l"] for r in rows(df.select(to_local(F.col("t"), NY).alias("l")))] == [
+        dt.datetime(2024, 1, 1, 7), dt.datetime(2024, 7, 1, 8), None]

@@ -1,0 +1,83 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from pulsegrid.operators import normalize as N
+from pulsegrid.operators import notifications as M
+
+TAP, BUY = "notification_tap", "trade_initiated"
+
+
+def seq(make_events, *items):
+    """(second offset, wallet, event) items on one day."""
+    base = datetime(2024, 1, 1, 12)
+    return N.normalize_events(make_events(*[((base + timedelta(seconds=s)).isoformat(), w, e) for s, w, e in items]))
+
+
+def seconds(df):
+    return sorted(r["seconds"] for r in df.collect())
+
+
+def test_window_is_open_on_both_sides(make_events):
+    e = seq(make_events, (0, "a", TAP), (0, "a", BUY), (3600, "a", BUY), (0, "b", TAP), (3599.5, "b", BUY), (0, "c", TAP), (10, "d", BUY))
+    assert seconds(M.time_to_trade(e)) == [3599.5]
+
+
+def test_one_trade_serves_many_taps_and_the_first_trade_wins(make_events):
+    e = seq(make_events, (0, "a", TAP), (0, "a", TAP), (30, "a", TAP), (90, "a", BUY), (95, "a", BUY), (5000, "a", TAP))
+    assert seconds(M.time_to_trade(e)) == [60.0, 90.0, 90.0]
+
+
+def test_missing_wallets_and_times_never_match(make_events):
+    e = N.normalize_events(make_events(("2024-01-01T12:00:00", None, TAP), ("2024-01-01T12:00:05", None, BUY), ("bad", "a", TAP), ("2024-01-01T12:00:05", "a", BUY)))
+    assert M.time_to_trade(e).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 60, 7200])
+def test_equals_brute_force_with_a_hot_wallet(make_events, bucket):
+    rng = random.Random(7)
+    items = [(rng.randrange(0, 40000) / 2, "hot" if rng.random() < 0.5 else f"w{rng.randrange(6)}", rng.choice([TAP, TAP, BUY, "other"])) for _ in range(600)]
+    want = []
+    for s, w, e in items:
+        if e == TAP:
+            after = [t - s for t, v, x in items if v == w and x == BUY and 0 < t - s < 900]
+            want += [min(after)] if after else []
+    got = M.time_to_trade(seq(make_events, *items), window_seconds=900, bucket_seconds=bucket)
+    assert seconds(got) == sorted(want)
+
+
+@pytest.mark.parametrize("values, median", [([5.0], 5.0), ([1.0, 2.0], 2.0), ([3.0, 1.0, 2.0], 2.0), ([1.25, 1.5, 1.5, 1.75, 9.0, 0.5], 1.5),
+                                            ([7.0] * 4 + [1.0], 7.0), ([0.1, 0.2, 0.3, 0.4], 0.3)])
+def test_upper_median(frame, rows, values, median):
+    got = rows(M.time_to_trade_stats(frame("seconds double", [(v,) for v in values])))[0]
+    assert got["median_seconds"] == median == sorted(values)[len(values) // 2]
+    assert got["conversions"] == len(values) and abs(got["avg_seconds"] - sum(values) / len(values)) < 1e-9
+
+
+def test_stats_and_histogram_without_conversions(frame, rows):
+    empty = frame("seconds double", [])
+    assert rows(M.time_to_trade_stats(empty)) == [{"avg_seconds": None, "median_seconds": None, "conversions": 0}]
+    assert M.time_to_trade_histogram(empty).count() == 0
+
+
+def test_sends_count_server_rows_and_receipts_do_not(make_events, rows):
+    t = "2024-01-01T12:00:00"
+    evall = N.normalize_events(make_events(
+        (t, "server", "notification_sent_broadcast", "server", '{"sent_count": 10}'), (t, "server", "notification_sent_broadcast", "server", '{}'),
+        (t, "server", "notification_sent", "server", '{"success": true, "type": "price_alert"}'), (t, "server", "notification_sent", "server", '{"success": false, "type": "lifecycle"}'),
+        (t, "server", "notification_sent", "server", '{"success": "yes", "type": "price_alert"}'), (t, "server", "notification_sent", "server", '{"type": "other"}'),
+        (t, "a", "notification_received", "ios"), (t, "server", "notification_received", "ios"), (t, "a", TAP, "ios", '{"ticker": "X"}'), (t, "b", TAP, "server")))
+    k = rows(M.notification_kpis(evall))[0]
+    assert (k["broadcast_sent"], k["targeted_sent"], k["total_sent"], k["received"], k["tapped"], k["unique_tappers"]) == (10, 2, 12, 1, 1, 1)
+    assert (k["tap_rate_client"], round(k["tap_rate_server"], 6)) == (100.0, 8.333333)
+    assert rows(M.sends_by_type(evall)) == [{"type": "Trade Alerts (broadcast)", "sends": 2, "recipients": 10},
+                                            {"type": "Price Alert", "sends": 2, "recipients": 2}, {"type": "Lifecycle", "sends": 1, "recipients": 1}]
+    assert rows(M.top_tapped_tickers(N.real_users(evall))) == [{"ticker": "X", "taps": 1}]
+
+
+def test_tap_rate_covers_days_with_one_side_only(make_events, rows):
+    e = N.normalize_events(make_events(("2024-01-01T12:00:00", "a", TAP), ("2024-01-02T12:00:00", "a", "notification_received"),
+                                       ("2024-01-03T12:00:00", "a", "notification_received"), ("2024-01-03T12:00:00", "a", TAP), ("2024-01-03T12:00:00", "a", TAP)))
+    assert [r["rate"] for r in rows(M.tap_rate_by_day(e))] == [0.0, 0.0, 200.0]
+    assert rows(M.notification_kpis(e.where("false")))[0]["tap_rate_server"] == 0.0
