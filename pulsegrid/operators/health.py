@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -241,13 +241,15 @@ def service_health(points: DataFrame, *, period: int | None = None, hours: int =
 
 
 def service_memory(points: DataFrame, **scope) -> DataFrame:
-    """Memory per service and period in MB, with the service's highest limit."""
+    """Memory per service and period in MB, with the service's highest limit.
+
+    The window runs over period rows (at most one per metric and period), not over points.
+    """
     periods = _periods(points, [C.METRIC_MEMORY, C.METRIC_MEMORY_LIMIT], {}, [C.DIM_SERVICE],
                        service=dim(C.DIM_SERVICE), **scope)
-    limits = periods.groupBy("service").agg((F.max(_of(C.METRIC_MEMORY_LIMIT, "Maximum")) / MB).alias("limit_mb"))
-    memory = periods.where(F.col("metric_name") == C.METRIC_MEMORY)
-    return (memory.select("service", "timestamp", (F.col("Average") / MB).alias("value_mb"))
-            .join(limits, "service", "left").select("timestamp", "value_mb", "service", "limit_mb")
+    limit = F.max(_of(C.METRIC_MEMORY_LIMIT, "Maximum")).over(Window.partitionBy("service"))
+    return (periods.withColumn("limit_mb", limit / MB).where(F.col("metric_name") == C.METRIC_MEMORY)
+            .select("timestamp", (F.col("Average") / MB).alias("value_mb"), "service", "limit_mb")
             .orderBy("service", "timestamp"))
 
 
@@ -268,6 +270,19 @@ def service_network_series(points: DataFrame, **scope) -> DataFrame:
     return _scaled(metric_series_by_service(points, C.METRIC_NETWORK_TX, "Sum", **scope), 1024)
 
 
+def service_series(points: DataFrame, **scope) -> DataFrame:
+    """CPU, requests, latency and network (KB) of every service, from one scan, with a `metric` label."""
+    kinds = {C.METRIC_CPU: ("cpu", F.col("Average")), C.METRIC_HTTP_REQUESTS: ("http", F.col("Sum")),
+             C.METRIC_HTTP_LATENCY: ("latency", F.col("Average")), C.METRIC_NETWORK_TX: ("network_kb", F.col("Sum") / 1024)}
+    label = value = F.when(F.lit(False), F.lit(None))
+    for metric, (name, stat) in kinds.items():
+        label = label.when(F.col("metric_name") == metric, F.lit(name))
+        value = value.when(F.col("metric_name") == metric, stat)
+    return (_periods(points, list(kinds), {}, [C.DIM_SERVICE], service=dim(C.DIM_SERVICE), **scope)
+            .select(label.alias("metric"), "service", "timestamp", value.alias("value"))
+            .orderBy("metric", "service", "timestamp"))
+
+
 # --- CDN ------------------------------------------------------------------------
 
 def _one_distribution(points: DataFrame, distribution: str | None, namespace: str | None) -> DataFrame:

@@ -11,10 +11,19 @@ from ..functions.numbers import percent
 from ..functions.wallets import short_wallet
 
 
-def _first(account_type: str, field: str) -> Column:
-    """First non-empty `field` among the linked accounts of one type."""
-    hits = F.filter("linked_accounts", lambda a: (a["type"] == account_type) & (a[field] != ""))
-    return F.get(hits, F.lit(0))[field]
+def _first(account_type: str, field: str) -> str:
+    """SQL of the first non-empty `field` among the linked accounts of one type."""
+    return f"get(filter(linked_accounts, a -> a.type = '{account_type}' AND a.{field} <> ''), 0).{field}"
+
+
+_PRESENT = ["google IS NOT NULL OR google_name IS NOT NULL", "mail IS NOT NULL", "apple IS NOT NULL",
+            "twitter IS NOT NULL", "phone IS NOT NULL"]
+
+
+def _by_priority(name: str, *values: str) -> str:
+    """SQL of one value per kind of account, for the first kind in label order that is present."""
+    cases = " ".join(f"WHEN {cond} THEN {value}" for cond, value in zip(_PRESENT, values))
+    return f"CASE {cases} ELSE {values[-1]} END AS {name}"
 
 
 def extract_identity(users: DataFrame) -> DataFrame:
@@ -22,40 +31,22 @@ def extract_identity(users: DataFrame) -> DataFrame:
 
     Label order: google name, google e-mail, e-mail, apple e-mail, @twitter, phone.
     """
-    users = schemas.conform(users, schemas.USERS)
-    found = users.select(
-        F.col("id").alias("user_id"), "ingest_order",
-        _first("email", "address").alias("_email"),
-        _first("google_oauth", "email").alias("_google"),
-        _first("google_oauth", "name").alias("_google_name"),
-        _first("apple_oauth", "email").alias("_apple"),
-        _first("phone", "number").alias("_phone"),
-        _first("twitter_oauth", "username").alias("_twitter"),
-        F.transform(
-            F.filter("linked_accounts", lambda a: (a["type"] == "wallet") & (a["address"] != "")),
-            lambda a: F.lower(a["address"])).alias("_wallets"),
-    )
-    google = F.col("_google_name").isNotNull() | F.col("_google").isNotNull()
-
-    def pick(google_value, email_value, apple_value, twitter_value, phone_value, none_value):
-        return (F.when(google, google_value)
-                .when(F.col("_email").isNotNull(), email_value)
-                .when(F.col("_apple").isNotNull(), apple_value)
-                .when(F.col("_twitter").isNotNull(), twitter_value)
-                .when(F.col("_phone").isNotNull(), phone_value)
-                .otherwise(none_value))
-
-    null = F.lit(None).cast("string")
-    return found.select(
+    found = schemas.conform(users, schemas.USERS).selectExpr(
+        "id AS user_id", "ingest_order",
+        f"{_first('email', 'address')} AS mail",
+        f"{_first('google_oauth', 'email')} AS google",
+        f"{_first('google_oauth', 'name')} AS google_name",
+        f"{_first('apple_oauth', 'email')} AS apple",
+        f"{_first('phone', 'number')} AS phone",
+        f"{_first('twitter_oauth', 'username')} AS twitter",
+        "transform(filter(linked_accounts, a -> a.type = 'wallet' AND a.address <> ''), a -> lower(a.address)) AS linked")
+    return found.selectExpr(
         "user_id", "ingest_order",
-        pick(F.coalesce("_google_name", "_google"), F.col("_email"), F.col("_apple"),
-             F.concat(F.lit("@"), "_twitter"), F.col("_phone"), null).alias("label"),
-        pick(*[F.lit(v) for v in ("google", "email", "apple", "twitter", "phone", "wallet_only")])
-        .alias("login_type"),
-        pick(F.col("_google"), F.col("_email"), F.col("_apple"), null, F.col("_phone"), null).alias("contact"),
-        F.coalesce("_email", "_google", "_apple").alias("email"),
-        F.coalesce("_wallets", F.array().cast("array<string>")).alias("wallets"),
-    )
+        _by_priority("label", "coalesce(google_name, google)", "mail", "apple", "concat('@', twitter)", "phone", "NULL"),
+        _by_priority("login_type", "'google'", "'email'", "'apple'", "'twitter'", "'phone'", "'wallet_only'"),
+        _by_priority("contact", "google", "mail", "apple", "NULL", "phone", "NULL"),
+        "coalesce(mail, google, apple) AS email",
+        "coalesce(linked, cast(array() AS array<string>)) AS wallets")
 
 
 def wallet_identity(users: DataFrame, *, order_col: str = "ingest_order") -> DataFrame:
@@ -69,11 +60,10 @@ def wallet_identity(users: DataFrame, *, order_col: str = "ingest_order") -> Dat
             .groupBy("wallet").agg(owner.alias("_owner")).select("wallet", "_owner.*"))
 
 
-def login_badge(login_type: Column) -> Column:
-    badge = F.when(F.lit(False), F.lit(""))
-    for code, name in LOGIN_BADGES.items():
-        badge = badge.when(login_type == code, name)
-    return badge.otherwise(NO_LOGIN_BADGE)
+def login_badge(login_type: str) -> Column:
+    """Display name of a login type column."""
+    cases = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in LOGIN_BADGES.items())
+    return F.expr(f"CASE {login_type} {cases} ELSE '{NO_LOGIN_BADGE}' END")
 
 
 def _people(identity: DataFrame) -> DataFrame:
@@ -86,7 +76,7 @@ def _with_labels(joined: DataFrame, wallet_col: str) -> DataFrame:
         "user_label": F.coalesce(F.when(F.length("_label") > 0, F.col("_label")),
                                  short_wallet(F.col(wallet_col))),
         "user_contact": F.coalesce("_contact", F.lit("")),
-        "login_type": login_badge(F.col("_login")),
+        "login_type": login_badge("_login"),
     }).drop("_wallet", "_label", "_contact", "_login")
 
 

@@ -61,27 +61,29 @@ def time_to_trade(ev: DataFrame, *, tap: str = NOTIFICATION_TAP, conversion: str
                   window_seconds: int = 3600, bucket_seconds: int = 60) -> DataFrame:
     """Per tap the first conversion of the same wallet strictly after it and within the window.
 
-    The search never pairs taps with conversions. Rows are cut into short (wallet, bucket) groups.
-    The first conversion of each group is computed with a map-side combine, and each group gets
-    the first conversion that follows it as one more row. A single ordered pass over each group
-    then finds the answer, so even a wallet that owns a third of all rows is spread over as many
-    tasks as it has buckets, and the work stays linear.
+    The search never pairs taps with conversions. The few rows that matter are shuffled once into
+    short (wallet, bucket) groups. A single ordered pass over a group finds the next conversion
+    inside it; where there is none, the first conversion of a later bucket is looked up, from one
+    row per group. Even a wallet that owns a third of all rows is spread over as many groups as it
+    has buckets, and the work stays linear.
     """
     us, group = F.col("us"), [WALLET, "bucket"]
     rows = (ev.where(F.col("event").isin(tap, conversion) & F.col(WALLET).isNotNull() & F.col("ts").isNotNull())
             .select(WALLET, micros(F.col("ts")).alias("us"), (F.col("event") == tap).alias("is_tap"),
                     (F.col("event") == conversion).alias("converts"))
-            .withColumn("bucket", F.floor(us / (bucket_seconds * 1_000_000))))
+            .withColumn("bucket", F.floor(us / (bucket_seconds * 1_000_000)))
+            .repartition(*group))  # both uses below read this one shuffle
     converted_us = F.when(F.col("converts"), us)
     heads = rows.groupBy(*group).agg(F.min(converted_us).alias("first_us"), F.bool_or("is_tap").alias("has_tap"))
     later = Window.partitionBy(WALLET).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    followers = (heads.withColumn("us", F.min("first_us").over(later))
-                 .where(F.col("has_tap") & us.isNotNull())
-                 .select(WALLET, "us", F.lit(False).alias("is_tap"), F.lit(True).alias("converts"), "bucket"))
+    followers = (heads.withColumn("later_us", F.min("first_us").over(later))
+                 .where(F.col("has_tap") & F.col("later_us").isNotNull()).select(*group, "later_us"))
     # Descending order makes "strictly after" a frame that only grows.
     after = Window.partitionBy(*group).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
-    hits = (rows.unionByName(followers).withColumn("next_us", F.min(converted_us).over(after))
-            .where(F.col("is_tap") & (F.col("next_us") - us < window_seconds * 1_000_000)))
+    taps = rows.withColumn("next_us", F.min(converted_us).over(after)).where("is_tap")
+    hits = (taps.join(followers, group, "left")
+            .withColumn("next_us", F.coalesce("next_us", "later_us"))
+            .where(F.col("next_us") - us < window_seconds * 1_000_000))
     return hits.select(WALLET, from_micros(us).alias("tap_ts"), from_micros(F.col("next_us")).alias("trade_ts"),
                        ((F.col("next_us") - us) / 1_000_000).alias("seconds"))
 

@@ -183,18 +183,18 @@ def alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = table(spark, sf_dir, "customer").selectExpr(*_columns(USERS))
 
-    def account(kind: str, **fields: str):
+    def account(kind: str, **fields: str) -> str:
         names = ("address", "email", "name", "number", "username")
-        values = [(F.col(fields[n]) if n in fields else F.lit(None).cast("string")).alias(n) for n in names]
-        present = F.coalesce(*[F.col(c) for c in fields.values()]).isNotNull()
-        return F.when(present, F.struct(F.lit(kind).alias("type"), *values))
+        values = ", ".join(f"'{n}', {fields.get(n, 'cast(null AS string)')}" for n in names)
+        present = " OR ".join(f"{column} IS NOT NULL" for column in fields.values())
+        return f"CASE WHEN {present} THEN named_struct('type', '{kind}', {values}) END"
 
-    accounts = F.array_compact(F.array(
+    accounts = ", ".join([
         account("wallet", address="own_wallet"), account("wallet", address="other_wallet"),
         account("google_oauth", email="google_email", name="google_name"), account("email", address="email"),
         account("apple_oauth", email="apple"), account("twitter_oauth", username="twitter"),
-        account("phone", number="phone")))
-    return flat.select("id", "ingest_order", accounts.alias("linked_accounts"))
+        account("phone", number="phone")])
+    return flat.selectExpr("id", "ingest_order", f"array_compact(array({accounts})) AS linked_accounts")
 
 
 # --- the same inputs as SQL -------------------------------------------------------

@@ -217,6 +217,12 @@ QUERIES: dict[str, Query] = {
     "service_latency_series": Query(lambda x: H.service_latency_series(x.points, **_ALL), _service_series(C.METRIC_HTTP_LATENCY, "avg"), VALUE),
     "service_network_series": Query(lambda x: H.service_network_series(x.points, **_ALL),
                                     _service_series(C.METRIC_NETWORK_TX, "sum", " / 1024"), VALUE),
+    "service_series": Query(
+        lambda x: H.service_series(x.points, **_ALL),
+        " UNION ALL ".join(f"SELECT '{name}' AS metric, service, timestamp, value FROM ({_service_series(metric, fn, scale)})"
+                           for name, metric, fn, scale in [
+                               ("cpu", C.METRIC_CPU, "avg", ""), ("http", C.METRIC_HTTP_REQUESTS, "sum", ""),
+                               ("latency", C.METRIC_HTTP_LATENCY, "avg", ""), ("network_kb", C.METRIC_NETWORK_TX, "sum", " / 1024")]), VALUE),
     # --- CDN ---
     "cdn_health": Query(
         lambda x: H.cdn_health(x.points, **_ALL),

@@ -1,9 +1,10 @@
 """Reading the inputs: events, trades, users, metric points, logs, alarms."""
 
-from .metrics import metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, period_for
+from .metrics import (log_hours, metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service,
+                      period_for)
 from .tables import (scan_alarms, scan_events, scan_logs, scan_points, scan_trades,
                      scan_trades_by_timestamp, scan_users)
 
-__all__ = ["metric_dim_values", "metric_series", "metric_series_by_dim", "metric_series_by_service",
+__all__ = ["log_hours", "metric_dim_values", "metric_series", "metric_series_by_dim", "metric_series_by_service",
            "period_for", "scan_alarms", "scan_events", "scan_logs", "scan_points", "scan_trades",
            "scan_trades_by_timestamp", "scan_users"]

@@ -26,6 +26,11 @@ def period_for(hours: int) -> int:
     return 900 if hours <= 72 else 3600
 
 
+def log_hours(hours: int) -> int:
+    """Lookback of log results that belongs to a metric lookback: the same, at most a day."""
+    return min(hours, 24)
+
+
 def dim(name: str) -> Column:
     return F.try_element_at(F.col("dims"), F.lit(name))
 

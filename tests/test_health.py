@@ -4,7 +4,7 @@ import pytest
 
 from pulsegrid import constants as C
 from pulsegrid.operators import health as H
-from pulsegrid.sources import metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, period_for
+from pulsegrid.sources import log_hours, metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, period_for
 
 SCHEMA = "ts timestamp_ntz, namespace string, metric_name string, value double, dims map<string,string>"
 T0 = datetime(2024, 1, 1)
@@ -19,6 +19,7 @@ def points(frame, *data):
 
 def test_period_rule():
     assert [period_for(h) for h in (1, 24, 25, 72, 73, 168)] == [300, 300, 900, 900, 3600, 3600]
+    assert [log_hours(h) for h in (1, 24, 168)] == [1, 24, 24]
 
 
 def test_series_buckets_statistics_and_lookback(frame, rows):

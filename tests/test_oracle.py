@@ -11,6 +11,9 @@ from tools.check_oracle import TABLES, rows_of
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not there")
 
+# Nodes that pair all rows, leave the JVM, or sort everything for a limit.
+UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "GlobalLimit"]
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -23,6 +26,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in UNWANTED if node in plan]
     got = rows_of(df.columns, df.collect())
     result = con.execute(entry.oracle_sql()[name])
     want = rows_of([d[0] for d in result.description], result.fetchall())
@@ -35,3 +40,26 @@ def test_flagship_runs(spark):
 
 def test_every_query_has_a_twin():
     assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("name, table, scans", [
+    ("top_traders_by_volume", "lineitem", 1),  # the list is used twice, computed once
+    ("time_to_trade", "events", 1),
+    ("cohort_retention", "events", 1),
+    ("notification_kpis", "events", 1),
+    ("feature_engagement", "events", 1),
+    ("service_memory", "events", 1),
+])
+def test_large_tables_are_read_once(spark, name, table, scans):
+    plan = final_plan(entry.queries()[name](spark, SF_DIR))
+    assert sum(f"/{table}.parquet" in line for line in plan.splitlines() if "FileScan" in line) == scans
+
+
+@pytest.mark.parametrize("name", ["feature_engagement", "funnel_trade", "wau_mau", "dau_by_platform", "platform_kpis"])
+def test_distinct_counts_do_not_multiply_rows(spark, name):
+    assert "Expand" not in final_plan(entry.queries()[name](spark, SF_DIR))
