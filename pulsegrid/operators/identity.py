@@ -96,10 +96,9 @@ def enrich_top(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_add
     The list has at most k rows, so it is the side that is broadcast: the identity table is
     streamed past it and neither shuffled nor sorted. An outer join cannot keep the broadcast
     side's rows, so the list is added once more without identity and the two are folded by row.
-    Both uses of the list read the same shuffle, so it is computed once.
+    Both uses of the list read the one-partition shuffle of its k rows, so it is computed once.
     """
-    columns = df.columns
-    rows = df.withColumn("_row", F.row_number().over(Window.orderBy(*columns)))
+    rows = df.repartition(1).withColumn("_row", F.row_number().over(Window.orderBy(*df.columns)))
     columns = rows.columns
     known = (_people(identity).join(F.broadcast(rows), F.col("_wallet") == F.lower(F.col(wallet_col)))
              .select(*columns, "_label", "_contact", "_login"))

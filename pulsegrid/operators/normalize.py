@@ -62,35 +62,23 @@ def perps_notional(df: DataFrame, *, missing_is_close: bool = True,
         return df
     close_known = "is_close" in have if has_is_close is None else has_is_close
     df = schemas.conform(df, schemas.TRADES)
-    amount = number(F.col("amount_usd"))
-    perps = F.col("type") == PERPS
-    closing = F.coalesce(F.col("is_close").try_cast("boolean"), F.lit(missing_is_close))
-    close = perps & closing if close_known else F.lit(False)
-    reports_notional = F.lit(False)
-    for name in ("category", "source", "venue"):
-        reports_notional = reports_notional | (F.lower(F.col(name)) == NOTIONAL_VENUE).eqNullSafe(True)
-
-    changed: dict[str, Column] = {}
-    opened, closed = amount, amount
+    reports_notional = " OR ".join(f"lower({name}) <=> '{NOTIONAL_VENUE}'" for name in ("category", "source", "venue"))
+    amount = opened = closed = "try_cast(amount_usd AS double)"
+    leverage, size, price = (f"try_cast({name} AS double)" for name in ("leverage", "size", "price"))
     if "leverage" in have:
-        leverage = F.coalesce(number(F.col("leverage")), F.lit(1.0))
-        changed["leverage"] = leverage
-        opened = F.when(reports_notional, amount).otherwise(amount * leverage)
-    else:
-        changed["leverage"] = number(F.col("leverage"))
+        leverage = f"coalesce({leverage}, 1D)"
+        opened = f"CASE WHEN {reports_notional} THEN {amount} ELSE {amount} * {leverage} END"
     if {"size", "price"} <= have:
-        size = F.coalesce(number(F.col("size")), F.lit(0.0))
-        price = F.coalesce(number(F.col("price")), F.lit(0.0))
-        changed |= {"size": size, "price": price}
-        closed = F.when(reports_notional, F.abs(size)).otherwise(F.abs(size) * price)
-    else:
-        changed |= {"size": number(F.col("size")), "price": number(F.col("price"))}
-    worth = F.when(close, closed).when(perps, opened).otherwise(amount)
-    # Times 1 or 2, so that the nested conditions are evaluated once for both columns.
-    factor = F.when(close, F.lit(2.0)).otherwise(F.lit(1.0))
-    return (df.withColumns({"amount_usd": worth, "_factor": factor, **changed})
-            .withColumn("_volume_usd", F.col("amount_usd") * F.col("_factor"))
-            .drop("_factor"))
+        size, price = f"coalesce({size}, 0D)", f"coalesce({price}, 0D)"
+        closed = f"abs({size}) * CASE WHEN {reports_notional} THEN 1D ELSE {price} END"
+    perps, closing = f"type = '{PERPS}'", f"coalesce(try_cast(is_close AS boolean), {str(missing_is_close).lower()})"
+    close = f"{perps} AND {closing}" if close_known else "false"
+    # Volume is worth times 1 or 2, so that the nested conditions are evaluated once for both.
+    return (df.withColumns({
+        "amount_usd": F.expr(f"CASE WHEN {close} THEN {closed} WHEN {perps} THEN {opened} ELSE {amount} END"),
+        "_factor": F.expr(f"CASE WHEN {close} THEN 2D ELSE 1D END"),
+        "leverage": F.expr(leverage), "size": F.expr(size), "price": F.expr(price)})
+        .withColumn("_volume_usd", F.expr("amount_usd * _factor")).drop("_factor"))
 
 
 def normalize_trades(df: DataFrame, *, tz: str = DEFAULT_TZ, missing_is_close: bool = True,

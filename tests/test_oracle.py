@@ -49,6 +49,8 @@ def final_plan(df):
 
 @pytest.mark.parametrize("name, table, scans", [
     ("top_traders_by_volume", "lineitem", 1),  # the list is used twice, computed once
+    ("recent_perps", "lineitem", 1),
+    ("most_active_users", "events", 1),
     ("time_to_trade", "events", 1),
     ("cohort_retention", "events", 1),
     ("notification_kpis", "events", 1),
