@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -29,9 +30,9 @@ def _bucket(period: int) -> str:
     return f"time_bucket(INTERVAL '{period} seconds', ts)"
 
 
-def _series(metric: str, fn: str, where: str, period: int = 300, keys: str = "", scale: str = "") -> str:
+def _series(metric: str, fn: str, where: str, period: int = 300, keys: str = "") -> str:
     group = f", {keys}" if keys else ""
-    return (f"SELECT {moment('b')} AS timestamp, v{scale} AS value{group} FROM (SELECT {_bucket(period)} AS b, {fn}(value) AS v{group} "
+    return (f"SELECT {moment('b')} AS timestamp, v AS value{group} FROM (SELECT {_bucket(period)} AS b, {fn}(value) AS v{group} "
             f"FROM points WHERE metric_name = '{metric}' AND {where} GROUP BY 1{group})")
 
 
@@ -49,11 +50,18 @@ def _venue_mean(metric: str) -> str:
             f"GROUP BY venue, {_bucket(300)}) GROUP BY venue")
 
 
-def _service_series(metric: str, fn: str, scale: str = "") -> str:
-    return _series(metric, fn, "service IS NOT NULL", keys="service", scale=scale)
+def _service_series(metric: str, fn: str) -> str:
+    return _series(metric, fn, "service IS NOT NULL", keys="service")
 
 
 _ALL = dict(period=300)
+
+
+def _unscaled(df: DataFrame, **factors) -> DataFrame:
+    """Scaled columns times their factor, so that rounding for the comparison meets no exact halves."""
+    return df.withColumns({name: F.col(name) * factor for name, factor in factors.items()})
+
+
 _ERR = "pri <= 4"
 _SWAP_FAILED = "message LIKE '%swap-server%' AND message LIKE '%http-request%' AND sc >= 400"
 
@@ -145,14 +153,14 @@ QUERIES: dict[str, Query] = {
         f"""SELECT {_sum(C.METRIC_BRIDGE_SUCCESS)} AS successes, {_sum(C.METRIC_BRIDGE_FAILURE)} AS failures,
             {_mean(C.METRIC_BRIDGE_DURATION)} / 1000 AS avg_duration_s, {_mean(C.METRIC_BRIDGE_FILL)} / 1000 AS avg_fill_s""",
         {"avg_duration_s": 6, "avg_fill_s": 6}),
-    "bridge_duration_series": Query(lambda x: H.bridge_duration_series(x.points, **_ALL),
-                                    _series(C.METRIC_BRIDGE_DURATION, "avg", _OWN, scale=" / 1000"), VALUE),
+    "bridge_duration_series": Query(lambda x: _unscaled(H.bridge_duration_series(x.points, **_ALL), value=1000),
+                                    _series(C.METRIC_BRIDGE_DURATION, "avg", _OWN), VALUE),
     "fund_router_health": Query(
         lambda x: H.fund_router_health(x.points, **_ALL),
         f"""SELECT {_mean(C.METRIC_ROUTE)} / 1000 AS avg_route_s, {_mean(C.METRIC_REVERSE_ROUTE)} / 1000 AS avg_reverse_s,
             {_sum(C.METRIC_SETTLE_TIMEOUT)} AS timeouts""", {"avg_route_s": 6, "avg_reverse_s": 6}),
-    "fund_route_series": Query(lambda x: H.fund_route_series(x.points, **_ALL),
-                               _series(C.METRIC_ROUTE, "avg", _OWN, scale=" / 1000"), VALUE),
+    "fund_route_series": Query(lambda x: _unscaled(H.fund_route_series(x.points, **_ALL), value=1000),
+                               _series(C.METRIC_ROUTE, "avg", _OWN), VALUE),
     "venue_health": Query(
         lambda x: H.venue_health(x.points, **_ALL),
         f"""SELECT s.venue, coalesce(l.m, 0) AS avg_read_ms, coalesce(e.n, 0) AS read_errors
@@ -196,9 +204,9 @@ QUERIES: dict[str, Query] = {
                           'SELECT "StateValue" AS state, count(*) AS alarms FROM alarms GROUP BY 1'),
     # --- services ---
     "service_health": Query(
-        lambda x: H.service_health(x.points, **_ALL),
+        lambda x: _unscaled(H.service_health(x.points, **_ALL), avg_memory_mb=MB, limit_mb=MB),
         f"""SELECT service, upper(left(replace(service, '-', ' '), 1)) || lower(substr(replace(service, '-', ' '), 2)) AS label,
-            avg_memory / {MB} AS avg_memory_mb, lim / {MB} AS limit_mb, avg_memory / lim * 100 AS memory_pct, requests,
+            avg_memory AS avg_memory_mb, lim AS limit_mb, avg_memory / lim * 100 AS memory_pct, requests,
             CASE WHEN n <= 2 THEN 'NO DATA' WHEN avg_memory / lim * 100 > 85 THEN 'CRITICAL'
                  WHEN avg_memory / lim * 100 > 70 THEN 'WARNING' ELSE 'HEALTHY' END AS status
             FROM (SELECT service, avg(v) AS avg_memory, count(*) AS n FROM (SELECT service, avg(value) AS v FROM points
@@ -206,39 +214,41 @@ QUERIES: dict[str, Query] = {
             LEFT JOIN (SELECT service, max(value) AS lim FROM points WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) l USING (service)
             LEFT JOIN (SELECT service, CAST(trunc(sum(value)) AS BIGINT) AS requests FROM points
                 WHERE metric_name = '{C.METRIC_HTTP_REQUESTS}' GROUP BY 1) r USING (service)""",
-        {"avg_memory_mb": 9, "limit_mb": 9, "memory_pct": 6}),
+        {"avg_memory_mb": 6, "limit_mb": 6, "memory_pct": 6}),
     "service_memory": Query(
-        lambda x: H.service_memory(x.points, **_ALL),
-        f"""SELECT timestamp, value / {MB} AS value_mb, service, lim / {MB} AS limit_mb
+        lambda x: _unscaled(H.service_memory(x.points, **_ALL), value_mb=MB, limit_mb=MB),
+        f"""SELECT timestamp, value AS value_mb, service, lim AS limit_mb
             FROM ({_service_series(C.METRIC_MEMORY, 'avg')}) LEFT JOIN (SELECT service, max(value) AS lim FROM points
-            WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) USING (service)""", {"value_mb": 9, "limit_mb": 9}),
+            WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) USING (service)""", {"value_mb": 6, "limit_mb": 6}),
     "service_cpu_series": Query(lambda x: H.service_cpu_series(x.points, **_ALL), _service_series(C.METRIC_CPU, "avg"), VALUE),
     "service_http_series": Query(lambda x: H.service_http_series(x.points, **_ALL), _service_series(C.METRIC_HTTP_REQUESTS, "sum"), VALUE),
     "service_latency_series": Query(lambda x: H.service_latency_series(x.points, **_ALL), _service_series(C.METRIC_HTTP_LATENCY, "avg"), VALUE),
-    "service_network_series": Query(lambda x: H.service_network_series(x.points, **_ALL),
-                                    _service_series(C.METRIC_NETWORK_TX, "sum", " / 1024"), VALUE),
+    "service_network_series": Query(lambda x: _unscaled(H.service_network_series(x.points, **_ALL), value=1024),
+                                    _service_series(C.METRIC_NETWORK_TX, "sum"), VALUE),
     "service_series": Query(
-        lambda x: H.service_series(x.points, **_ALL),
-        " UNION ALL ".join(f"SELECT '{name}' AS metric, service, timestamp, value FROM ({_service_series(metric, fn, scale)})"
-                           for name, metric, fn, scale in [
-                               ("cpu", C.METRIC_CPU, "avg", ""), ("http", C.METRIC_HTTP_REQUESTS, "sum", ""),
-                               ("latency", C.METRIC_HTTP_LATENCY, "avg", ""), ("network_kb", C.METRIC_NETWORK_TX, "sum", " / 1024")]), VALUE),
+        lambda x: _unscaled(H.service_series(x.points, **_ALL),
+                            value=F.when(F.col("metric") == "network_kb", 1024).otherwise(1)),
+        " UNION ALL ".join(f"SELECT '{name}' AS metric, service, timestamp, value FROM ({_service_series(metric, fn)})"
+                           for name, metric, fn in [
+                               ("cpu", C.METRIC_CPU, "avg"), ("http", C.METRIC_HTTP_REQUESTS, "sum"),
+                               ("latency", C.METRIC_HTTP_LATENCY, "avg"), ("network_kb", C.METRIC_NETWORK_TX, "sum")]), VALUE),
     # --- CDN ---
     "cdn_health": Query(
-        lambda x: H.cdn_health(x.points, **_ALL),
+        lambda x: _unscaled(H.cdn_health(x.points, **_ALL), served_gb=1024 ** 3),
         f"""SELECT *, avg_4xx_pct > 1 AS high_4xx, avg_5xx_pct > 0.5 AS high_5xx FROM (SELECT {_sum(C.METRIC_CDN_REQUESTS, _CDN)} AS requests,
-            (SELECT sum(value) FROM points WHERE metric_name = '{C.METRIC_CDN_BYTES}' AND {_CDN}) / {1024 ** 3} AS served_gb,
+            (SELECT sum(value) FROM points WHERE metric_name = '{C.METRIC_CDN_BYTES}' AND {_CDN}) AS served_gb,
             {_mean(C.METRIC_CDN_4XX, _CDN)} AS avg_4xx_pct, {_mean(C.METRIC_CDN_5XX, _CDN)} AS avg_5xx_pct,
             {_mean(C.METRIC_CDN_HIT_RATE, _CDN)} AS cache_hit_pct)""",
-        {"served_gb": 12, "avg_4xx_pct": 6, "avg_5xx_pct": 6, "cache_hit_pct": 6}),
+        {"served_gb": 2, "avg_4xx_pct": 6, "avg_5xx_pct": 6, "cache_hit_pct": 6}),
     "cdn_error_series": Query(
         lambda x: H.cdn_error_series(x.points, **_ALL),
         f"""SELECT *, '4xx' AS type FROM ({_series(C.METRIC_CDN_4XX, 'avg', _CDN)})
             UNION ALL SELECT *, '5xx' FROM ({_series(C.METRIC_CDN_5XX, 'avg', _CDN)})""", VALUE),
     "cdn_request_series": Query(lambda x: H.cdn_series(x.points, C.METRIC_CDN_REQUESTS, "Sum", **_ALL),
                                 _series(C.METRIC_CDN_REQUESTS, "sum", _CDN), {"value": 2}),
-    "cdn_megabytes_series": Query(lambda x: H.cdn_series(x.points, C.METRIC_CDN_BYTES, "Sum", scale=MB, **_ALL),
-                                  _series(C.METRIC_CDN_BYTES, "sum", _CDN, scale=f" / {MB}"), {"value": 9}),
+    "cdn_megabytes_series": Query(
+        lambda x: _unscaled(H.cdn_series(x.points, C.METRIC_CDN_BYTES, "Sum", scale=MB, **_ALL), value=MB),
+        _series(C.METRIC_CDN_BYTES, "sum", _CDN), {"value": 2}),
     "cdn_hit_rate_series": Query(lambda x: H.cdn_series(x.points, C.METRIC_CDN_HIT_RATE, "Average", **_ALL),
                                  _series(C.METRIC_CDN_HIT_RATE, "avg", _CDN), VALUE),
     # --- logs ---
