@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .language_mixture import languages
 from .near_dedup import near_duplicates
+from .quality_classifier import quality_scores
 from .suffix_dedup import repeat_report
 
 
@@ -15,12 +17,22 @@ def op1_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op5_deep_shallow_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
+    "op2_language_mixture": op2_language_mixture,
     "op5_deep_shallow_suffix_dedup": op5_deep_shallow_suffix_dedup,
+    "op6_quadratic_quality": op6_quadratic_quality,
 }
 ORACLES: dict[str, str] = {}
