@@ -10,6 +10,8 @@ from .common import table
 from .language_mixture import languages
 from .near_dedup import near_duplicates
 from .quality_classifier import quality_scores
+from .quality_rules import ORACLE as RULES_SQL
+from .quality_rules import quality_rules
 from .suffix_dedup import repeat_report
 
 
@@ -21,6 +23,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_deep_shallow_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -32,7 +38,10 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
+    "op4_rule_cascade": op4_rule_cascade,
     "op5_deep_shallow_suffix_dedup": op5_deep_shallow_suffix_dedup,
     "op6_quadratic_quality": op6_quadratic_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_rule_cascade": RULES_SQL,
+}
