@@ -12,6 +12,8 @@ from .near_dedup import near_duplicates
 from .quality_classifier import quality_scores
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import quality_rules
+from .source_mixing import ORACLE as MIXTURE_SQL
+from .source_mixing import mixture
 from .suffix_dedup import repeat_report
 
 
@@ -35,13 +37,19 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_low_discrepancy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_deep_shallow_suffix_dedup": op5_deep_shallow_suffix_dedup,
     "op6_quadratic_quality": op6_quadratic_quality,
+    "op8_low_discrepancy_mixing": op8_low_discrepancy_mixing,
 }
 ORACLES: dict[str, str] = {
     "op4_rule_cascade": RULES_SQL,
+    "op8_low_discrepancy_mixing": MIXTURE_SQL,
 }
