@@ -15,7 +15,7 @@ from .common import columns_of, map_arrow, map_pandas, stored
 from .components import components
 
 WORDS64 = S.SKETCH_BITS // 64
-BLOCK, CHUNK = 512, 2048
+PORTION = 1 << 21     # shingles of one block or chunk: 16 MB of sets in a task
 _SIGNATURE = "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"
 
 
@@ -79,33 +79,56 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(both, _confirm, "u bigint, v bigint").distinct()
 
 
-def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Within each (bucket, block, chunk): pairs of a block row and a chunk row that may be links."""
-    limit = S.most_distance()
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text in column 0 gives way to its shingle set."""
+    hashes = S.WordHashes()
+    for batch in batches:
+        sets = [S.shingle_set(S.word_list(t.as_py()), hashes).tobytes() for t in batch.column(0).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], names=["shingles", *batch.schema.names[1:]])
+
+
+def _links_within(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between the rows of a block and those of a chunk that bear other labels, as far as components need them.
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        block, chunk = part[part["outer"]], part[~part["outer"]]
-        if block.empty or chunk.empty:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    Sketches sieve all pairs; whole sets decide. Once two labels are joined by a link, further pairs of the two are passed over.
+    """
+    limit, found = S.most_distance(), []
+    block, chunk = part[part["outer"]], part[~part["outer"]]
+    root: dict[int, int] = {}
+
+    def lead(label: int) -> int:
+        while root.setdefault(label, label) != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    if len(block) and len(chunk):
         ids, labels, sizes = (chunk[c].to_numpy() for c in ("doc_id", "label", "n_shingles"))
         bits = np.stack(chunk["sketch"].to_numpy()).view(np.uint64)
-        found = []
-        for i, label, size, sketch in zip(block["doc_id"], block["label"], block["n_shingles"], block["sketch"], strict=True):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in chunk["shingles"]]
+        for i, label, size, sketch, own in zip(*(block[c] for c in ("doc_id", "label", "n_shingles", "sketch", "shingles")), strict=True):
+            mine = np.frombuffer(own, dtype=np.uint64)
             far = np.bitwise_count(bits ^ np.asarray(sketch).view(np.uint64)).sum(axis=1)
             ok = (far <= limit) & (labels != label) & (100 * np.minimum(sizes, size) >= 75 * np.maximum(sizes, size))
-            found.append(np.stack([np.maximum(ids[ok], i), np.minimum(ids[ok], i)], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["u", "v"]).drop_duplicates()
+            for j in np.flatnonzero(ok):
+                one, other = lead(label), lead(labels[j])
+                if one != other and S.linked(mine, sets[j]):
+                    root[max(one, other)] = min(one, other)
+                    found.append((max(i, ids[j]), min(i, ids[j])))
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
+
+def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """`_links_within` for each (family, block, chunk); rows come in this order, only the last group is carried on."""
     rest = None
     for frame in frames:
         frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        key = frame[["bucket", "block", "chunk"]]
+        key = frame[["family", "block", "chunk"]]
         starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield pairs(frame.iloc[a:b])
+            yield _links_within(frame.iloc[a:b])
         rest = frame.iloc[starts[-1]:] if len(starts) else None
     if rest is not None:
-        yield pairs(rest)
+        yield _links_within(rest)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -115,31 +138,41 @@ def _labels(edges: DataFrame) -> DataFrame:
     return first.join(jump, "label", "left").select(F.col("u").alias("doc_id"), F.coalesce("next", "label").alias("label"))
 
 
-def _rest(shared: DataFrame, edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs that the pivots have not settled.
+def _remaining_links(shared: DataFrame, edges: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among candidates that the pivots have not settled.
 
-    A bucket whose documents all bear one label is done. Elsewhere every document outside the most
-    common label meets every other document of the bucket, in blocks of bounded size spread over tasks.
+    A bucket whose documents all bear one label is done. The others connect documents to families. In a family every
+    document outside its heaviest label meets every other one, in blocks and chunks of about `PORTION` shingles that
+    are spread over tasks; texts are read once per document, and only links leave a task.
     """
     named = shared.join(_labels(edges), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = stored(named.select("bucket", "doc_id", "label", "pivot"), "named")
-    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"),
-                                        F.count("*").alias("labels")).where((F.col("labels") > 1) & (F.col("n") > 2))
-    open_ = stored(open_.select("bucket", F.col("most.label").alias("most"),
-                                F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("blocks"),
-                                F.ceil(F.col("n") / CHUNK).alias("chunks")), "open")
-    rows = named.join(open_, "bucket").where(F.col("doc_id") != F.col("pivot"))
+    named = stored(named.select("bucket", "doc_id", "label"), "named")
+    unsettled = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("first"),
+                                            F.count("*").alias("n")).where("low < high and n > 2")
+    member = named.join(stored(unsettled.select("bucket", "first"), "unsettled"), "bucket")
+    families = components(member.select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
+    family = F.coalesce("v", "doc_id").alias("family")
+    docs = member.select("doc_id", "label").distinct().join(families, F.col("doc_id") == F.col("u"), "left").select("doc_id", "label", family)
+    docs = stored(docs.join(sketches, "doc_id"), "members")
+    weights = docs.groupBy("family", "label").agg(F.sum("n_shingles").alias("w")).groupBy("family").agg(
+        F.max(F.struct("w", "label")).alias("most"), F.sum("w").alias("w"), F.count("*").alias("labels")).where("labels > 1")
+    plan = stored(weights.select("family", F.col("most.label").alias("most"), F.ceil((F.col("w") - F.col("most.w")) / PORTION).alias("blocks"),
+                                 F.ceil(F.col("w") / PORTION).alias("chunks")), "families")
+    rows = docs.join(plan, "family").join(texts, "doc_id").select("text", "family", "doc_id", "label", "n_shingles", "sketch", "most", "blocks", "chunks")
+    rows = map_arrow(rows, _with_sets, "shingles binary, family bigint, doc_id bigint, label bigint, n_shingles bigint, sketch array<bigint>, "
+                                       "most bigint, blocks bigint, chunks bigint")
+    zero = F.lit(0).cast("bigint")
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    outer = rows.where(F.col("label") != F.col("most")).select(
-        "bucket", spot("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"),
-        F.lit(True).alias("outer"), "doc_id", "label")
-    inner = rows.select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), spot("chunks").alias("chunk"),
-        F.lit(False).alias("outer"), "doc_id", "label")
-    parts = outer.union(inner).join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    grouped = parts.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk")
-    return map_pandas(grouped, _cross, "u bigint, v bigint").distinct()
+    as_chunk = F.transform(F.sequence(zero, F.col("blocks") - 1),
+                           lambda k: F.struct(F.lit(False).alias("outer"), k.alias("block"), spot("chunks").alias("chunk")))
+    as_block = F.when(F.col("label") != F.col("most"), F.transform(
+        F.sequence(zero, F.col("chunks") - 1), lambda k: F.struct(F.lit(True).alias("outer"), spot("blocks").alias("block"), k.alias("chunk"))))
+    none = F.array().cast("array<struct<outer:boolean,block:bigint,chunk:bigint>>")
+    parts = rows.select("family", "doc_id", "label", "n_shingles", "sketch", "shingles",
+                        F.explode(F.concat(as_chunk, F.coalesce(as_block, none))).alias("p"))
+    parts = parts.select("family", "p.*", "doc_id", "label", "n_shingles", "sketch", "shingles")
+    grouped = parts.repartition("family", "block", "chunk").sortWithinPartitions("family", "block", "chunk")
+    return map_pandas(grouped, _cross, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,8 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = sketches.select("doc_id", "n_shingles", "sketch")
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
     star_links = stored(_confirmed(stored(_sieve(stars, slim), "stars"), texts), "star-links")
-    rest = stored(_rest(shared, star_links, slim), "rest")
-    links = star_links.union(_confirmed(rest, texts)) if not rest.isEmpty() else star_links
+    links = star_links.union(_remaining_links(shared, star_links, slim, texts))
 
     groups = components(links.union(copies.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
     whole = signed.select("doc_id", "n_shingles").join(groups.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left")

@@ -11,9 +11,9 @@ import xxhash
 from .common import MASK
 
 SHINGLE = 5
-BANDS, ROWS = 30, 3
-SAMPLES = 384
-SKETCH_BITS = 768
+BANDS, ROWS = 40, 4
+SAMPLES = 1024
+SKETCH_BITS = 2048
 _LEFT = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) * (2 * i + 3) | 1) & MASK for i in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -73,9 +73,9 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     """`SAMPLES` MinHash values: the least value of each of as many linear hash functions."""
     folded = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
-    block = np.empty((128, SAMPLES), dtype=np.uint32)
-    for start in range(0, len(folded), 128):
-        part = folded[start:start + 128, None]
+    block = np.empty((64, SAMPLES), dtype=np.uint32)
+    for start in range(0, len(folded), 64):
+        part = folded[start:start + 64, None]
         out = block[:len(part)]
         np.multiply(part, _MULTIPLY, out=out)
         np.add(out, _ADD, out=out)
@@ -105,11 +105,12 @@ def estimate(distance: float) -> float:
     return 0.0 if rest <= 0 else max(0.0, 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(rest))
 
 
-def most_distance(similarity: float = 0.75, deviations: float = 5.0) -> int:
+def most_distance(similarity: float = 0.75, deviations: float = 4.5) -> int:
     """The largest XOR count still taken for a possible link.
 
     At the given similarity the number of differing samples is binomial, and each flips two bits; the
-    limit lies `deviations` standard deviations above the mean count, so a true link fails it less than once in a million.
+    limit lies `deviations` standard deviations above the mean count, so a link of just 0.75 fails it about three times in a
+    million, a closer one less often.
     """
     differ = SAMPLES * (1 - similarity)
     spread = math.sqrt(SAMPLES * similarity * (1 - similarity))
