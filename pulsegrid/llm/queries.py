@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language_mixture import languages
 from .near_dedup import near_duplicates
+from .packing import packed
 from .quality_classifier import quality_scores
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import quality_rules
+from .sharding import shards
 from .source_mixing import ORACLE as MIXTURE_SQL
 from .source_mixing import mixture
 from .suffix_dedup import repeat_report
@@ -41,6 +43,14 @@ def op8_low_discrepancy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_longest_first_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op10_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_deep_shallow_suffix_dedup": op5_deep_shallow_suffix_dedup,
     "op6_quadratic_quality": op6_quadratic_quality,
     "op8_low_discrepancy_mixing": op8_low_discrepancy_mixing,
+    "op9_longest_first_sharding": op9_longest_first_sharding,
+    "op10_least_squares_packing": op10_least_squares_packing,
 }
 ORACLES: dict[str, str] = {
     "op4_rule_cascade": RULES_SQL,
