@@ -9,7 +9,6 @@ from __future__ import annotations
 DEFAULT_TZ = "America/New_York"
 DOW_SUNDAY_FIRST = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
 DOW_MONDAY_FIRST = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
-SHORT_TIME_FORMAT = "MMM dd, hh:mm a"
 
 # --- users ------------------------------------------------------------------
 SYSTEM_WALLETS = ["server", "unknown", "system", ""]

@@ -41,15 +41,17 @@ def count_if(cond: Column) -> Column:
 def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts in `bins` equal bins over [min, max] of the non-null values; empty bins are left out.
 
-    The bounds are one scalar subquery, so nothing is joined; one value alone fills bin 1.
+    Values are first counted one by one; bounds (a scalar subquery) and bins both read that one
+    shuffle, so the source is evaluated once. One value alone fills bin 1.
     """
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    values = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v"))
+              .agg(F.count("*").alias("n")))
     bounds = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
     low, high = bounds["low"], bounds["high"]
     width = (high - low) / bins
     index = F.when(high > low, F.least(F.width_bucket(F.col("v"), low, high, F.lit(bins)), F.lit(bins)))
-    binned = values.select(F.coalesce(index, F.lit(1)).cast("bigint").alias("bin"))
-    return (binned.groupBy("bin").agg(F.count("*").alias("count"))
+    binned = values.select(F.coalesce(index, F.lit(1)).cast("bigint").alias("bin"), "n")
+    return (binned.groupBy("bin").agg(F.sum("n").alias("count"))
             .select("bin", (low + (F.col("bin") - 1) * width).alias("bin_start"),
                     (low + F.col("bin") * width).alias("bin_end"), "count")
             .orderBy("bin"))

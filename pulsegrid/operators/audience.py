@@ -74,12 +74,12 @@ def _activity(ev: DataFrame) -> DataFrame:
 
 def user_activity(ev: DataFrame, identity: DataFrame) -> DataFrame:
     """Events, active days, first and last day of every user; latest first."""
-    users = enrich_identity(_activity(ev), identity)
+    users = enrich_identity(_activity(ev), identity, hot=False)
     return users.withColumn("wallet_short", short_wallet(F.col(WALLET))).orderBy(F.desc("last_seen"), WALLET)
 
 
-def most_active_users(ev: DataFrame, identity: DataFrame, *, k: int = 20) -> DataFrame:
-    users = enrich_top(top(_activity(ev), k, "events", WALLET), identity)
+def most_active_users(ev: DataFrame, people: DataFrame, *, k: int = 20) -> DataFrame:
+    users = enrich_top(top(_activity(ev), k, "events", WALLET), people)
     return users.withColumn("wallet_short", short_wallet(F.col(WALLET))).orderBy(F.desc("events"), WALLET)
 
 
@@ -198,14 +198,14 @@ def activity_heatmap(ev: DataFrame) -> DataFrame:
 
 # --- leaderboards and one user --------------------------------------------------
 
-def time_spent_leaderboard(ev: DataFrame, identity: DataFrame, *, k: int = 20,
+def time_spent_leaderboard(ev: DataFrame, people: DataFrame, *, k: int = 20,
                            digits: int | None = 1) -> DataFrame:
     """Users by minutes in the app; ranked by the rounded total."""
     per_user = (session_durations(ev).where(F.col(WALLET).isNotNull()).groupBy(WALLET)
                 .agg(half_even(F.sum("duration_ms") / 60000, digits).alias("total_time_min"),
                      F.count("session_id").alias("sessions"),
                      half_even(F.avg("duration_ms") / 60000, digits).alias("avg_session_min")))
-    best = enrich_top(top(per_user, k, "total_time_min", WALLET), identity)
+    best = enrich_top(top(per_user, k, "total_time_min", WALLET), people)
     return (best.withColumn("wallet_short", short_wallet(F.col(WALLET)))
             .orderBy(F.desc("total_time_min"), WALLET))
 
@@ -213,11 +213,11 @@ def time_spent_leaderboard(ev: DataFrame, identity: DataFrame, *, k: int = 20,
 def user_list(ev: DataFrame, identity: DataFrame) -> DataFrame:
     """All users by wallet, with label and short form."""
     wallets = ev.where(F.col(WALLET).isNotNull()).select(WALLET).distinct()
-    return (enrich_identity(wallets, identity)
+    return (enrich_identity(wallets, identity, hot=False)
             .select(WALLET, "user_label", short_wallet(F.col(WALLET)).alias("wallet_short")).orderBy(WALLET))
 
 
-def user_profile(ev: DataFrame, identity: DataFrame, wallet: str) -> DataFrame:
+def user_profile(ev: DataFrame, people: DataFrame, wallet: str) -> DataFrame:
     """One user: identity, events, active days, minutes in the app."""
     one = ev.where(F.col(WALLET) == wallet)
     per_day = (one.withColumn("_ms", _timed_session(one)).groupBy(WALLET, "date")
@@ -225,7 +225,7 @@ def user_profile(ev: DataFrame, identity: DataFrame, wallet: str) -> DataFrame:
     facts = per_day.groupBy(WALLET).agg(
         F.sum("events").alias("events"), F.count("date").alias("days_active"),
         (F.coalesce(F.sum("ms"), F.lit(0.0)) / 60000).alias("total_min"))
-    return enrich_top(facts, identity)
+    return enrich_top(facts, people)
 
 
 def user_event_breakdown(ev: DataFrame, wallet: str, *, k: int = 10) -> DataFrame:

@@ -3,7 +3,7 @@
 Each result reads the points once: the metrics it needs are picked by name, rolled up per metric
 and period, and the period rows are summarised. A mean is the unweighted mean of period means.
 Common keyword arguments: `period` (seconds, default from the lookback), `hours` and `end` (the
-lookback; without `end` all points count), `namespace`, `exact_dims`.
+lookback: 24 hours before now unless given; `hours=None` for all history), `namespace`, `exact_dims`.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.frames import fill_spine, fixed_list
 from ..functions.numbers import percent, whole
-from ..sources.metrics import (dim, metric_dim_values, metric_series, metric_series_by_dim,
-                               metric_series_by_service, period_for, rollup, select_points)
+from ..functions.timestamps import bucket
+from ..sources.metrics import (STATS, dim, metric_series, metric_series_by_dim, metric_series_by_service,
+                               period_for, rollup, select_points)
+from ..sources.tables import lookback_end
 
 MB = 1024 * 1024
 GB = 1024 * 1024 * 1024
@@ -28,7 +30,7 @@ def _backend(environment: str | None) -> dict[str, str]:
 
 
 def _periods(points: DataFrame, names: Sequence[str], dims: dict[str, str], by: Sequence[str] = (), *,
-             period: int | None = None, hours: int = 24, end: str | None = None,
+             period: int | None = None, hours: int | None = 24, end: str | None = None,
              namespace: str | None = None, exact_dims: bool = True, **keys: Column) -> DataFrame:
     chosen = select_points(points, names, dims=dims, by=by, hours=hours, end=end,
                            namespace=namespace, exact_dims=exact_dims)
@@ -68,6 +70,25 @@ def api_error_rate(points: DataFrame, *, environment: str | None = C.BACKEND_ENV
     return rated.withColumn("high", F.col("error_rate_pct") > C.ERROR_RATE_ALARM_PCT)
 
 
+def api_series(points: DataFrame, *, environment: str | None = C.BACKEND_ENVIRONMENT, **scope) -> DataFrame:
+    """Requests, mean latency (ms) and errors per period, from one scan, with a `metric` label."""
+    return _named_series(points, {C.METRIC_API_REQUEST: ("requests", "Sum"), C.METRIC_API_LATENCY: ("latency_ms", "Average"),
+                                  C.METRIC_API_ERROR: ("errors", "Sum")}, environment, **scope)
+
+
+def ws_series(points: DataFrame, *, environment: str | None = C.BACKEND_ENVIRONMENT, **scope) -> DataFrame:
+    """Active connections (highest) and messages sent per period, from one scan, with a `metric` label."""
+    return _named_series(points, {C.METRIC_WS_CONNECTIONS: ("connections", "Maximum"), C.METRIC_WS_SENT: ("sent", "Sum")}, environment, **scope)
+
+
+def _named_series(points: DataFrame, kinds: dict[str, tuple[str, str]], environment: str | None, **scope) -> DataFrame:
+    label = value = F.when(F.lit(False), F.lit(None))
+    for metric, (name, stat) in kinds.items():
+        label, value = label.when(F.col("metric_name") == metric, F.lit(name)), value.when(F.col("metric_name") == metric, F.col(stat))
+    return (_periods(points, list(kinds), _backend(environment), **scope)
+            .select(label.alias("metric"), "timestamp", value.alias("value")).orderBy("metric", "timestamp"))
+
+
 def order_latency_by_venue(points: DataFrame, *, venues: Sequence[str] = C.ORDER_VENUES,
                            environment: str | None = C.BACKEND_ENVIRONMENT, **scope) -> DataFrame:
     """Mean order placement latency of each listed venue, 0 without data."""
@@ -206,22 +227,23 @@ def alarm_counts(alarms: DataFrame) -> DataFrame:
 
 # --- services -------------------------------------------------------------------
 
-def service_health(points: DataFrame, *, period: int | None = None, hours: int = 24, end: str | None = None,
+def service_health(points: DataFrame, *, period: int | None = None, hours: int | None = 24, end: str | None = None,
                    namespace: str | None = None, exact_dims: bool = True,
-                   discovery_hours: int = 336) -> DataFrame:
+                   discovery_hours: int | None = 336) -> DataFrame:
     """Memory, memory limit, requests and a status for every service that reports memory.
 
-    Services are those with a memory point in the discovery time (two weeks by default), so a
-    service that fell silent within the lookback shows as NO DATA.
+    Services are those with a memory point in the discovery time (two weeks by default, all history with
+    None), so a service that fell silent within the lookback shows as NO DATA, and one silent for
+    longer than the discovery time is not listed. Points before the lookback fold to one row per service and metric.
     """
     names = [C.METRIC_MEMORY, C.METRIC_MEMORY_LIMIT, C.METRIC_HTTP_REQUESTS]
-    chosen = select_points(points, names, by=[C.DIM_SERVICE], hours=max(hours, discovery_hours), end=end,
+    reach = None if hours is None or discovery_hours is None else max(hours, discovery_hours)
+    chosen = select_points(points, names, by=[C.DIM_SERVICE], hours=reach, end=end,
                            namespace=namespace, exact_dims=exact_dims)
-    recent = F.lit(True)
-    if end is not None:
-        recent = F.col("ts") >= F.lit(end).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
-    periods = rollup(chosen, period or period_for(hours), F.col("metric_name"),
-                     dim(C.DIM_SERVICE).alias("service"), recent.alias("recent"))
+    recent = F.lit(True) if hours is None else F.col("ts") >= lookback_end(end) - F.make_dt_interval(hours=F.lit(hours))
+    start = F.when(recent, bucket(F.col("ts"), period or period_for(hours)))
+    periods = chosen.groupBy("metric_name", dim(C.DIM_SERVICE).alias("service"), start.alias("timestamp")).agg(
+        *[fn("value").alias(stat) for stat, fn in STATS.items()]).withColumn("recent", F.col("timestamp").isNotNull())
     now = lambda metric, stat: F.when(F.col("recent"), _of(metric, stat))
     per_service = periods.groupBy("service").agg(
         F.coalesce(F.avg(now(C.METRIC_MEMORY, "Average")), F.lit(0.0)).alias("avg_memory"),
@@ -285,19 +307,24 @@ def service_series(points: DataFrame, **scope) -> DataFrame:
 
 # --- CDN ------------------------------------------------------------------------
 
-def _one_distribution(points: DataFrame, distribution: str | None, namespace: str | None) -> DataFrame:
-    """Points of the given distribution, or of the first one by name that reports requests."""
+def _of_distribution(points: DataFrame, names: Sequence[str], distribution: str | None, **scope) -> DataFrame:
+    """Period rows of the given distribution, or of the first one by name that reports requests in the lookback.
+
+    The first one is found among the period rows of the same scan.
+    """
+    own = points.where(dim(C.DIM_REGION) == C.CDN_REGION)
     if distribution is not None:
-        return points.where(dim(C.DIM_DISTRIBUTION) == distribution)
-    ids = metric_dim_values(points, C.METRIC_CDN_REQUESTS, C.DIM_DISTRIBUTION, namespace)
-    return points.where(dim(C.DIM_DISTRIBUTION) == ids.agg(F.min("value")).scalar())
+        return _periods(own.where(dim(C.DIM_DISTRIBUTION) == distribution), names, {}, [C.DIM_DISTRIBUTION, C.DIM_REGION], **scope)
+    wanted = list(dict.fromkeys([*names, C.METRIC_CDN_REQUESTS]))
+    periods = _periods(own, wanted, {}, [C.DIM_DISTRIBUTION, C.DIM_REGION], distribution=dim(C.DIM_DISTRIBUTION), **scope)
+    first = periods.where(F.col("metric_name") == C.METRIC_CDN_REQUESTS).agg(F.min("distribution")).scalar()
+    return periods.where(F.col("metric_name").isin(list(names)) & (F.col("distribution") == first))
 
 
 def cdn_health(points: DataFrame, *, distribution: str | None = None, **scope) -> DataFrame:
     """Requests, GB served, mean error and cache-hit rates, and the two alarm flags."""
     names = [C.METRIC_CDN_REQUESTS, C.METRIC_CDN_BYTES, C.METRIC_CDN_4XX, C.METRIC_CDN_5XX, C.METRIC_CDN_HIT_RATE]
-    one = _one_distribution(points, distribution, scope.get("namespace"))
-    sums = _periods(one, names, {C.DIM_REGION: C.CDN_REGION}, [C.DIM_DISTRIBUTION], **scope).agg(
+    sums = _of_distribution(points, names, distribution, **scope).agg(
         _sum(C.METRIC_CDN_REQUESTS).alias("requests"),
         (F.coalesce(F.sum(_of(C.METRIC_CDN_BYTES, "Sum")), F.lit(0.0)) / GB).alias("served_gb"),
         _mean0(C.METRIC_CDN_4XX).alias("avg_4xx_pct"), _mean0(C.METRIC_CDN_5XX).alias("avg_5xx_pct"),
@@ -308,15 +335,13 @@ def cdn_health(points: DataFrame, *, distribution: str | None = None, **scope) -
 
 def cdn_error_series(points: DataFrame, *, distribution: str | None = None, **scope) -> DataFrame:
     """4xx and 5xx rates per period."""
-    one = _one_distribution(points, distribution, scope.get("namespace")).where(dim(C.DIM_REGION) == C.CDN_REGION)
     label = F.when(F.col("metric_name") == C.METRIC_CDN_4XX, "4xx").otherwise("5xx")
-    return (_periods(one, [C.METRIC_CDN_4XX, C.METRIC_CDN_5XX], {}, [C.DIM_DISTRIBUTION, C.DIM_REGION], **scope)
+    return (_of_distribution(points, [C.METRIC_CDN_4XX, C.METRIC_CDN_5XX], distribution, **scope)
             .select("timestamp", F.col("Average").alias("value"), label.alias("type")).orderBy("type", "timestamp"))
 
 
 def cdn_series(points: DataFrame, metric: str, stat: str, *, distribution: str | None = None,
                scale: float = 1.0, **scope) -> DataFrame:
     """One CDN metric per period (requests, megabytes with scale=MB, cache-hit rate)."""
-    one = _one_distribution(points, distribution, scope.get("namespace")).where(dim(C.DIM_REGION) == C.CDN_REGION)
-    periods = _periods(one, [metric], {}, [C.DIM_DISTRIBUTION, C.DIM_REGION], **scope)
+    periods = _of_distribution(points, [metric], distribution, **scope)
     return periods.select("timestamp", (F.col(stat) / scale).alias("value")).orderBy("timestamp")

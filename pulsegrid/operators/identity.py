@@ -49,15 +49,23 @@ def extract_identity(users: DataFrame) -> DataFrame:
         "coalesce(linked, cast(array() AS array<string>)) AS wallets")
 
 
-def wallet_identity(users: DataFrame, *, order_col: str = "ingest_order") -> DataFrame:
-    """One row per lower-cased wallet; where users share one, the last by `order_col` owns it."""
+_OWNED = ["user_id", "label", "login_type", "contact", "email"]
+
+
+def _wallets(users: DataFrame, order_col: str = "ingest_order") -> DataFrame:
+    """One row per user and linked wallet."""
     people = extract_identity(users if order_col == "ingest_order"
                               else users.withColumn("ingest_order", F.col(order_col)))
-    owner = F.max_by(F.struct("user_id", "label", "login_type", "contact", "email"),
-                     F.struct("ingest_order", "user_id"))
-    return (people.select(F.explode("wallets").alias("wallet"), "ingest_order", "user_id", "label",
-                          "login_type", "contact", "email")
-            .groupBy("wallet").agg(owner.alias("_owner")).select("wallet", "_owner.*"))
+    return people.select(F.explode("wallets").alias("wallet"), "ingest_order", *_OWNED)
+
+
+def _owner() -> Column:
+    return F.max_by(F.struct(*_OWNED), F.struct("ingest_order", "user_id"))
+
+
+def wallet_identity(users: DataFrame, *, order_col: str = "ingest_order") -> DataFrame:
+    """One row per lower-cased wallet; where users share one, the last by `order_col` owns it."""
+    return _wallets(users, order_col).groupBy("wallet").agg(_owner().alias("_owner")).select("wallet", "_owner.*")
 
 
 def login_badge(login_type: str) -> Column:
@@ -80,32 +88,45 @@ def _with_labels(joined: DataFrame, wallet_col: str) -> DataFrame:
     }).drop("_wallet", "_label", "_contact", "_login")
 
 
-def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
+def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address", *,
+                    hot: bool = True) -> DataFrame:
     """Adds `user_label`, `user_contact` and `login_type` by wallet, case-insensitively.
 
     No join hint: the identity table grows with the users, so the engine broadcasts it only when
-    its measured size allows, and otherwise shuffles both sides by wallet.
+    its measured size allows, and otherwise shuffles both sides by wallet. With `hot` one wallet may
+    own much of `df`: the join key is then an expression on both sides, so the join brings its own
+    shuffle to both and the engine can split a skewed partition, which it cannot do on top of the
+    aggregation that `wallet_identity` ends with. Frames with one row per wallet save that shuffle with `hot=False`.
     """
-    joined = df.join(_people(identity), F.lower(F.col(wallet_col)) == F.col("_wallet"), "left")
+    key = F.concat(F.col("_wallet"), F.lit("")) if hot else F.col("_wallet")
+    joined = df.join(_people(identity), F.lower(F.col(wallet_col)) == key, "left")
     return _with_labels(joined, wallet_col)
 
 
-def enrich_top(df: DataFrame, identity: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
-    """enrich_identity for a top-k list.
+def enrich_top(df: DataFrame, people: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
+    """enrich_identity for a top-k list, from user profiles or from a stored identity table.
 
-    The list has at most k rows, so it is the side that is broadcast: the identity table is
-    streamed past it and neither shuffled nor sorted. An outer join cannot keep the broadcast
-    side's rows, so the list is added once more without identity and the two are folded by row.
-    Both uses of the list read the one-partition shuffle of its k rows, so it is computed once.
+    The list has at most k rows, k being a display size, so it is the side that is broadcast: wallets are
+    streamed past it as they come out of the profiles, and only those of the list go on to the
+    choice of an owner. The user table is neither shuffled nor sorted. An outer join cannot keep
+    the broadcast side's rows, so the list is added once more without identity and the two are folded
+    by row. Both uses of the list read the one-partition shuffle of its k rows, so it is computed once.
     """
     rows = df.repartition(1).withColumn("_row", F.row_number().over(Window.orderBy(*df.columns)))
     columns = rows.columns
-    known = (_people(identity).join(F.broadcast(rows), F.col("_wallet") == F.lower(F.col(wallet_col)))
-             .select(*columns, "_label", "_contact", "_login"))
+    wanted = F.broadcast(rows.select("_row", F.lower(F.col(wallet_col)).alias("_wallet")))
+    if "linked_accounts" in people.columns:
+        found = _wallets(people).join(wanted, F.col("wallet") == F.col("_wallet"))
+        found = found.groupBy("_row").agg(_owner().alias("_owner")).select("_row", "_owner.*")
+    else:
+        found = people.join(wanted, F.col("wallet") == F.col("_wallet"))
+    known = found.select("_row", F.col("label").alias("_label"), F.col("contact").alias("_contact"), F.col("login_type").alias("_login"))
     none = F.lit(None).cast("string")
-    plain = rows.select(*columns, none.alias("_label"), none.alias("_contact"), none.alias("_login"))
-    folded = (plain.unionByName(known).groupBy(*columns)
-              .agg(*[F.max(c).alias(c) for c in ("_label", "_contact", "_login")]))
+    blank = {c: none.alias(c) for c in ("_label", "_contact", "_login")}
+    listed = rows.select(F.struct(*columns).alias("_list"), "_row", *blank.values())
+    empty = F.lit(None).cast(listed.schema["_list"].dataType).alias("_list")
+    both = listed.unionByName(known.select(empty, "_row", "_label", "_contact", "_login"))
+    folded = both.groupBy("_row").agg(*[F.max(c).alias(c) for c in ("_list", *blank)]).select("_list.*", *blank)
     return _with_labels(folded, wallet_col).drop("_row")
 
 

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.frames import top
+from ..functions.timestamps import bucket
 from ..functions.wallets import short_token
 
 
 def _capture(text: Column, pattern: str, group: int = 1) -> Column:
-    """A captured group of the first match; null where the pattern does not match."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+    """A captured group of the first match, for groups that are never empty; null where the pattern does not match."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def _captured_int(text: Column, pattern: str, dtype: str = "int") -> Column:
@@ -30,8 +31,8 @@ def priority(message: Column) -> Column:
 
 
 def body(message: Column) -> Column:
-    """The text after the header; null where the header has another form."""
-    return _capture(message, C.LINE_PATTERN, 2)
+    """The text after the header, which may be empty; null where the header has another form."""
+    return F.get(F.regexp_extract_all(message, F.lit(C.LINE_PATTERN), F.lit(2)), F.lit(0))
 
 
 def parse_syslog(logs: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def _errors(logs: DataFrame) -> DataFrame:
 
 
 def _per_hour(logs: DataFrame) -> DataFrame:
-    return logs.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("errors"))
+    return logs.groupBy(bucket(F.col("ts"), 3600).alias("hour")).agg(F.count("*").alias("errors"))
 
 
 def _newest(logs: DataFrame, k: int) -> DataFrame:
@@ -73,17 +74,19 @@ def _newest(logs: DataFrame, k: int) -> DataFrame:
     return logs.select("ts", "message").orderBy(F.desc("ts"), "message").limit(k).coalesce(1)
 
 
+def _service_counts(logs: DataFrame) -> DataFrame:
+    return (_errors(logs).groupBy(_capture(F.col("message"), C.SERVICE_PATTERN).alias("service"))
+            .agg(F.count("*").alias("errors")))
+
+
 def errors_by_service(logs: DataFrame, *, k: int = 15) -> DataFrame:
-    counts = (_errors(logs).groupBy(_capture(F.col("message"), C.SERVICE_PATTERN).alias("service"))
-              .agg(F.count("*").alias("errors")))
-    return top(counts, k, "errors", "service")
+    return top(_service_counts(logs), k, "errors", "service")
 
 
-def error_banner(logs: DataFrame, *, k: int = 15) -> DataFrame:
-    """Errors of the listed services, and the worst of them."""
-    ranked = errors_by_service(logs, k=k)
-    worst = F.max_by(F.struct("service", "errors"), F.struct("errors", F.col("service").isNotNull()))
-    return (ranked.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"), worst.alias("_worst"))
+def error_banner(logs: DataFrame) -> DataFrame:
+    """Errors of all services, and the worst service; among equals the first named one."""
+    worst = F.min_by(F.struct("service", "errors"), F.struct(-F.col("errors"), F.col("service").isNull(), "service"))
+    return (_service_counts(logs).agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("total_errors"), worst.alias("_worst"))
             .select("total_errors", F.col("_worst.service").alias("top_service"),
                     F.col("_worst.errors").alias("top_errors")))
 
@@ -92,20 +95,32 @@ def errors_per_hour(logs: DataFrame) -> DataFrame:
     return _per_hour(_errors(logs)).orderBy("hour")
 
 
+def _details(errors: DataFrame) -> DataFrame:
+    """Every error by kind, service and detail, from one pass.
+
+    Failed requests show "HTTP status /endpoint" (other requests are left out), all other lines their text.
+    """
+    text = F.col("message")
+    is_http = text.contains(C.HTTP_MARK)
+    lines = errors.select(is_http.alias("is_http"), body(text).alias("body"), _capture(text, C.SERVICE_PATTERN).alias("service"))
+    status = F.when(F.col("is_http"), _captured_int(F.col("body"), C.STATUS_PATTERN))
+    lines = lines.withColumn("status", status).where(~F.col("is_http") | (F.col("status") >= 400))
+    endpoint = _capture(_capture(F.col("body"), C.PATH_PATTERN), C.ENDPOINT_PATTERN)
+    request = F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" /"), endpoint)
+    service = F.when(F.col("is_http") | F.col("body").isNotNull(), F.col("service"))
+    return (lines.groupBy("is_http", service.alias("service"), F.when(F.col("is_http"), request).otherwise(F.col("body")).alias("detail"))
+            .agg(F.count("*").alias("count")))
+
+
 def http_error_details(logs: DataFrame, *, k: int | None = 15) -> DataFrame:
     """Failed requests among the errors, by service and "HTTP status /endpoint"."""
-    parsed = parse_syslog(_errors(logs.where(F.col("message").contains(C.HTTP_MARK)))).where(F.col("status") >= 400)
-    detail = F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" /"), F.col("endpoint"))
-    counts = parsed.groupBy("service", detail.alias("detail")).agg(F.count("*").alias("count"))
+    counts = _details(_errors(logs.where(F.col("message").contains(C.HTTP_MARK)))).drop("is_http")
     return counts if k is None else top(counts, k, "count", "service", "detail")
 
 
 def app_error_details(logs: DataFrame, *, k: int | None = 15) -> DataFrame:
     """All other errors, by service and text."""
-    plain = _errors(logs.where(~F.col("message").contains(C.HTTP_MARK)))
-    text = body(F.col("message"))
-    service = F.when(text.isNotNull(), _capture(F.col("message"), C.SERVICE_PATTERN))
-    counts = plain.groupBy(service.alias("service"), text.alias("detail")).agg(F.count("*").alias("count"))
+    counts = _details(_errors(logs.where(~F.col("message").contains(C.HTTP_MARK)))).drop("is_http")
     return counts if k is None else top(counts, k, "count", "service", "detail")
 
 
@@ -115,10 +130,9 @@ def clean_detail(detail: Column) -> Column:
     return F.coalesce(F.when(F.length(detail) > C.DETAIL_LIMIT, shown).otherwise(detail), F.lit(C.UNSTRUCTURED))
 
 
-def top_error_messages(logs: DataFrame, *, k: int = 25, each: int = 15) -> DataFrame:
-    """The two detail lists as one, most frequent first, details cleaned for display."""
-    both = http_error_details(logs, k=each).unionByName(app_error_details(logs, k=each))
-    return (top(both, k, "count", "service", "detail")
+def top_error_messages(logs: DataFrame, *, k: int = 25) -> DataFrame:
+    """All details of both kinds as one list, most frequent first, cleaned for display. The log is read once."""
+    return (top(_details(_errors(logs)), k, "count", "service", "detail", "is_http")
             .select("service", clean_detail(F.col("detail")).alias("detail"), "count"))
 
 
@@ -139,15 +153,22 @@ def keyword_errors_total(logs: DataFrame) -> DataFrame:
     return keyword_errors_per_hour(logs).agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
 
 
-def _swap_failures(logs: DataFrame) -> DataFrame:
+def _swap_requests(logs: DataFrame) -> DataFrame:
     text = F.col("message")
-    marked = logs.where(text.contains(C.SWAP_SERVICE_MARK) & text.contains(C.HTTP_MARK))
-    return marked.where(_captured_int(body(text), C.STATUS_PATTERN) >= 400)
+    return logs.where(text.contains(C.SWAP_SERVICE_MARK) & text.contains(C.HTTP_MARK))
+
+
+def _failed(lines: DataFrame) -> DataFrame:
+    """The failed ones of lines that have a `body`; it and the status are read once."""
+    return lines.withColumn("status", _captured_int(F.col("body"), C.STATUS_PATTERN)).where(F.col("status") >= 400)
 
 
 def swap_http_errors(logs: DataFrame, *, k: int = 20) -> DataFrame:
     """Failed swap requests by status, endpoint and output token, with a label."""
-    counts = (parse_syslog(_swap_failures(logs)).groupBy("status", "endpoint", "out_mint")
+    failed = _failed(_swap_requests(logs).select(body(F.col("message")).alias("body")))
+    paths = failed.select("status", _capture(F.col("body"), C.PATH_PATTERN).alias("path"))
+    counts = (paths.groupBy("status", _capture(F.col("path"), C.ENDPOINT_PATTERN).alias("endpoint"),
+                            _capture(F.col("path"), C.OUT_MINT_PATTERN).alias("out_mint"))
               .agg(F.count("*").alias("count")))
     arrow = F.when(F.length("out_mint") > 10, F.concat(F.lit(" → "), short_token(F.col("out_mint"), 10)))
     label = F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" /"),
@@ -156,11 +177,12 @@ def swap_http_errors(logs: DataFrame, *, k: int = 20) -> DataFrame:
 
 
 def swap_errors_per_hour(logs: DataFrame) -> DataFrame:
-    return _per_hour(_swap_failures(logs)).orderBy("hour")
+    return _per_hour(_failed(_swap_requests(logs).select("ts", body(F.col("message")).alias("body")))).orderBy("hour")
 
 
 def swap_recent_failures(logs: DataFrame, *, k: int = 25) -> DataFrame:
-    newest = _newest(_swap_failures(logs), k)
+    requests = _swap_requests(logs)
+    newest = _newest(_failed(requests.withColumn("body", body(F.col("message")))), k)
     return (parse_syslog(newest).orderBy(F.desc("ts"), "message")
             .select("time", "status", "method", "endpoint", "latency_ms",
                     short_token(F.col("in_mint")).alias("in_mint"), short_token(F.col("out_mint")).alias("out_mint")))

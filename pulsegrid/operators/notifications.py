@@ -121,7 +121,7 @@ def top_tapped_tickers(ev: DataFrame, *, k: int = 10) -> DataFrame:
     return top(counts, k, "taps", "ticker")
 
 
-def top_tappers(ev: DataFrame, identity: DataFrame, *, k: int = 10) -> DataFrame:
+def top_tappers(ev: DataFrame, people: DataFrame, *, k: int = 10) -> DataFrame:
     taps = ev.where((F.col("event") == NOTIFICATION_TAP) & F.col(WALLET).isNotNull())
     best = top(taps.groupBy(WALLET).agg(F.count("*").alias("taps")), k, "taps", WALLET)
-    return enrich_top(best, identity).orderBy(F.desc("taps"), WALLET)
+    return enrich_top(best, people).orderBy(F.desc("taps"), WALLET)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_TZ, DEPOSIT, DOW_MONDAY_FIRST, PERPS, SHORT_TIME_FORMAT, SWAP
+from ..constants import DEFAULT_TZ, DEPOSIT, DOW_MONDAY_FIRST, PERPS, SWAP
 from ..functions.frames import equal_width_bins, fill_spine, fixed_list, top, whole_range
 from ..functions.numbers import half_even, percent, ratio, total
 from ..functions.wallets import short_wallet
@@ -163,23 +163,28 @@ def deposits_by_source(tr: DataFrame) -> DataFrame:
 
 # --- leaderboards and lists -----------------------------------------------------
 
-def top_traders_by_volume(tr: DataFrame, identity: DataFrame, *, k: int = 15,
+def top_traders_by_volume(tr: DataFrame, people: DataFrame, *, k: int = 15,
                           digits: int | None = 0) -> DataFrame:
     per_wallet = (not_deposits(tr).where(F.col(WALLET).isNotNull()).groupBy(WALLET)
                   .agg(total(F.col(VOLUME)).alias("_exact"), F.count(VOLUME).alias("trades")))
-    best = enrich_top(top(per_wallet, k, "_exact", WALLET), identity)
+    best = enrich_top(top(per_wallet, k, "_exact", WALLET), people)
     return (best.withColumn("volume", half_even(F.col("_exact"), digits))
             .orderBy(F.desc("_exact"), WALLET)
             .select(WALLET, "volume", "trades", "user_label", "user_contact", "login_type"))
 
 
-def top_traders_by_count(tr: DataFrame, identity: DataFrame, *, k: int = 15) -> DataFrame:
+def top_traders_by_count(tr: DataFrame, people: DataFrame, *, k: int = 15) -> DataFrame:
     counts = _count_by(not_deposits(tr), WALLET, WALLET, "trades")
-    return enrich_top(top(counts, k, "trades", WALLET), identity).orderBy(F.desc("trades"), WALLET)
+    return enrich_top(top(counts, k, "trades", WALLET), people).orderBy(F.desc("trades"), WALLET)
 
 
 def local_time_text(col: str = "ts_local") -> Column:
-    return F.date_format(col, SHORT_TIME_FORMAT)
+    """Short text of a wall clock, e.g. "Mar 10, 02:30 AM", from its fields: no session zone can shift it."""
+    hour = F.hour(col)
+    clock = F.lpad(F.when(hour % 12 == 0, F.lit(12)).otherwise(hour % 12).cast("string"), 2, "0")
+    minute = F.lpad(F.minute(col).cast("string"), 2, "0")
+    half = F.when(hour < 12, F.lit(" AM")).otherwise(F.lit(" PM"))
+    return F.concat(F.date_format(F.to_date(col), "MMM dd"), F.lit(", "), clock, F.lit(":"), minute, half)
 
 
 def user_trade_totals(tr: DataFrame, wallet: str) -> DataFrame:
@@ -193,23 +198,23 @@ def user_trades(tr: DataFrame, wallet: str) -> DataFrame:
             .select(local_time_text().alias("time"), *columns))
 
 
-def _recent(df: DataFrame, identity: DataFrame, columns: list[str], k: int) -> DataFrame:
+def _recent(df: DataFrame, people: DataFrame, columns: list[str], k: int) -> DataFrame:
     """The k latest rows with identity. Ties at the cut are settled by the shown columns."""
     order = [F.desc_nulls_last("ts"), F.asc_nulls_last(WALLET), *[F.asc_nulls_last(c) for c in columns]]
     latest = df.select("ts", "ts_local", WALLET, *columns).orderBy(*order).limit(k)
-    return (enrich_top(latest, identity).orderBy(*order)
+    return (enrich_top(latest, people).orderBy(*order)
             .select(local_time_text().alias("time"), "user_label", "login_type",
                     short_wallet(F.col(WALLET)).alias("wallet"), *columns))
 
 
-def recent_swaps(tr: DataFrame, identity: DataFrame, *, k: int = 50) -> DataFrame:
-    return _recent(swaps(tr), identity, ["from_token", "to_token", "amount_usd", "status", "source"], k)
+def recent_swaps(tr: DataFrame, people: DataFrame, *, k: int = 50) -> DataFrame:
+    return _recent(swaps(tr), people, ["from_token", "to_token", "amount_usd", "status", "source"], k)
 
 
-def recent_perps(tr: DataFrame, identity: DataFrame, *, k: int = 50) -> DataFrame:
-    return _recent(perps(tr), identity, ["asset", "side", "size", "price", "leverage", "amount_usd",
+def recent_perps(tr: DataFrame, people: DataFrame, *, k: int = 50) -> DataFrame:
+    return _recent(perps(tr), people, ["asset", "side", "size", "price", "leverage", "amount_usd",
                                          "order_type", "is_close"], k)
 
 
-def recent_deposits(tr: DataFrame, identity: DataFrame, *, k: int = 50) -> DataFrame:
-    return _recent(deposits(tr), identity, ["amount_usd", "source"], k)
+def recent_deposits(tr: DataFrame, people: DataFrame, *, k: int = 50) -> DataFrame:
+    return _recent(deposits(tr), people, ["amount_usd", "source"], k)

@@ -124,7 +124,7 @@ QUERIES: dict[str, Query] = {
         lambda x: A.user_activity(x.ev, x.identity),
         enriched(_ACTIVITY, f"b.*, {short('b.wallet_address')} AS wallet_short")),
     "most_active_users": Query(
-        lambda x: A.most_active_users(x.ev, x.identity),
+        lambda x: A.most_active_users(x.ev, x.users),
         enriched(f"{_ACTIVITY} ORDER BY events DESC, wallet_address LIMIT 20", f"b.*, {short('b.wallet_address')} AS wallet_short")),
     "concurrent_users": Query(
         lambda x: A.concurrent_users(x.ev),
@@ -179,7 +179,7 @@ QUERIES: dict[str, Query] = {
         + " FROM (SELECT unnest(range(7)) AS d) LEFT JOIN ev ON ev.day_of_week = d GROUP BY 2"),
     # --- leaderboards and one user ---
     "time_spent_leaderboard": Query(
-        lambda x: A.time_spent_leaderboard(x.ev, x.identity),
+        lambda x: A.time_spent_leaderboard(x.ev, x.users),
         enriched("""SELECT wallet_address, round_even(sum(duration_ms) / 60000, 1) AS total_time_min,
             count(session_id) AS sessions, round_even(avg(duration_ms) / 60000, 1) AS avg_session_min FROM sessions
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", f"b.*, {short('b.wallet_address')} AS wallet_short")),
@@ -188,7 +188,7 @@ QUERIES: dict[str, Query] = {
         f"""SELECT wallet_address, user_label, {short('wallet_address')} AS wallet_short
             FROM ({enriched('SELECT DISTINCT wallet_address FROM ev')})"""),
     "user_profile": Query(
-        lambda x: A.user_profile(x.ev, x.identity, WALLET),
+        lambda x: A.user_profile(x.ev, x.users, WALLET),
         enriched(f"""SELECT '{WALLET}' AS wallet_address, count(*) AS events, count(DISTINCT date) AS days_active,
             coalesce(sum(CASE WHEN event = 'session_end' AND CAST(m_duration AS DOUBLE) > 0 THEN CAST(m_duration AS DOUBLE) END), 0)
             / 60000 AS total_min FROM ev WHERE wallet_address = '{WALLET}'"""), {"total_min": 6}),

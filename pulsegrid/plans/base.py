@@ -92,14 +92,15 @@ class Query:
 
 
 def present(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Days and times as text, whole numbers as bigint, the named doubles rounded."""
+    """Days and times (to the microsecond) as text, whole numbers as bigint, the named doubles rounded."""
     out = []
     for f in df.schema:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             col = F.date_format(col, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            text = col.cast("timestamp_ntz").cast("string")
+            col = F.concat(F.substring(text, 1, 19), F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             col = col.cast("bigint")
         elif f.name in digits:
@@ -115,7 +116,7 @@ def day(expr: str) -> str:
 
 def moment(expr: str) -> str:
     """SQL text of a time."""
-    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def short(expr: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -11,55 +10,55 @@ from ..operators import logs as L
 from ..operators.normalize import real_users
 from ..sources import metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, scan_alarms
 from ..sources import scan_logs, scan_points
-from ..streaming import run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup
+from ..session import work_dir
+from ..streaming import (metric_rollup, run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup,
+                         viewers_per_bucket, with_open_windows)
 from . import fixtures
 from .base import Inputs, Query, moment
 
 END = "2024-01-29 00:00:00"
 BACKEND = {C.DIM_ENVIRONMENT: C.BACKEND_ENVIRONMENT}
 VALUE = {"value": 6}
+FINE = {"value": 12}     # scaled values: rounded so far down that no exact half can meet the cut
 MB = 1024 * 1024
+P = "(SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-29')"   # what _ALL looks back on
 
 # One exact series: which dimension columns are set, and to what.
 _OWN = "environment = 'development' AND venue IS NULL"
 _VENUE = "environment = 'development' AND venue IS NOT NULL"
-_CDN = "distribution = (SELECT min(distribution) FROM points WHERE metric_name = 'Requests') AND region = 'Global'"
+_CDN = f"distribution = (SELECT min(distribution) FROM {P} WHERE metric_name = 'Requests') AND region = 'Global'"
 
 
 def _bucket(period: int) -> str:
     return f"time_bucket(INTERVAL '{period} seconds', ts)"
 
 
-def _series(metric: str, fn: str, where: str, period: int = 300, keys: str = "") -> str:
+def _series(metric: str, fn: str, where: str, period: int = 300, keys: str = "", scale: int = 1) -> str:
     group = f", {keys}" if keys else ""
-    return (f"SELECT {moment('b')} AS timestamp, v AS value{group} FROM (SELECT {_bucket(period)} AS b, {fn}(value) AS v{group} "
-            f"FROM points WHERE metric_name = '{metric}' AND {where} GROUP BY 1{group})")
+    value = "v" if scale == 1 else f"v / {scale}.0::double"
+    return (f"SELECT {moment('b')} AS timestamp, {value} AS value{group} FROM (SELECT {_bucket(period)} AS b, {fn}(value) AS v{group} "
+            f"FROM {P} WHERE metric_name = '{metric}' AND {where} GROUP BY 1{group})")
 
 
 def _mean(metric: str, where: str = _OWN) -> str:
-    return (f"(SELECT avg(v) FROM (SELECT avg(value) AS v FROM points WHERE metric_name = '{metric}' AND {where} "
+    return (f"(SELECT avg(v) FROM (SELECT avg(value) AS v FROM {P} WHERE metric_name = '{metric}' AND {where} "
             f"GROUP BY {_bucket(300)}))")
 
 
 def _sum(metric: str, where: str = _OWN) -> str:
-    return f"(SELECT CAST(trunc(coalesce(sum(value), 0)) AS BIGINT) FROM points WHERE metric_name = '{metric}' AND {where})"
+    return f"(SELECT CAST(trunc(coalesce(sum(value), 0)) AS BIGINT) FROM {P} WHERE metric_name = '{metric}' AND {where})"
 
 
 def _venue_mean(metric: str) -> str:
-    return (f"SELECT venue, avg(v) AS m FROM (SELECT venue, avg(value) AS v FROM points WHERE metric_name = '{metric}' AND {_VENUE} "
+    return (f"SELECT venue, avg(v) AS m FROM (SELECT venue, avg(value) AS v FROM {P} WHERE metric_name = '{metric}' AND {_VENUE} "
             f"GROUP BY venue, {_bucket(300)}) GROUP BY venue")
 
 
-def _service_series(metric: str, fn: str) -> str:
-    return _series(metric, fn, "service IS NOT NULL", keys="service")
+def _service_series(metric: str, fn: str, scale: int = 1) -> str:
+    return _series(metric, fn, "service IS NOT NULL", keys="service", scale=scale)
 
 
-_ALL = dict(period=300)
-
-
-def _unscaled(df: DataFrame, **factors) -> DataFrame:
-    """Scaled columns times their factor, so that rounding for the comparison meets no exact halves."""
-    return df.withColumns({name: F.col(name) * factor for name, factor in factors.items()})
+_ALL = dict(period=300, hours=672, end=END)
 
 
 _ERR = "pri <= 4"
@@ -71,9 +70,10 @@ def _hourly(where: str) -> str:
 
 
 _HTTP_DETAIL = (f"SELECT svc AS service, 'HTTP ' || sc || ' /' || endpoint AS detail, count(*) AS count FROM logs WHERE {_ERR} "
-                "AND message LIKE '%http-request%' AND sc >= 400 GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15")
+                "AND message LIKE '%http-request%' AND sc >= 400 GROUP BY 1, 2")
 _APP_DETAIL = (f"SELECT svc AS service, body AS detail, count(*) AS count FROM logs WHERE {_ERR} "
-               "AND message NOT LIKE '%http-request%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15")
+               "AND message NOT LIKE '%http-request%' GROUP BY 1, 2")
+_FIRST = " ORDER BY 3 DESC, 1, 2 LIMIT 15"
 
 
 def _short(col: str) -> str:
@@ -84,54 +84,69 @@ def _short(col: str) -> str:
 
 def _raw_stream(x: Inputs):
     raw = fixtures.table(x.spark, x.sf_dir, "events")
-    return x.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(x.sf_dir)
+    reader = x.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet")
+    return reader.option("maxFilesPerTrigger", 64).parquet(x.sf_dir)
 
 
 def _stream_users(x: Inputs):
     flat = _raw_stream(x).selectExpr(*[f"{e} AS `{n}`" for n, e in fixtures.EVENTS.items()])
     real = real_users(flat.withColumn("ts", F.col("timestamp")))
-    return run_available(stream_concurrent_users(real), "concurrent-users")
+    run = run_available(stream_concurrent_users(real), work_dir(x.spark, "concurrent-users"))
+    return with_open_windows(run.table, x.ev, "time_utc", 300, viewers_per_bucket)
 
 
 def _stream_rollup(x: Inputs):
     points = fixtures.points_of(_raw_stream(x))
-    return run_available(stream_metric_rollup(points, C.METRIC_API_LATENCY, period=3600), "metric-rollup")
+    run = run_available(stream_metric_rollup(points, C.METRIC_API_LATENCY, period=3600, dims=BACKEND), work_dir(x.spark, "metric-rollup"))
+    return with_open_windows(run.table, x.points, "timestamp", 3600, lambda p: metric_rollup(p, C.METRIC_API_LATENCY, period=3600, dims=BACKEND))
 
 
 def _stream_errors(x: Inputs):
     lines = _raw_stream(x).selectExpr(*[f"{e} AS `{n}`" for n, e in fixtures.LOGS.items()])
-    return run_available(stream_errors_per_hour(lines), "errors-per-hour")
+    run = run_available(stream_errors_per_hour(lines), work_dir(x.spark, "errors-per-hour"))
+    return with_open_windows(run.table, x.logs, "hour", 3600, L.errors_per_hour)
 
 
 QUERIES: dict[str, Query] = {
     # --- metric rollups ---
     "scan_points": Query(
-        lambda x: scan_points(x.points).groupBy("metric_name").agg(F.count("*").alias("points"), F.max("value").alias("highest")),
-        "SELECT metric_name, count(*) AS points, max(value) AS highest FROM points GROUP BY 1"),
-    "metric_series": Query(lambda x: metric_series(x.points, C.METRIC_API_LATENCY, "Average", dims=BACKEND),
+        lambda x: scan_points(x.points).select("ts", "namespace", "metric_name", "value", F.to_json("dims").alias("dims")),
+        f"""SELECT {moment('ts')} AS ts, CAST(NULL AS VARCHAR) AS namespace, metric_name, value, '{{' || array_to_string(list_filter([
+            '"{C.DIM_ENVIRONMENT}":"' || environment || '"', '"{C.DIM_VENUE}":"' || venue || '"', '"{C.DIM_SERVICE}":"' || service || '"',
+            '"{C.DIM_DISTRIBUTION}":"' || distribution || '"', '"{C.DIM_REGION}":"' || region || '"'], lambda x: x IS NOT NULL), ',') || '}}' AS dims
+            FROM points"""),
+    "metric_series": Query(lambda x: metric_series(x.points, C.METRIC_API_LATENCY, "Average", dims=BACKEND, **_ALL),
                            _series(C.METRIC_API_LATENCY, "avg", _OWN), VALUE),
-    "metric_series_sum": Query(lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, period=86400),
+    "metric_series_sum": Query(lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, period=86400, hours=672, end=END),
                                _series(C.METRIC_API_REQUEST, "sum", _OWN, 86400), {"value": 2}),
-    "metric_series_max": Query(lambda x: metric_series(x.points, C.METRIC_WS_CONNECTIONS, "Maximum", dims=BACKEND, hours=72),
-                               _series(C.METRIC_WS_CONNECTIONS, "max", _OWN, 900)),
+    "metric_series_max": Query(lambda x: metric_series(x.points, C.METRIC_WS_CONNECTIONS, "Maximum", dims=BACKEND, hours=72, end=END),
+                               _series(C.METRIC_WS_CONNECTIONS, "max", _OWN + " AND ts >= TIMESTAMP '2024-01-26'", 900)),
     "metric_series_lookback": Query(
         lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, hours=168, end=END, exact_dims=False),
         _series(C.METRIC_API_REQUEST, "sum", "environment = 'development' AND ts >= TIMESTAMP '2024-01-22' "
                 "AND ts < TIMESTAMP '2024-01-29'", 3600), {"value": 2}),
     "metric_series_by_dim": Query(
-        lambda x: metric_series_by_dim(x.points, C.METRIC_VENUE_ERROR, C.DIM_VENUE, C.ORDER_VENUES, "Sum", dims=BACKEND),
+        lambda x: metric_series_by_dim(x.points, C.METRIC_VENUE_ERROR, C.DIM_VENUE, C.ORDER_VENUES, "Sum", dims=BACKEND, **_ALL),
         "SELECT timestamp, value, venue AS dimension FROM (" + _series(
             C.METRIC_VENUE_ERROR, "sum", _VENUE + " AND venue IN ('hyperliquid', 'ostium')", keys="venue") + ")", {"value": 2}),
-    "metric_series_by_service": Query(lambda x: metric_series_by_service(x.points, C.METRIC_MEMORY, "Average"),
+    "metric_series_by_service": Query(lambda x: metric_series_by_service(x.points, C.METRIC_MEMORY, "Average", **_ALL),
                                       _service_series(C.METRIC_MEMORY, "avg"), VALUE),
     "metric_dim_values": Query(
-        lambda x: metric_dim_values(x.points, C.METRIC_MEMORY, C.DIM_SERVICE),
-        f"SELECT DISTINCT service AS value FROM points WHERE metric_name = '{C.METRIC_MEMORY}' AND service IS NOT NULL"),
+        lambda x: metric_dim_values(x.points, C.METRIC_MEMORY, C.DIM_SERVICE, hours=672, end=END),
+        f"SELECT DISTINCT service AS value FROM {P} WHERE metric_name = '{C.METRIC_MEMORY}' AND service IS NOT NULL"),
     # --- backend ---
     "api_health": Query(
         lambda x: H.api_health(x.points, **_ALL),
         f"""SELECT {_sum(C.METRIC_API_REQUEST)} AS requests, {_mean(C.METRIC_API_LATENCY)} AS avg_latency_ms,
             {_sum(C.METRIC_API_ERROR)} AS errors""", {"avg_latency_ms": 6}),
+    "api_series": Query(
+        lambda x: H.api_series(x.points, **_ALL),
+        " UNION ALL ".join(f"SELECT '{name}' AS metric, timestamp, value FROM ({_series(metric, fn, _OWN)})" for name, metric, fn in [
+            ("requests", C.METRIC_API_REQUEST, "sum"), ("latency_ms", C.METRIC_API_LATENCY, "avg"), ("errors", C.METRIC_API_ERROR, "sum")]), VALUE),
+    "ws_series": Query(
+        lambda x: H.ws_series(x.points, **_ALL),
+        " UNION ALL ".join(f"SELECT '{name}' AS metric, timestamp, value FROM ({_series(metric, fn, _OWN)})" for name, metric, fn in [
+            ("connections", C.METRIC_WS_CONNECTIONS, "max"), ("sent", C.METRIC_WS_SENT, "sum")]), VALUE),
     "api_error_rate": Query(
         lambda x: H.api_error_rate(x.points, **_ALL),
         f"""SELECT *, errors / requests * 100 AS error_rate_pct, errors / requests * 100 > 1 AS high FROM (
@@ -153,19 +168,19 @@ QUERIES: dict[str, Query] = {
         f"""SELECT {_sum(C.METRIC_BRIDGE_SUCCESS)} AS successes, {_sum(C.METRIC_BRIDGE_FAILURE)} AS failures,
             {_mean(C.METRIC_BRIDGE_DURATION)} / 1000 AS avg_duration_s, {_mean(C.METRIC_BRIDGE_FILL)} / 1000 AS avg_fill_s""",
         {"avg_duration_s": 6, "avg_fill_s": 6}),
-    "bridge_duration_series": Query(lambda x: _unscaled(H.bridge_duration_series(x.points, **_ALL), value=1000),
-                                    _series(C.METRIC_BRIDGE_DURATION, "avg", _OWN), VALUE),
+    "bridge_duration_series": Query(lambda x: H.bridge_duration_series(x.points, **_ALL),
+                                    _series(C.METRIC_BRIDGE_DURATION, "avg", _OWN, scale=1000), FINE),
     "fund_router_health": Query(
         lambda x: H.fund_router_health(x.points, **_ALL),
         f"""SELECT {_mean(C.METRIC_ROUTE)} / 1000 AS avg_route_s, {_mean(C.METRIC_REVERSE_ROUTE)} / 1000 AS avg_reverse_s,
             {_sum(C.METRIC_SETTLE_TIMEOUT)} AS timeouts""", {"avg_route_s": 6, "avg_reverse_s": 6}),
-    "fund_route_series": Query(lambda x: _unscaled(H.fund_route_series(x.points, **_ALL), value=1000),
-                               _series(C.METRIC_ROUTE, "avg", _OWN), VALUE),
+    "fund_route_series": Query(lambda x: H.fund_route_series(x.points, **_ALL),
+                               _series(C.METRIC_ROUTE, "avg", _OWN, scale=1000), FINE),
     "venue_health": Query(
         lambda x: H.venue_health(x.points, **_ALL),
         f"""SELECT s.venue, coalesce(l.m, 0) AS avg_read_ms, coalesce(e.n, 0) AS read_errors
             FROM (SELECT unnest(['hyperliquid', 'lighter', 'ostium']) AS venue) s LEFT JOIN ({_venue_mean(C.METRIC_VENUE_READ)}) l
-            ON l.venue = s.venue LEFT JOIN (SELECT venue, CAST(trunc(sum(value)) AS BIGINT) AS n FROM points
+            ON l.venue = s.venue LEFT JOIN (SELECT venue, CAST(trunc(sum(value)) AS BIGINT) AS n FROM {P}
             WHERE metric_name = '{C.METRIC_VENUE_ERROR}' AND {_VENUE} GROUP BY 1) e ON e.venue = s.venue""", {"avg_read_ms": 6}),
     "venue_latency_series": Query(
         lambda x: H.venue_latency_series(x.points, **_ALL),
@@ -181,18 +196,21 @@ QUERIES: dict[str, Query] = {
     "ws_health": Query(
         lambda x: H.ws_health(x.points, **_ALL),
         f"""SELECT *, peak_connections / 21000 * 100 AS capacity_pct, least(peak_connections / 21000 * 100, 100) AS capacity_bar_pct
-            FROM (SELECT (SELECT CAST(trunc(max(value)) AS BIGINT) FROM points WHERE metric_name = '{C.METRIC_WS_CONNECTIONS}'
+            FROM (SELECT (SELECT CAST(trunc(max(value)) AS BIGINT) FROM {P} WHERE metric_name = '{C.METRIC_WS_CONNECTIONS}'
                 AND {_OWN}) AS peak_connections, {_sum(C.METRIC_WS_SENT)} AS sent, {_sum(C.METRIC_WS_RECEIVED)} AS received,
                 {_sum(C.METRIC_WS_SLOW)} AS slow_clients)""", {"capacity_pct": 6, "capacity_bar_pct": 6}),
     "signing_health": Query(
         lambda x: H.signing_health(x.points, **_ALL),
-        f"""SELECT {_mean(C.METRIC_SIGNING)} AS avg_signing_ms, (SELECT count(DISTINCT {_bucket(300)}) FROM points
+        f"""SELECT {_mean(C.METRIC_SIGNING)} AS avg_signing_ms, (SELECT count(DISTINCT {_bucket(300)}) FROM {P}
             WHERE metric_name = '{C.METRIC_SIGNING}' AND {_OWN}) AS signings""", {"avg_signing_ms": 6}),
     "snapshot_latency": Query(lambda x: H.snapshot_latency(x.points, **_ALL),
                               f"SELECT {_mean(C.METRIC_SNAPSHOT)} AS avg_snapshot_ms", {"avg_snapshot_ms": 6}),
     "fee_balance_series": Query(
         lambda x: H.fee_balance_series(x.points, **_ALL),
         f"SELECT *, CAST(0.005 AS DOUBLE) AS threshold, value < 0.005 AS low FROM ({_series(C.METRIC_FEE_BALANCE, 'min', _OWN)})"),
+    "fee_balance_series_sol": Query(
+        lambda x: H.fee_balance_series(x.points, threshold=C.SOL_BALANCE_ALARM, **_ALL),
+        f"SELECT *, CAST({C.SOL_BALANCE_ALARM} AS DOUBLE) AS threshold, value < {C.SOL_BALANCE_ALARM} AS low FROM ({_series(C.METRIC_FEE_BALANCE, 'min', _OWN)})"),
     # --- alarms ---
     "scan_alarms": Query(lambda x: scan_alarms(x.alarms), 'SELECT "AlarmName", "StateValue", "AlarmDescription" FROM alarms'),
     "alarm_status": Query(
@@ -204,42 +222,41 @@ QUERIES: dict[str, Query] = {
                           'SELECT "StateValue" AS state, count(*) AS alarms FROM alarms GROUP BY 1'),
     # --- services ---
     "service_health": Query(
-        lambda x: _unscaled(H.service_health(x.points, **_ALL), avg_memory_mb=MB, limit_mb=MB),
+        lambda x: H.service_health(x.points, **_ALL),
         f"""SELECT service, upper(left(replace(service, '-', ' '), 1)) || lower(substr(replace(service, '-', ' '), 2)) AS label,
-            avg_memory AS avg_memory_mb, lim AS limit_mb, avg_memory / lim * 100 AS memory_pct, requests,
+            avg_memory / {MB}.0::double AS avg_memory_mb, lim / {MB}.0::double AS limit_mb, avg_memory / lim * 100 AS memory_pct, requests,
             CASE WHEN n <= 2 THEN 'NO DATA' WHEN avg_memory / lim * 100 > 85 THEN 'CRITICAL'
                  WHEN avg_memory / lim * 100 > 70 THEN 'WARNING' ELSE 'HEALTHY' END AS status
-            FROM (SELECT service, avg(v) AS avg_memory, count(*) AS n FROM (SELECT service, avg(value) AS v FROM points
+            FROM (SELECT service, avg(v) AS avg_memory, count(*) AS n FROM (SELECT service, avg(value) AS v FROM {P}
                 WHERE metric_name = '{C.METRIC_MEMORY}' GROUP BY service, {_bucket(300)}) GROUP BY 1) m
-            LEFT JOIN (SELECT service, max(value) AS lim FROM points WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) l USING (service)
-            LEFT JOIN (SELECT service, CAST(trunc(sum(value)) AS BIGINT) AS requests FROM points
+            LEFT JOIN (SELECT service, max(value) AS lim FROM {P} WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) l USING (service)
+            LEFT JOIN (SELECT service, CAST(trunc(sum(value)) AS BIGINT) AS requests FROM {P}
                 WHERE metric_name = '{C.METRIC_HTTP_REQUESTS}' GROUP BY 1) r USING (service)""",
-        {"avg_memory_mb": 6, "limit_mb": 6, "memory_pct": 6}),
+        {"avg_memory_mb": 12, "limit_mb": 12, "memory_pct": 6}),
     "service_memory": Query(
-        lambda x: _unscaled(H.service_memory(x.points, **_ALL), value_mb=MB, limit_mb=MB),
-        f"""SELECT timestamp, value AS value_mb, service, lim AS limit_mb
-            FROM ({_service_series(C.METRIC_MEMORY, 'avg')}) LEFT JOIN (SELECT service, max(value) AS lim FROM points
-            WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) USING (service)""", {"value_mb": 6, "limit_mb": 6}),
+        lambda x: H.service_memory(x.points, **_ALL),
+        f"""SELECT timestamp, value AS value_mb, service, lim / {MB}.0::double AS limit_mb
+            FROM ({_service_series(C.METRIC_MEMORY, 'avg', MB)}) LEFT JOIN (SELECT service, max(value) AS lim FROM {P}
+            WHERE metric_name = '{C.METRIC_MEMORY_LIMIT}' GROUP BY 1) USING (service)""", {"value_mb": 12, "limit_mb": 12}),
     "service_cpu_series": Query(lambda x: H.service_cpu_series(x.points, **_ALL), _service_series(C.METRIC_CPU, "avg"), VALUE),
     "service_http_series": Query(lambda x: H.service_http_series(x.points, **_ALL), _service_series(C.METRIC_HTTP_REQUESTS, "sum"), VALUE),
     "service_latency_series": Query(lambda x: H.service_latency_series(x.points, **_ALL), _service_series(C.METRIC_HTTP_LATENCY, "avg"), VALUE),
-    "service_network_series": Query(lambda x: _unscaled(H.service_network_series(x.points, **_ALL), value=1024),
-                                    _service_series(C.METRIC_NETWORK_TX, "sum"), VALUE),
+    "service_network_series": Query(lambda x: H.service_network_series(x.points, **_ALL),
+                                    _service_series(C.METRIC_NETWORK_TX, "sum", 1024), FINE),
     "service_series": Query(
-        lambda x: _unscaled(H.service_series(x.points, **_ALL),
-                            value=F.when(F.col("metric") == "network_kb", 1024).otherwise(1)),
-        " UNION ALL ".join(f"SELECT '{name}' AS metric, service, timestamp, value FROM ({_service_series(metric, fn)})"
-                           for name, metric, fn in [
-                               ("cpu", C.METRIC_CPU, "avg"), ("http", C.METRIC_HTTP_REQUESTS, "sum"),
-                               ("latency", C.METRIC_HTTP_LATENCY, "avg"), ("network_kb", C.METRIC_NETWORK_TX, "sum")]), VALUE),
+        lambda x: H.service_series(x.points, **_ALL),
+        " UNION ALL ".join(f"SELECT '{name}' AS metric, service, timestamp, value FROM ({_service_series(metric, fn, scale)})"
+                           for name, metric, fn, scale in [
+                               ("cpu", C.METRIC_CPU, "avg", 1), ("http", C.METRIC_HTTP_REQUESTS, "sum", 1),
+                               ("latency", C.METRIC_HTTP_LATENCY, "avg", 1), ("network_kb", C.METRIC_NETWORK_TX, "sum", 1024)]), FINE),
     # --- CDN ---
     "cdn_health": Query(
-        lambda x: _unscaled(H.cdn_health(x.points, **_ALL), served_gb=1024 ** 3),
+        lambda x: H.cdn_health(x.points, **_ALL),
         f"""SELECT *, avg_4xx_pct > 1 AS high_4xx, avg_5xx_pct > 0.5 AS high_5xx FROM (SELECT {_sum(C.METRIC_CDN_REQUESTS, _CDN)} AS requests,
-            (SELECT sum(value) FROM points WHERE metric_name = '{C.METRIC_CDN_BYTES}' AND {_CDN}) AS served_gb,
+            (SELECT sum(value) / {1024 ** 3}.0::double FROM {P} WHERE metric_name = '{C.METRIC_CDN_BYTES}' AND {_CDN}) AS served_gb,
             {_mean(C.METRIC_CDN_4XX, _CDN)} AS avg_4xx_pct, {_mean(C.METRIC_CDN_5XX, _CDN)} AS avg_5xx_pct,
             {_mean(C.METRIC_CDN_HIT_RATE, _CDN)} AS cache_hit_pct)""",
-        {"served_gb": 2, "avg_4xx_pct": 6, "avg_5xx_pct": 6, "cache_hit_pct": 6}),
+        {"served_gb": 15, "avg_4xx_pct": 6, "avg_5xx_pct": 6, "cache_hit_pct": 6}),
     "cdn_error_series": Query(
         lambda x: H.cdn_error_series(x.points, **_ALL),
         f"""SELECT *, '4xx' AS type FROM ({_series(C.METRIC_CDN_4XX, 'avg', _CDN)})
@@ -247,15 +264,14 @@ QUERIES: dict[str, Query] = {
     "cdn_request_series": Query(lambda x: H.cdn_series(x.points, C.METRIC_CDN_REQUESTS, "Sum", **_ALL),
                                 _series(C.METRIC_CDN_REQUESTS, "sum", _CDN), {"value": 2}),
     "cdn_megabytes_series": Query(
-        lambda x: _unscaled(H.cdn_series(x.points, C.METRIC_CDN_BYTES, "Sum", scale=MB, **_ALL), value=MB),
-        _series(C.METRIC_CDN_BYTES, "sum", _CDN), {"value": 2}),
+        lambda x: H.cdn_series(x.points, C.METRIC_CDN_BYTES, "Sum", scale=MB, **_ALL),
+        _series(C.METRIC_CDN_BYTES, "sum", _CDN, scale=MB), FINE),
     "cdn_hit_rate_series": Query(lambda x: H.cdn_series(x.points, C.METRIC_CDN_HIT_RATE, "Average", **_ALL),
                                  _series(C.METRIC_CDN_HIT_RATE, "avg", _CDN), VALUE),
     # --- logs ---
     "scan_logs": Query(
-        lambda x: scan_logs(x.logs, "app", 168, END).groupBy(F.length("message").alias("length")).agg(F.count("*").alias("lines")),
-        """SELECT length(message) AS length, count(*) AS lines FROM logs WHERE ts >= TIMESTAMP '2024-01-22'
-            AND ts < TIMESTAMP '2024-01-29' GROUP BY 1"""),
+        lambda x: scan_logs(x.logs, "app", 168, END).select("ts", "log_group", "message"),
+        f"""SELECT {moment('ts')} AS ts, log_group, message FROM logs_raw WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29'"""),
     "parse_syslog": Query(
         lambda x: L.parse_syslog(x.logs).select("priority", "log_ts", "service", "body", "status", "path", "time", "method",
                                                 "latency_ms", "endpoint", "in_mint", "out_mint"),
@@ -265,11 +281,11 @@ QUERIES: dict[str, Query] = {
                                f"SELECT svc AS service, count(*) AS errors FROM logs WHERE {_ERR} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"),
     "error_banner": Query(
         lambda x: L.error_banner(x.logs),
-        f"""SELECT CAST(sum(errors) AS BIGINT) AS total_errors, arg_max(service, errors) AS top_service, max(errors) AS top_errors FROM (
-            SELECT svc AS service, count(*) AS errors FROM logs WHERE {_ERR} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15)"""),
+        f"""SELECT CAST(sum(errors) AS BIGINT) AS total_errors, first(service ORDER BY errors DESC, service) AS top_service,
+            max(errors) AS top_errors FROM (SELECT svc AS service, count(*) AS errors FROM logs WHERE {_ERR} GROUP BY 1)"""),
     "errors_per_hour": Query(lambda x: L.errors_per_hour(x.logs), _hourly(_ERR)),
-    "http_error_details": Query(lambda x: L.http_error_details(x.logs), _HTTP_DETAIL),
-    "app_error_details": Query(lambda x: L.app_error_details(x.logs), _APP_DETAIL),
+    "http_error_details": Query(lambda x: L.http_error_details(x.logs), _HTTP_DETAIL + _FIRST),
+    "app_error_details": Query(lambda x: L.app_error_details(x.logs), _APP_DETAIL + _FIRST),
     "top_error_messages": Query(
         lambda x: L.top_error_messages(x.logs),
         f"""SELECT service, CASE WHEN detail IS NULL THEN '(unstructured)' WHEN length(detail) > 120 THEN left(detail, 120) || '...'
@@ -315,18 +331,14 @@ QUERIES: dict[str, Query] = {
     "stream_concurrent_users": Query(
         _stream_users,
         f"""SELECT {moment('b')} AS time_utc, viewers FROM (
-            SELECT {_bucket(300)} AS b, count(DISTINCT wallet_address) AS viewers FROM ev GROUP BY 1)
-            WHERE b + INTERVAL '5 minutes' <= (SELECT max(ts) FROM ev) - INTERVAL '10 minutes'"""),
+            SELECT {_bucket(300)} AS b, count(DISTINCT wallet_address) AS viewers FROM ev GROUP BY 1)"""),
     "stream_metric_rollup": Query(
         _stream_rollup,
         f"""SELECT {moment('b')} AS timestamp, sum, average, minimum, maximum FROM (
             SELECT {_bucket(3600)} AS b, sum(value) AS sum, avg(value) AS average, min(value) AS minimum, max(value) AS maximum
-            FROM points WHERE metric_name = '{C.METRIC_API_LATENCY}' GROUP BY 1)
-            WHERE b + INTERVAL '1 hour' <= (SELECT max(ts) FROM points WHERE metric_name = '{C.METRIC_API_LATENCY}')
-                - INTERVAL '10 minutes'""", {"sum": 2, "average": 6}),
+            FROM points WHERE metric_name = '{C.METRIC_API_LATENCY}' AND {_OWN} GROUP BY 1)""", {"sum": 2, "average": 6}),
     "stream_errors_per_hour": Query(
         _stream_errors,
         f"""SELECT {moment('b')} AS hour, errors FROM (SELECT date_trunc('hour', ts) AS b, count(*) AS errors
-            FROM logs WHERE {_ERR} GROUP BY 1)
-            WHERE b + INTERVAL '1 hour' <= (SELECT max(ts) FROM logs WHERE {_ERR}) - INTERVAL '10 minutes'"""),
+            FROM logs WHERE {_ERR} GROUP BY 1)"""),
 }

@@ -153,11 +153,11 @@ QUERIES: dict[str, Query] = {
                           {"volume": 2, "avg_deposit": 4}),
     "deposits_by_source": Query(lambda x: T.deposits_by_source(x.tr), _top(_DEPOSIT, "source", "provider", "count(*)", "count", None)),
     "top_traders_by_volume": Query(
-        lambda x: T.top_traders_by_volume(x.tr, x.identity, digits=None),
+        lambda x: T.top_traders_by_volume(x.tr, x.users, digits=None),
         enriched("""SELECT wallet_address, sum(vol) AS volume, count(vol) AS trades FROM tr WHERE type <> 'deposit'
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"""), MONEY),
     "top_traders_by_count": Query(
-        lambda x: T.top_traders_by_count(x.tr, x.identity),
+        lambda x: T.top_traders_by_count(x.tr, x.users),
         enriched("""SELECT wallet_address, count(*) AS trades FROM tr WHERE type <> 'deposit'
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")),
     "user_trade_totals": Query(
@@ -167,9 +167,9 @@ QUERIES: dict[str, Query] = {
         lambda x: T.user_trades(x.tr, WALLET),
         f"""SELECT strftime(ts_local, '%b %d, %I:%M %p') AS time, from_token, to_token, amount_usd, status, source
             FROM tr WHERE wallet_address = '{WALLET}'""", {"amount_usd": 2}),
-    "recent_swaps": Query(lambda x: T.recent_swaps(x.tr, x.identity), _recent(_SWAP, _SWAP_COLUMNS), {"amount_usd": 2}),
-    "recent_perps": Query(lambda x: T.recent_perps(x.tr, x.identity), _recent(_PERPS, _PERPS_COLUMNS), {"amount_usd": 2}),
-    "recent_deposits": Query(lambda x: T.recent_deposits(x.tr, x.identity), _recent(_DEPOSIT, ["amount_usd", "source"]),
+    "recent_swaps": Query(lambda x: T.recent_swaps(x.tr, x.users), _recent(_SWAP, _SWAP_COLUMNS), {"amount_usd": 2}),
+    "recent_perps": Query(lambda x: T.recent_perps(x.tr, x.users), _recent(_PERPS, _PERPS_COLUMNS), {"amount_usd": 2}),
+    "recent_deposits": Query(lambda x: T.recent_deposits(x.tr, x.users), _recent(_DEPOSIT, ["amount_usd", "source"]),
                              {"amount_usd": 2}),
     # --- trades by app platform ---
     "platform_wallets": Query(lambda x: P.platform_wallets(x.ev), f"SELECT * FROM {_APPS}"),
@@ -232,7 +232,7 @@ QUERIES: dict[str, Query] = {
         """SELECT m_ticker AS ticker, count(*) AS taps FROM ev WHERE event = 'notification_tap' AND m_ticker <> ''
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     "top_tappers": Query(
-        lambda x: M.top_tappers(x.ev, x.identity),
+        lambda x: M.top_tappers(x.ev, x.users),
         enriched("""SELECT wallet_address, count(*) AS taps FROM ev WHERE event = 'notification_tap'
             GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")),
 }

@@ -19,11 +19,11 @@ from .tables import within_hours
 STATS = {"Sum": F.sum, "Average": F.avg, "Minimum": F.min, "Maximum": F.max}
 
 
-def period_for(hours: int) -> int:
-    """Bucket length in seconds for a lookback: 5 min, 15 min or 1 h."""
-    if hours <= 24:
-        return 300
-    return 900 if hours <= 72 else 3600
+def period_for(hours: int | None) -> int:
+    """Bucket length in seconds for a lookback: 5 min, 15 min or 1 h (also for all history)."""
+    if hours is None or hours > 72:
+        return 3600
+    return 300 if hours <= 24 else 900
 
 
 def log_hours(hours: int) -> int:
@@ -40,7 +40,8 @@ def select_points(points: DataFrame, names: Sequence[str], *, dims: Mapping[str,
                   namespace: str | None = None, exact_dims: bool = True) -> DataFrame:
     """Points of the named metrics with the given dimensions, and any value of the `by` ones.
 
-    Name and time predicates are plain comparisons, so they reach the Parquet reader.
+    Name and time predicates are plain comparisons, so they reach the Parquet reader. The lookback ends at
+    `end`, or now; `hours=None` asks for all history.
     """
     df = points.where(F.col("metric_name").isin(list(names)))
     if namespace is not None:
@@ -70,7 +71,7 @@ def _series(points: DataFrame, stat: str, period: int, *keys: Column) -> DataFra
 
 
 def metric_series(points: DataFrame, name: str, stat: str = "Average", *, period: int | None = None,
-                  hours: int = 24, end: str | None = None, dims: Mapping[str, str] | None = None,
+                  hours: int | None = 24, end: str | None = None, dims: Mapping[str, str] | None = None,
                   namespace: str | None = None, exact_dims: bool = True) -> DataFrame:
     """One metric as (timestamp, value), by time."""
     chosen = select_points(points, [name], dims=dims, hours=hours, end=end,
@@ -80,7 +81,7 @@ def metric_series(points: DataFrame, name: str, stat: str = "Average", *, period
 
 
 def metric_series_by_dim(points: DataFrame, name: str, dimension: str, values: Sequence[str],
-                         stat: str = "Sum", *, period: int | None = None, hours: int = 24,
+                         stat: str = "Sum", *, period: int | None = None, hours: int | None = 24,
                          end: str | None = None, dims: Mapping[str, str] | None = None,
                          namespace: str | None = None, exact_dims: bool = True) -> DataFrame:
     """One metric as (timestamp, value, dimension) for the listed dimension values, in one pass."""
@@ -92,7 +93,7 @@ def metric_series_by_dim(points: DataFrame, name: str, dimension: str, values: S
 
 
 def metric_series_by_service(points: DataFrame, name: str, stat: str = "Average", *,
-                             period: int | None = None, hours: int = 24, end: str | None = None,
+                             period: int | None = None, hours: int | None = 24, end: str | None = None,
                              namespace: str | None = None, exact_dims: bool = True) -> DataFrame:
     """One metric as (timestamp, value, service) for every service that reports it."""
     chosen = select_points(points, [name], by=[DIM_SERVICE], hours=hours, end=end,
@@ -101,9 +102,9 @@ def metric_series_by_service(points: DataFrame, name: str, stat: str = "Average"
             .select("timestamp", "value", "service").orderBy("service", "timestamp"))
 
 
-def metric_dim_values(points: DataFrame, name: str, dimension: str,
-                      namespace: str | None = None) -> DataFrame:
-    """Sorted distinct values of one dimension of a metric."""
-    chosen = select_points(points, [name], by=[dimension], hours=None,
+def metric_dim_values(points: DataFrame, name: str, dimension: str, *, hours: int | None = 336,
+                      end: str | None = None, namespace: str | None = None) -> DataFrame:
+    """Sorted distinct values of one dimension of a metric, of the last two weeks by default."""
+    chosen = select_points(points, [name], by=[dimension], hours=hours, end=end,
                            namespace=namespace, exact_dims=False)
     return chosen.select(dim(dimension).alias("value")).distinct().orderBy("value")

@@ -6,7 +6,7 @@ days), so the range predicates below prune folders before any file is opened.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +85,16 @@ def scan_users(source: DataFrame | str, *, fmt: str = "parquet") -> DataFrame:
     return schemas.conform(read_table(source, schemas.USERS, fmt), schemas.USERS)
 
 
+def lookback_end(end: str | None) -> Column:
+    """The given end of a lookback as UTC wall clock, or now."""
+    return F.lit(end or datetime.now(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+
+
 def within_hours(df: DataFrame, hours: int | None, end: str | None, ts: str = "ts") -> DataFrame:
-    """Rows of the `hours` before `end` (exclusive). Without `end` everything is kept."""
-    if end is None:
+    """Rows of the `hours` before `end` (exclusive), which is now unless given; with `hours=None` there is no lower bound."""
+    if end is None and hours is None:
         return df
-    high = F.lit(end).cast("timestamp_ntz")
+    high = lookback_end(end)
     df = df.where(F.col(ts) < high)
     return df if hours is None else df.where(F.col(ts) >= high - F.make_dt_interval(hours=F.lit(hours)))
 

@@ -1,5 +1,7 @@
 """Structured Streaming twins of three batch results, for results that refresh by themselves."""
 
-from .rollups import run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup
+from .rollups import (Run, metric_rollup, run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup,
+                      viewers_per_bucket, with_open_windows)
 
-__all__ = ["run_available", "stream_concurrent_users", "stream_errors_per_hour", "stream_metric_rollup"]
+__all__ = ["Run", "metric_rollup", "run_available", "stream_concurrent_users", "stream_errors_per_hour", "stream_metric_rollup",
+           "viewers_per_bucket", "with_open_windows"]

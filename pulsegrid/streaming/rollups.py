@@ -6,13 +6,16 @@ watermark drops closed windows. Append mode emits each window once, when it is c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..constants import ERROR_PRIORITY
-from ..functions.timestamps import instant_to_utc, micros, to_utc
+from ..functions.timestamps import bucket, instant_to_utc, micros, to_utc
 from ..operators.logs import priority
-from ..session import work_dir
+from ..sources.metrics import select_points
 
 WALLET = "wallet_address"
 
@@ -36,14 +39,34 @@ def stream_concurrent_users(events: DataFrame, *, minutes: int = 5, delay: str =
             .select(instant_to_utc(F.col("w.start")).alias("time_utc"), "viewers"))
 
 
-def stream_metric_rollup(points: DataFrame, name: str, *, period: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """All four statistics of one metric per period."""
-    return (points.where(F.col("metric_name") == name)
-            .withColumn("ts", _instant(points)).withWatermark("ts", delay)
-            .groupBy(F.window("ts", f"{period} seconds").alias("w"))
-            .agg(F.sum("value").alias("sum"), F.avg("value").alias("average"),
-                 F.min("value").alias("minimum"), F.max("value").alias("maximum"))
-            .select(instant_to_utc(F.col("w.start")).alias("timestamp"), "sum", "average", "minimum", "maximum"))
+def viewers_per_bucket(events: DataFrame, *, minutes: int = 5) -> DataFrame:
+    """The batch twin of stream_concurrent_users."""
+    return (events.where(F.col("ts").isNotNull() & F.col(WALLET).isNotNull())
+            .groupBy(bucket(F.col("ts"), minutes * 60).alias("time_utc")).agg(F.count_distinct(WALLET).alias("viewers")))
+
+
+_STATISTICS = {"sum": F.sum, "average": F.avg, "minimum": F.min, "maximum": F.max}
+
+
+def _rolled(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(*[fn("value").alias(name) for name, fn in _STATISTICS.items()])
+
+
+def stream_metric_rollup(points: DataFrame, name: str, *, period: int = 300, delay: str = "10 minutes",
+                         dims: Mapping[str, str] | None = None, namespace: str | None = None,
+                         exact_dims: bool = True) -> DataFrame:
+    """All four statistics of one series of a metric per period; a series is chosen as in `metric_series`."""
+    chosen = select_points(points, [name], dims=dims, hours=None, namespace=namespace, exact_dims=exact_dims)
+    windows = (chosen.withColumn("ts", _instant(points)).withWatermark("ts", delay)
+               .groupBy(F.window("ts", f"{period} seconds").alias("w")))
+    return _rolled(windows).select(instant_to_utc(F.col("w.start")).alias("timestamp"), *_STATISTICS)
+
+
+def metric_rollup(points: DataFrame, name: str, *, period: int = 300, dims: Mapping[str, str] | None = None,
+                  namespace: str | None = None, exact_dims: bool = True) -> DataFrame:
+    """The batch twin of stream_metric_rollup."""
+    chosen = select_points(points, [name], dims=dims, hours=None, namespace=namespace, exact_dims=exact_dims)
+    return _rolled(chosen.groupBy(bucket(F.col("ts"), period).alias("timestamp")))
 
 
 def stream_errors_per_hour(logs: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
@@ -54,16 +77,37 @@ def stream_errors_per_hour(logs: DataFrame, *, delay: str = "10 minutes") -> Dat
             .select(instant_to_utc(F.col("w.start")).alias("hour"), "errors"))
 
 
-def run_available(stream: DataFrame, purpose: str) -> DataFrame:
-    """Process what the source holds now into a written table, and read that table.
+class Run(NamedTuple):
+    """The closed windows so far, and how many rows of this run came too late for theirs."""
+
+    table: DataFrame
+    late_rows: int
+
+
+def run_available(stream: DataFrame, folder: str) -> Run:
+    """Process what the source holds beyond the last run into a table under `folder`, and read that table.
 
-    The sink and the checkpoint lie in the session's shared work folder, so a lost executor only
-    repeats a task and a restarted query continues where it stopped.
+    `folder` holds table and checkpoint and lies where all executors can reach it. A run with the folder of
+    an earlier one, failed or finished, continues where that stopped. Bound the micro-batches on the source
+    (`maxFilesPerTrigger`, `maxBytesPerTrigger`). Windows that the watermark has not closed stay in the
+    state; `with_open_windows` adds them to a result.
     """
     spark = stream.sparkSession
-    base = work_dir(spark, purpose)
     query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint")
+             .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    return Run(spark.read.schema(stream.schema).parquet(f"{folder}/table"), late)
+
+
+def with_open_windows(closed: DataFrame, rows: DataFrame, time_col: str, seconds: int,
+                      batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closed windows of a stream, and those still open from a batch over the newest rows.
+
+    All windows up to the last closed one are settled, so `batch` reads only rows (by `ts`) from its end on, a plain
+    bound that reaches the reader.
+    """
+    end = closed.agg((F.max(time_col) + F.make_dt_interval(secs=F.lit(seconds))).alias("end")).first()["end"]
+    fresh = rows if end is None else rows.where(F.col("ts") >= F.lit(end).cast("timestamp_ntz"))
+    return closed.unionByName(batch(fresh).select(*closed.columns))

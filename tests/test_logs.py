@@ -1,6 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from pulsegrid.operators import logs as L
+from pulsegrid.operators import trades as T
+from pulsegrid.plans.base import present
 
 T0 = datetime(2024, 1, 1, 10)
 HTTP = '<4>1 2024-01-01T10:00:00Z swap-server-1 http-request 1 http-request - {"statusCode":%s,"path":"%s","method":"GET","responseTimeMS":12,"time":"t1"}'
@@ -78,3 +82,25 @@ def test_search_combines_filters(frame, rows):
     assert pick(service="payments", level="errors only") == ["panic 500"]
     assert pick(service="payments", level="warnings+", text="5.0") == ["panic 500", "Timeout 500"]
     assert pick(k=1) == ["fine 500"]
+
+
+def test_totals_and_lists_cover_everything(frame, rows):
+    line = "<3>1 2024-01-01T00:00:00 svc{i:02} proc 1 id - app failure {i}"
+    df = frame("ts timestamp_ntz, message string", [(datetime(2024, 1, 1), line.format(i=i)) for i in range(40)] * 1 + [(datetime(2024, 1, 1), line.format(i=39))])
+    assert rows(L.error_banner(df)) == [{"total_errors": 41, "top_service": "svc39", "top_errors": 2}]
+    assert len(rows(L.top_error_messages(df))) == 25 and len(rows(L.top_error_messages(df, k=100))) == 40
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_hours_do_not_depend_on_the_session_zone(spark, frame, rows, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = [datetime(2024, 3, 10, h, 30) for h in (1, 2, 3)] + [datetime(2024, 11, 3, h, 30) for h in (0, 1, 2, 5, 6)]
+        df = frame("ts timestamp_ntz, message string", [(t, "<3>1 t swap-server-1 p 1 i - error") for t in times])
+        assert [(r["hour"], r["errors"]) for r in rows(L.errors_per_hour(df))] == [(t.replace(minute=0), 1) for t in times]
+        shown = [r["t"] for r in rows(df.select(T.local_time_text("ts").alias("t")))]
+        assert shown == [t.strftime("%b %d, %I:%M %p") for t in times]
+        assert [r["ts"] for r in rows(present(df.select("ts"), {}))] == [t.strftime("%Y-%m-%d %H:%M:%S.000000") for t in times]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -1,4 +1,4 @@
-"""Streams over files equal their batch twins on every bucket the watermark has closed."""
+"""Streams over files, with their open windows added, equal their batch twins row for row."""
 
 from datetime import datetime, timedelta
 
@@ -9,7 +9,8 @@ from pulsegrid.operators import audience as A
 from pulsegrid.operators import logs as L
 from pulsegrid.session import work_dir
 from pulsegrid.sources import metric_series
-from pulsegrid.streaming import run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup
+from pulsegrid.streaming import (metric_rollup, run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup,
+                                 viewers_per_bucket, with_open_windows)
 
 
 @pytest.fixture(scope="module")
@@ -28,45 +29,67 @@ def stream_of(spark, many_files):
     return spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
-def closed(batch, column, minutes, last):
-    limit = last - timedelta(minutes=10 + minutes)
-    return {tuple(r) for r in batch.collect() if r[column] <= limit}
+def as_events(df):
+    return df.select("ts", F.col("user_id").cast("string").alias("wallet_address"))
+
+
+def as_points(df):
+    """Two series of one metric: with and without a dimension."""
+    dims = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("Environment"), F.lit("production"))).otherwise(F.lit(None).cast("map<string,string>"))
+    return df.select("ts", F.lit("m").alias("metric_name"), F.lit("ns").alias("namespace"), "value", dims.alias("dims"))
+
+
+def as_logs(df):
+    return df.select("ts", F.concat(F.lit("<"), (F.col("event_id") % 7).cast("string"), F.lit(">1 x")).alias("message"))
+
+
+def same(got, want):
+    return sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_concurrent_users(spark, many_files):
-    as_events = lambda df: df.select("ts", F.col("user_id").cast("string").alias("wallet_address"))
-    got = run_available(stream_concurrent_users(as_events(stream_of(spark, many_files))), "t-users")
-    last = many_files[1].agg(F.max("ts")).collect()[0][0]
+    run = run_available(stream_concurrent_users(as_events(stream_of(spark, many_files))), work_dir(spark, "t-users"))
     batch = A.concurrent_users(as_events(many_files[1])).select("time_utc", "viewers")
-    assert {tuple(r) for r in got.collect()} == closed(batch, "time_utc", 5, last)
+    assert run.late_rows == 0 and 0 < run.table.count() < batch.count()
+    assert same(with_open_windows(run.table, as_events(many_files[1]), "time_utc", 300, viewers_per_bucket), batch)
 
 
-def test_metric_rollup(spark, many_files):
-    as_points = lambda df: df.select("ts", F.lit("m").alias("metric_name"), "value", F.lit(None).cast("map<string,string>").alias("dims"))
-    got = run_available(stream_metric_rollup(as_points(stream_of(spark, many_files)), "m"), "t-points")
-    last = many_files[1].agg(F.max("ts")).collect()[0][0]
+@pytest.mark.parametrize("dims", [None, {"Environment": "production"}])
+def test_metric_rollup_is_of_one_series(spark, many_files, dims):
+    run = run_available(stream_metric_rollup(as_points(stream_of(spark, many_files)), "m", dims=dims), work_dir(spark, "t-points"))
+    got = with_open_windows(run.table, as_points(many_files[1]), "timestamp", 300, lambda p: metric_rollup(p, "m", dims=dims))
     for column, stat in (("maximum", "Maximum"), ("minimum", "Minimum")):
-        batch = metric_series(as_points(many_files[1]), "m", stat)
-        assert {tuple(r) for r in got.select("timestamp", column).collect()} == closed(batch, "timestamp", 5, last)
+        assert same(got.select("timestamp", column), metric_series(as_points(many_files[1]), "m", stat, hours=None, period=300, dims=dims))
 
 
 def test_errors_per_hour(spark, many_files):
-    as_logs = lambda df: df.select("ts", F.concat(F.lit("<"), (F.col("event_id") % 7).cast("string"), F.lit(">1 x")).alias("message"))
-    got = run_available(stream_errors_per_hour(as_logs(stream_of(spark, many_files))), "t-logs")
-    lines = as_logs(many_files[1])
-    last = lines.where(F.regexp_extract("message", r"<(\d)", 1).cast("int") <= 4).agg(F.max("ts")).collect()[0][0]
-    assert {tuple(r) for r in got.collect()} == closed(L.errors_per_hour(lines), "hour", 60, last)
+    run = run_available(stream_errors_per_hour(as_logs(stream_of(spark, many_files))), work_dir(spark, "t-logs"))
+    assert same(with_open_windows(run.table, as_logs(many_files[1]), "hour", 3600, L.errors_per_hour), L.errors_per_hour(as_logs(many_files[1])))
 
 
-def test_late_rows_are_dropped(spark):
+def test_late_rows_are_dropped_and_counted(spark):
     base = work_dir(spark, "late")
     t0 = datetime(2024, 1, 1)
     for i, minutes in enumerate([0, 600, 700, 1, 1200, 1300]):
         spark.createDataFrame([(t0 + timedelta(minutes=minutes), f"w{i}")], "ts timestamp_ntz, wallet_address string").coalesce(1).write.mode("append").parquet(base)
     schema = "ts timestamp_ntz, wallet_address string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
-    got = {r["time_utc"]: r["viewers"] for r in run_available(stream_concurrent_users(stream), "t-late").collect()}
-    assert got == {t0 + timedelta(minutes=m): 1 for m in (0, 600, 700, 1200)}
+    run = run_available(stream_concurrent_users(stream), work_dir(spark, "t-late"))
+    assert {r["time_utc"]: r["viewers"] for r in run.table.collect()} == {t0 + timedelta(minutes=m): 1 for m in (0, 600, 700, 1200)}
+    assert run.late_rows == 1
+
+
+def test_second_run_continues_with_new_files(spark):
+    base, folder = work_dir(spark, "grows"), work_dir(spark, "t-grows")
+    t0, schema = datetime(2024, 1, 1), "ts timestamp_ntz, wallet_address string"
+
+    def add_and_run(*minutes):
+        spark.createDataFrame([(t0 + timedelta(minutes=m), "w") for m in minutes], schema).coalesce(1).write.mode("append").parquet(base)
+        run = run_available(stream_concurrent_users(spark.readStream.schema(schema).parquet(base)), folder)
+        return sorted((r["time_utc"] - t0).seconds // 60 for r in run.table.collect())
+
+    assert add_and_run(0, 60) == [0]
+    assert add_and_run(61, 120) == [0, 60]          # the window at 60 was kept open in the state and is counted once
 
 
 def test_work_dir_is_fresh_and_in_the_named_folder(spark):
