@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .code_search import ORACLE as SEARCH_SQL
+from .code_search import nearest_codes
 from .common import table
 from .language_mixture import languages
 from .near_dedup import near_duplicates
 from .packing import packed
+from .preferences import ORACLE as PREFERENCE_SQL
+from .preferences import echo_pairs, preference_segments
 from .quality_classifier import quality_scores
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import quality_rules
@@ -27,6 +31,11 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs made from all conversations: each is preferred to itself with its last answer replaced by an echo."""
+    return preference_segments(*echo_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,10 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op8_low_discrepancy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -54,14 +67,18 @@ def op10_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
+    "op3_preference_format": op3_preference_format,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_deep_shallow_suffix_dedup": op5_deep_shallow_suffix_dedup,
     "op6_quadratic_quality": op6_quadratic_quality,
+    "op7_multi_index_search": op7_multi_index_search,
     "op8_low_discrepancy_mixing": op8_low_discrepancy_mixing,
     "op9_longest_first_sharding": op9_longest_first_sharding,
     "op10_least_squares_packing": op10_least_squares_packing,
 }
 ORACLES: dict[str, str] = {
+    "op3_preference_format": PREFERENCE_SQL,
     "op4_rule_cascade": RULES_SQL,
+    "op7_multi_index_search": SEARCH_SQL,
     "op8_low_discrepancy_mixing": MIXTURE_SQL,
 }
