@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .code_search import ORACLE as SEARCH_SQL
@@ -75,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_low_discrepancy_mixing": op8_low_discrepancy_mixing,
     "op9_longest_first_sharding": op9_longest_first_sharding,
     "op10_least_squares_packing": op10_least_squares_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_preference_format": PREFERENCE_SQL,
@@ -82,3 +84,5 @@ ORACLES: dict[str, str] = {
     "op7_multi_index_search": SEARCH_SQL,
     "op8_low_discrepancy_mixing": MIXTURE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -16,10 +16,13 @@ CELLS = 1024              # cells of the unit interval in which slots look for t
 CHUNK = 1 << 16           # slots that are ranked together
 
 
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, source, size in words, the hash that shuffles it, and a row number without meaning."""
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), size.alias("size"),
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count().alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
                        F.monotonically_increasing_id().alias("row"))
 
@@ -97,11 +100,11 @@ def _rounds(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     shared = F.least(stop, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     joined = over.withColumn("shared", shared).join(times, ["k", "block"], "left")
     take = lambda n: F.coalesce(F.sum(F.when(F.col("times") >= n, F.col("shared"))), F.lit(0)).cast("bigint")
-    return joined.groupBy("row", "doc_id", "size", "source_size", "target").agg(take(1).alias("first"), take(2).alias("second"))
+    return joined.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(take(1).alias("first"), take(2).alias("second"))
 
 
 def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of `docs`: row, doc_id, size, source_size, target, first, second; see `mixture`. `row` is the place of the row in the read."""
+    """Per row of `docs`: row, doc_id, source, size, source_size, target, first, second; see `mixture`. `row` tells equal rows apart."""
     sized = stored(sizes(columns_of(docs, "doc_id", "source", "text")), "sizes")
     plan = stored(targets(sized), "targets")
     total = plan.agg(F.sum("target")).first()[0] or 0.0
@@ -109,7 +112,7 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = lines(sized, plan)
     if slots is None:
         none = F.lit(0).cast("bigint")
-        return placed.select("row", "doc_id", "size", "source_size", F.lit(0.0).alias("target"), none.alias("first"), none.alias("second"))
+        return placed.select("row", "doc_id", "source", "size", "source_size", F.lit(0.0).alias("target"), none.alias("first"), none.alias("second"))
     return _rounds(placed, slots, block)
 
 
@@ -127,6 +130,24 @@ def first_words(text: Column, size: Column, n: Column) -> Column:
     return F.when(n >= size, text).otherwise(F.array_join(F.slice(words(text), 1, n.cast("int")), " "))
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of the mix, with the columns of `docs`: a document comes once per round that takes words of it.
+
+    A document whose words a round takes in part has the first of them, joined by blanks, as its text.
+    """
+    key = F.to_json(F.struct(F.col("doc_id").cast("bigint").alias("d"), F.col("source").cast("string").alias("s"), F.col("size").alias("n")))
+    takes = taken(docs, block).select(key.alias("key"), F.struct("row", "first", "second").alias("t"))
+    takes = takes.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("takes"))   # as many as rows with one doc_id
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), word_count().alias("size"))
+    rows = rows.select("d", "size", F.to_json(F.struct(F.col("d.doc_id").cast("bigint").alias("d"), F.col("d.source").cast("string").alias("s"),
+                                                       F.col("size").alias("n"))).alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("size"))
+    rows = rows.withColumn("nth", nth).join(takes, "key").withColumn("t", F.element_at("takes", F.col("nth")))
+    rows = rows.withColumn("words", F.explode(F.filter(F.array("t.first", "t.second"), lambda n: n > 0)))
+    text = first_words(F.col("d.text"), F.col("size"), F.col("words"))
+    return rows.select(F.col("d").withField("text", text).alias("d")).select("d.*")
+
+
 ORACLE = f"""
 WITH s AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::bigint AS size,
                   md5(coalesce(doc_id::varchar, '')) AS h FROM documents),
