@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wallets import short_token, short_wallet
 from ..operators import audience as A
 from ..operators import identity as I
 from ..operators import normalize as N
+from ..session import work_dir
 from ..sources import scan_events, scan_trades, scan_trades_by_timestamp, scan_users
 from .base import Inputs, Query, day, enriched, moment, short
 
@@ -16,8 +18,18 @@ WALLET = "0xAB00000001"
 SPAN = ("1996-03-01", "1998-09-30")
 
 
+def _stored(x: Inputs, name: str, df: DataFrame, day_column: str) -> str:
+    """Path of `df` in the day layout that the scans are made for, written once per session and input folder."""
+    done = x.spark.__dict__.setdefault("_day_layouts", {})
+    if (name, x.sf_dir) not in done:
+        path = work_dir(x.spark, name)
+        df.repartition(day_column).write.partitionBy(day_column).parquet(path)
+        done[name, x.sf_dir] = path
+    return done[name, x.sf_dir]
+
+
 def _scan_events(x: Inputs, trim: bool):
-    df = scan_events(x.events, START, "2024-01-20", trim_local=trim)
+    df = scan_events(_stored(x, "events", x.events, "date"), START, "2024-01-20", trim_local=trim)
     return df.groupBy("date", "event").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"))
 
 
@@ -57,16 +69,25 @@ QUERIES: dict[str, Query] = {
     "scan_events": Query(lambda x: _scan_events(x, False), _scan_events_sql("true")),
     "scan_events_trimmed": Query(lambda x: _scan_events(x, True),
                                  _scan_events_sql("local_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-20'")),
-    "scan_trades": Query(lambda x: _trade_totals(scan_trades(x.trades, *SPAN)),
+    "scan_trades": Query(lambda x: _trade_totals(scan_trades(_stored(x, "trades", x.trades, "trade_date"), *SPAN)),
                          _trade_totals_sql(f"trade_date BETWEEN '{SPAN[0]}' AND '{SPAN[1]}'"), {"amount": 2}),
     "scan_trades_by_timestamp": Query(
-        lambda x: _trade_totals(scan_trades_by_timestamp(x.trades, *SPAN)),
+        lambda x: _trade_totals(scan_trades_by_timestamp(_stored(x, "trades", x.trades, "trade_date"), *SPAN)),
         _trade_totals_sql("\"timestamp\" >= TIMESTAMP '1996-03-01' AND \"timestamp\" < TIMESTAMP '1998-10-01'"), {"amount": 2}),
     "scan_users": Query(
-        lambda x: scan_users(x.users).select("id", "ingest_order", F.size("linked_accounts").alias("accounts")),
-        """SELECT id, ingest_order, CAST((own_wallet IS NOT NULL) AS INT) + CAST((other_wallet IS NOT NULL) AS INT)
-            + CAST((google_email IS NOT NULL) AS INT) + CAST((email IS NOT NULL) AS INT) + CAST((apple IS NOT NULL) AS INT)
-            + CAST((twitter IS NOT NULL) AS INT) + CAST((phone IS NOT NULL) AS INT) AS accounts FROM users_flat"""),
+        lambda x: scan_users(x.users).select("id", "ingest_order", F.explode_outer("linked_accounts").alias("a"))
+        .select("id", "ingest_order", "a.*"),
+        " UNION ALL ".join(f"""SELECT id, ingest_order, '{kind}' AS type, {address} AS address, {email} AS email, {name} AS name, {number} AS number,
+            {username} AS username FROM users_flat WHERE {where}""" for kind, address, email, name, number, username, where in [
+                ("wallet", "own_wallet", "NULL", "NULL", "NULL", "NULL", "own_wallet IS NOT NULL"),
+                ("wallet", "other_wallet", "NULL", "NULL", "NULL", "NULL", "other_wallet IS NOT NULL"),
+                ("google_oauth", "NULL", "google_email", "google_name", "NULL", "NULL", "google_email IS NOT NULL OR google_name IS NOT NULL"),
+                ("email", "email", "NULL", "NULL", "NULL", "NULL", "email IS NOT NULL"),
+                ("apple_oauth", "NULL", "apple", "NULL", "NULL", "NULL", "apple IS NOT NULL"),
+                ("twitter_oauth", "NULL", "NULL", "NULL", "NULL", "twitter", "twitter IS NOT NULL"),
+                ("phone", "NULL", "NULL", "NULL", "phone", "NULL", "phone IS NOT NULL")]) + """
+            UNION ALL SELECT id, ingest_order, NULL, NULL, NULL, NULL, NULL, NULL FROM users_flat WHERE coalesce(own_wallet, other_wallet,
+            google_email, google_name, email, apple, twitter, phone) IS NULL"""),
     # --- normalisation ---
     "normalize_events": Query(
         lambda x: _text_events(x).select("session_id", "ts", "date", "hour", "day_of_week"),
