@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -34,14 +36,16 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="pulsegrid-")
+    path = tempfile.mkdtemp(prefix="pulsegrid-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path for stream checkpoints and written tables.
 
     It lies in the shared folder that the cluster names in `spark.checkpoint.dir`. Only where
-    that is unset and everything runs on one machine (tests), a temporary folder is made.
+    that is unset and everything runs on one machine (tests), a temporary folder is made, which goes with the process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
