@@ -1,0 +1,24 @@
+"""Small tables with everything a table may hold."""
+
+from pyspark.sql import functions as F
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = "lorem ipsum dolor sit amet " * 40_000          # one megabyte
+PROSE = ("the quick brown fox jumps over the lazy dog while seven small owls watch from an old oak tree and wonder what all "
+         "the noise could be about on such a quiet night in the middle of june")
+NAMES = ("size h row k name id n words text_crc32 score bands sketch kept component_id d key nth takes spans law slot shard label u v "
+         "held_out predicted place part before here bucket node start length rank languages s0 quality").split()
+ROWS = [
+    (None, None, None, None, None), (None, PROSE, "en", "a", 5), (1, None, "en", "a", None), (2, "", "en", None, 0), (3, " \n\t\x0b ", None, "b", 4),
+    (4, PROSE, "en", "a", 9), (5, PROSE, "en", "b", 9), (5, PROSE, "en", "b", 9), (6, "eins zwei drei", "de", "b", 1), (7, LONG, "en", "c", 1),
+    (8, "Ünïcødé \U0001f600 ünïcødé", "de", "c", 3), (9, "123 456", "en", "d", 3),
+]
+
+
+def documents(spark, rows=ROWS):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clashing(df):
+    """The table with columns named like those the operators use inside."""
+    return df.select("*", *[F.lit("x").alias(c) for c in NAMES if c not in df.columns])
