@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +20,83 @@ WINDOW = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 PARTS = 64                # parts in which pieces of one length are numbered
+TOGETHER = 500            # texts whose unknown runs are encoded together
 STEPS = 300               # iterations of the least-squares solver
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int"
 
 
-class _Ids(dict):
-    """Token ids of a run of text without white space as little-endian bytes, remembered up to a bound.
+def _shown() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as one character: printable Latin-1 as itself, the others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in plain)}
 
-    The tokenizer never joins anything across white space, so the ids of a text are those of its runs, in order.
+
+class _Ids:
+    """Token ids of runs of text without ASCII white space, as little-endian bytes.
+
+    The tokenizer never joins anything across white space, so the ids of a text are those of its runs, in order. Nor does it
+    join letters with the punctuation after them, and it lowers case: "Word,", "word." and "word" share one encoding of
+    "word". That is used for Latin-1 letters, where lower case is one character for one and no other normalisation applies;
+    they go to the tokenizer's model at once, in its byte alphabet. Any other run is encoded as it is. Runs and parts
+    are remembered up to a bound.
     """
 
-    limit = 300_000
+    runs, parts = 400_000, 600_000
+    marks = b".,!?;:%*&$#|"
+    shown = _shown()
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs one worker per core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, run: str) -> bytes:
-        ids = np.asarray(self.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < self.limit:
-            self[run] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.of_run, self.of_part = self.tokenizer.model, {}, {}
+
+    def _letters(self, run: bytes) -> bytes | None:
+        """The letters that a run of Latin-1 letters and marks starts with, in lower case; None for other runs."""
+        letters = run.lower().rstrip(self.marks)
+        if letters.isalpha():                               # ASCII letters
+            return letters
+        text = run.decode()
+        if max(text) <= "\u00ff" and (letters := text.lower().encode().rstrip(self.marks)).decode().isalpha():
+            return letters
+        return None
+
+    def _whole(self, run: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _encode(self, run: bytes) -> bytes:
+        letters = self._letters(run)
+        if letters is None:
+            return self._whole(run)
+        of_part = self.of_part
+        ids = of_part.get(letters)
+        if ids is None:
+            found = self.model.tokenize(letters.decode("latin-1").translate(self.shown))
+            ids = of_part[letters] = array("I", [t.id for t in found]).tobytes()
+        if len(run) == len(letters):
+            return ids
+        marks = run[len(letters):]
+        if marks not in of_part:
+            of_part[marks] = self._whole(marks)
+        return ids + of_part[marks]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        runs = [text.split() for text in texts]             # bytes split at ASCII white space only
+        if len(self.of_run) > self.runs:
+            self.of_run = {}
+        if len(self.of_part) > self.parts:
+            self.of_part = {}
+        of_run = self.of_run
+        for run in set().union(*runs) - of_run.keys():
+            of_run[run] = self._encode(run)
+        return [b"".join(map(of_run.__getitem__, r)) for r in runs]
+
+
+@cache
+def _ids(path: str) -> _Ids:
+    """One per worker process and file, kept from task to task."""
+    return _Ids(path)
 
 
 def default_tokenizer() -> str:
@@ -48,27 +105,21 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
-def _runs(text: str) -> list[str]:
-    """Split at ASCII white space only; other white space stays inside a run, for the tokenizer to see."""
-    return text.translate(_BLANKS).split(" ")
-
-
-_BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
-
-
 def _cutter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.asarray([END], dtype="<u4").tobytes()
     width = 4 * WINDOW
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(path)
+        ids = _ids(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = b"".join(map(ids.__getitem__, _runs(text.as_py() or ""))) + end
-                part = zlib.crc32(data) % PARTS if doc is None else doc % PARTS
-                rows += [(doc, at // 4, len(piece := data[at:at + width]) // 4, zlib.crc32(piece), len(data) // 4, part)
-                         for at in range(0, len(data), width)]
+            docs, texts = batch.column(0).to_pylist(), [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
+            for first in range(0, len(docs), TOGETHER):
+                for doc, found in zip(docs[first:first + TOGETHER], ids.encode(texts[first:first + TOGETHER]), strict=True):
+                    data = found + end
+                    part = zlib.crc32(data) % PARTS if doc is None else doc % PARTS
+                    rows += [(doc, at // 4, len(piece := data[at:at + width]) // 4, zlib.crc32(piece), len(data) // 4, part)
+                             for at in range(0, len(data), width)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
