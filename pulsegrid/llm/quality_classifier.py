@@ -17,7 +17,7 @@ STATISTICS = ["word_length", "word_spread", "short_words", "distinct_words", "ru
               "upper", "digits", "stops", "shouts", "bars", "symbols", "ends"]
 THRESHOLD = 0.7
 FLOOR = 0.01
-STEADY = 30           # words at which a text's own statistics weigh as much as the average of all texts
+STEADY = 80           # words at which a text's own statistics weigh as much as the average of all texts
 _COLUMNS = [f"s{i}" for i in range(len(STATISTICS))]
 
 
