@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from . import suffixes as S
 from .common import columns_of, map_arrow, stored
 
-LARGE = 20_000        # anchors with one gram that a single task still sorts; more are told apart by passage hashes
+LARGE = 20_000        # texts with one gram whose anchors a single task still sorts; more are told apart by passage hashes
 _NO_ID = -(1 << 63)
 
 
@@ -23,16 +24,32 @@ def _name(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _lists(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
+    """`values` cut into lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct gram hashes of each text and, for each, the places of its anchors: position, bytes before, bytes after in one number."""
+    none = np.empty(0, dtype=np.int64)
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
+        grams, places, per_text, per_gram = [none], [none], [], [none]
         for text in batch.column(2).cast(pa.large_binary()):
-            for column, values in zip(columns, S.anchors(text.as_py() or b""), strict=True):
-                column.append(values)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            pos, gram, before, after = S.anchors(text.as_py() or b"")
+            order = np.argsort(gram, kind="stable")
+            found, counts = np.unique(gram, return_counts=True)
+            grams.append(found)
+            places.append(((pos << 20) + (before << 10) + after)[order])
+            per_text.append(len(found))
+            per_gram.append(counts)
+        inner = _lists(np.concatenate(per_gram), pa.array(np.concatenate(places), pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]],
-            names=["name", "id", "pos", "gram", "before", "after"])
+            [batch.column(0), batch.column(1), _lists(per_text, pa.array(np.concatenate(grams), pa.int64())), _lists(per_text, inner)],
+            names=["name", "id", "gram", "places"])
+
+
+def _place(number: int) -> tuple[int, int, int]:
+    return number >> 20, (number >> 10) & 1023, number & 1023
 
 
 def _passages(rows: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list]]:
@@ -41,20 +58,44 @@ def _passages(rows: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list]]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each anchor whose gram occurs elsewhere."""
+    """The bytes around each anchor whose gram occurs elsewhere.
+
+    Equal surroundings within one text, as in runs of one word, go on once. All their passages occur twice, so the spans
+    they cover are settled here; such rows have no bytes, their start as `pos` and their length as `before`.
+    """
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         for name, text, found in _passages(batch):
-            rows = [(a["gram"], name, a["pos"], a["before"], text[a["pos"] - a["before"]:a["pos"] + a["after"]]) for a in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                names=["gram", "name", "pos", "before", "bytes"])
+            rows, settled = [], []
+            for anchor in found:
+                seen: dict[tuple[int, bytes], list[int]] = {}
+                for pos, before, after in map(_place, anchor["places"]):
+                    seen.setdefault((before, text[pos - before:pos + after]), []).append(pos)
+                for (before, data), at in seen.items():
+                    rows.append((anchor["gram"], name, at[0], before, data))
+                    if len(at) > 1:
+                        settled += [(pos - before, pos - before + len(data)) for pos in at]
+            rows += [(rows[0][0], name, start, stop - start, None) for start, stop in _merged(settled)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=["gram", "name", "pos", "before", "bytes"])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A 128-bit hash of every single passage around an anchor."""
     for batch in batches:
         for name, text, found in _passages(batch):
-            starts = sorted({s for a in found for s in range(a["pos"] - a["before"], a["pos"] + a["after"] - S.LENGTH + 1)})
+            places = [_place(p) for a in found for p in a["places"]]
+            starts = sorted({s for pos, before, after in places for s in range(pos - before, pos + after - S.LENGTH + 1)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(text[s:s + S.LENGTH]) for s in starts], pa.binary()),
                  pa.array([name] * len(starts), pa.binary()), pa.array(starts, pa.int32())], names=["passage", "name", "start"])
@@ -63,8 +104,15 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans from contexts that come ordered by gram; only the last, unfinished group is carried on."""
 
-    def spans(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
+    def spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        settled = rows.filter(pc.is_null(rows.column("bytes"))).combine_chunks()
+        if settled.num_rows:
+            start = settled.column("pos").to_numpy()
+            yield pa.RecordBatch.from_arrays([settled.column("name").chunk(0), pa.array(start), pa.array(start + settled.column("before").to_numpy())],
+                                             names=["name", "start", "stop"])
+        rows = rows.filter(pc.is_valid(rows.column("bytes"))).combine_chunks()
+        if not rows.num_rows:
+            return
         gram, pos, left = (rows.column(c).to_numpy() for c in ("gram", "pos", "before"))
         data = pa.concat_arrays(rows.column("bytes").chunks).cast(pa.large_binary())
         ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset:data.offset + len(data) + 1]
@@ -73,7 +121,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = left.astype(np.int64)
         near, far = S.repeated(group, flat, ends[:-1], left, np.diff(ends) - left)
         hit = np.flatnonzero(far >= 0)
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [rows.column("name").combine_chunks().take(pa.array(hit)) if len(hit) else pa.array([], pa.binary()),
              pa.array((pos[hit] - far[hit]).astype(np.int32)), pa.array((pos[hit] - near[hit] + S.LENGTH).astype(np.int32))],
             names=["name", "start", "stop"])
@@ -85,10 +133,10 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = rows.column("gram").to_numpy()
         cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
         if cut:
-            yield spans(rows.slice(0, cut))
+            yield from spans(rows.slice(0, cut))
         rest = rows.slice(cut)
     if rest is not None and rest.num_rows:
-        yield spans(rest)
+        yield from spans(rest)
 
 
 def _merge(spans: Column) -> Column:
@@ -105,45 +153,59 @@ def _merge(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step)
 
 
-def removals(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """(name, id, text) of every row; a null id gets the least number.
+
+    No name is null; saying so gives inner and outer joins with this frame one plan, and so one shuffle.
+    """
+    named = docs.select(_name(F.col("text")).alias("name"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"),
+                        F.coalesce("text", F.lit("")).alias("text"))
+    return named.where(F.col("name").isNotNull())
+
+
+def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """(name, spans): per distinct text of which something goes, the maximal byte spans that go.
 
     A span is what passages of 400 bytes cover that also start elsewhere, in the same text or another. Texts that
     occur more than once go whole if they have 400 bytes. Anchors (least hashed 100-grams of each passage) bring
     equal passages together; around anchors that share a gram both sides are ordered by deep-shallow sorting.
-    Where more than `large` anchors share one, passages are counted by a 128-bit hash instead, combined before the
-    shuffle, so no group of any size lands in one task.
+    Where more than `large` texts share one, passages are counted by a 128-bit hash instead, combined before the
+    shuffle, so no group of any size lands in one task. `texts` is shuffled by name, as a caller's join with the result
+    does, so that one shuffle of the texts serves both.
     """
-    texts = docs.select(_name(F.col("text")).alias("name"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"),
-                        F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(map_arrow(texts.where(F.octet_length("text") >= S.LENGTH), _anchor,
-                              "name binary, id bigint, pos array<int>, gram array<bigint>, before array<int>, after array<int>"), "anchors")
-    names = stored(signed.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "names")
-    one = signed.join(names.select("name", "id"), ["name", "id"], "left_semi")
-    single = one.select("name", "id", F.explode(F.arrays_zip("pos", "gram", "before", "after")).alias("a")).select("name", "id", "a.*")
-    shared = stored(single.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1), "grams")
-    wanted = stored(single.join(shared, "gram").withColumn("large", F.col("n") > large)
-                    .groupBy("name", "id", "large").agg(F.collect_list(F.struct("gram", "pos", "before", "after")).alias("found")), "wanted")
+                              "name binary, id bigint, gram array<bigint>, places array<array<bigint>>"), "anchors")
+    names = stored(signed.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+                   .withColumn("no", F.monotonically_increasing_id()), "names")
+    one = signed.join(names.select("name", "id", "no"), ["name", "id"])
+    single = one.select("no", F.explode(F.arrays_zip("gram", "places")).alias("a")).select("no", "a.*")
+    shared = single.groupBy("gram").agg(F.count("*").alias("texts"), F.sum(F.size("places")).alias("n"))
+    shared = stored(shared.where("n > 1").select("gram", "texts"), "grams")
+    wanted = single.join(shared, "gram").groupBy("no", (F.col("texts") > large).alias("large")).agg(
+        F.collect_list(F.struct("gram", "places")).alias("found"))
+    wanted = stored(wanted.join(names.select("no", "name", "id"), "no").select("name", F.col("id").alias("own"), "large", "found"), "wanted")
 
     def around(large: bool) -> DataFrame:
         rows = wanted.where(F.col("large") == large)
-        return texts.join(rows, ["name", "id"]).select("name", "text", "found")
+        # One row of the text; as two inequalities, so that the name alone stays the key of the shuffle.
+        return texts.join(rows, "name").where("id >= own AND id <= own").select("name", "text", "found")
 
     contexts = map_arrow(around(False), _contexts, "gram bigint, name binary, pos int, before int, bytes binary")
-    # Rows of one gram meet in one task, at most `large` texts of them.
+    # Rows of one gram meet in one task, from at most `large` texts and few of each.
     spans = map_arrow(contexts.repartition("gram").sortWithinPartitions("gram"), _sort, "name binary, start int, stop int")
     if not wanted.where("large").isEmpty():
-        each = stored(map_arrow(around(True), _hashes, "passage binary, name binary, start int"), "passages")
+        # Both uses read the one shuffle of the texts; only the few contexts are hashed twice.
+        each = map_arrow(around(True), _hashes, "passage binary, name binary, start int")
         twice = each.groupBy("passage").agg(F.min(F.xxhash64("name", "start")).alias("a"), F.max(F.xxhash64("name", "start")).alias("b"))
-        hot = each.join(stored(twice.where("a != b").select("passage"), "twice"), "passage", "left_semi")
+        again = map_arrow(around(True), _hashes, "passage binary, name binary, start int")
+        hot = again.join(twice.where("a != b").select("passage"), "passage", "left_semi")
         spans = spans.union(hot.select("name", "start", (F.col("start") + S.LENGTH).alias("stop")))
     partial = spans.groupBy("name").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     partial = partial.select("name", _merge(F.col("spans")).alias("spans"))
     copied = names.where("copies > 1").select("name", F.lit(True).alias("whole"))
     span = "array<struct<start:int,stop:int>>"
     everything = F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).cast(span)
-    return stored(partial.join(copied, "name", "full").select("name", F.when(F.col("whole"), everything)
-                                                              .otherwise(F.col("spans").cast(span)).alias("spans")), "removals")
+    return partial.join(copied, "name", "full").select("name", F.when(F.col("whole"), everything).otherwise(F.col("spans").cast(span)).alias("spans"))
 
 
 def _kept(text: bytes, spans: list | None) -> tuple[bytes, int]:
@@ -173,32 +235,25 @@ def repeat_report(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
     Null texts are empty; texts under 400 bytes stay whole. Rows that repeat a text are copies of it.
     """
-    docs = columns_of(docs, "doc_id", "text")
-    gone = removals(docs, large)
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"), _name(F.col("text")).alias("name"))
-    return map_arrow(rows.join(gone, "name", "left").select("doc_id", "text", "spans"), _apply,
-                     "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    texts = _texts(columns_of(docs, "doc_id", "text"))
+    rows = texts.join(removals(texts, large), "name", "left").select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
+    return map_arrow(rows, _apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("_text")
-        texts = batch.column(at).cast(pa.large_binary())
-        spans = batch.column(batch.schema.get_field_index("_spans"))
         new = [None if t.as_py() is None else _kept(t.as_py(), s.as_py())[0].decode("utf-8", "ignore")
-               for t, s in zip(texts, spans, strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(at)], pa.array(new, pa.string())],
-                                         names=batch.schema.names[:at + 1])
+               for t, s in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["d", "text"])
 
 
 def without_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """`docs` with the repeated passages cut out of `text`; a character of which only some bytes go, goes whole.
 
-    All other columns are handed on; null texts stay null. Columns named _name, _text or _spans are not allowed.
+    All other columns, of any name, are handed on; null texts stay null.
     """
-    gone = removals(columns_of(docs, "doc_id", "text"), large)
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_name", _name(F.col("text"))).join(gone.select(F.col("name").alias("_name"), F.col("spans").alias("_spans")), "_name", "left")
-    rows = rows.select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_text"), "_spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_spans").schema.fields)
-    return map_arrow(rows, _cut, schema).withColumnRenamed("_text", "text").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = removals(_texts(columns_of(docs, "doc_id", "text")), large)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(_name(F.col("text")).alias("name"), F.struct(*rest).alias("d"), "text").join(gone, "name", "left").select("d", "text", "spans")
+    cut = map_arrow(rows, _cut, f"d {rows.schema['d'].dataType.simpleString()}, text string")
+    return cut.select(*[F.col("text") if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns])
