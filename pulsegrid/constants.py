@@ -135,6 +135,7 @@ DETAIL_LIMIT = 120
 
 PRIORITY_PATTERN = r"^<(\d+)>"
 SERVICE_PATTERN = r"^<\d+>\d+ \S+ (\S+)"
+LOG_TIME_PATTERN = r"^<\d+>\d+ (\S+)"
 LINE_PATTERN = r"^<\d+>\d+ (\S+) \S+ \S+ \d+ \S+ - (.*)"
 STATUS_PATTERN = r'"statusCode":(\d+)'
 PATH_PATTERN = r'"path":"([^"]+)"'

@@ -40,11 +40,12 @@ def parse_syslog(logs: DataFrame) -> DataFrame:
     text = F.col("message")
     parsed = logs.withColumns({
         "priority": priority(text),
-        "log_ts": _capture(text, C.LINE_PATTERN, 1),
         "service": _capture(text, C.SERVICE_PATTERN),
         "body": body(text),
     })
     line = F.col("body")
+    # The whole header is matched once, for the body; the time is then the first token after the version.
+    parsed = parsed.withColumn("log_ts", F.when(line.isNotNull(), _capture(text, C.LOG_TIME_PATTERN)))
     parsed = parsed.withColumns({
         "status": _captured_int(line, C.STATUS_PATTERN),
         "path": _capture(line, C.PATH_PATTERN),

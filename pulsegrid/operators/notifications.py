@@ -89,14 +89,14 @@ def time_to_trade(ev: DataFrame, *, tap: str = NOTIFICATION_TAP, conversion: str
 
 
 def time_to_trade_stats(times: DataFrame) -> DataFrame:
-    """Mean, upper median and number of converting taps of a time_to_trade frame.
+    """Mean, upper median and number of converting taps of a time_to_trade frame; mean and number come from sums per second.
 
     The median is found by counting: first per whole second (bounded by the window length), then
     per microsecond inside the one second that holds it. No task sees all values.
     """
     second = F.floor("seconds")
     order = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    per_second = times.groupBy(second.alias("second")).agg(F.count("*").alias("n"))
+    per_second = times.groupBy(second.alias("second")).agg(F.count("*").alias("n"), F.sum("seconds").alias("sum"))
     placed = per_second.select(
         "second", (F.sum("n").over(order) - F.col("n")).alias("below"), "n",
         F.floor(F.sum("n").over(Window.partitionBy()) / 2).alias("rank"))
@@ -106,7 +106,7 @@ def time_to_trade_stats(times: DataFrame) -> DataFrame:
     fine_order = Window.orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
     median = (fine.withColumn("upto", F.sum("n").over(fine_order)).where(F.col("upto") > home["offset"])
               .agg(F.min("seconds").alias("median")))
-    return (times.agg(F.avg("seconds").alias("avg_seconds"), F.count("*").alias("conversions"))
+    return (per_second.agg((F.sum("sum") / F.sum("n")).alias("avg_seconds"), F.coalesce(F.sum("n"), F.lit(0)).alias("conversions"))
             .select("avg_seconds", median.scalar().alias("median_seconds"), "conversions"))
 
 
