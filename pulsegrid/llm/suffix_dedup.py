@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import suffixes as S
 from .common import columns_of, map_arrow, stored
 
-LARGE = 20_000        # texts with one gram whose anchors a single task still sorts; more are told apart by passage hashes
+LARGE = 20_000        # anchors with one gram that a single task still sorts; more are told apart by passage hashes
 _NO_ID = -(1 << 63)
 
 
@@ -169,7 +169,7 @@ def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
     A span is what passages of 400 bytes cover that also start elsewhere, in the same text or another. Texts that
     occur more than once go whole if they have 400 bytes. Anchors (least hashed 100-grams of each passage) bring
     equal passages together; around anchors that share a gram both sides are ordered by deep-shallow sorting.
-    Where more than `large` texts share one, passages are counted by a 128-bit hash instead, combined before the
+    Where more than `large` anchors share one, passages are counted by a 128-bit hash instead, combined before the
     shuffle, so no group of any size lands in one task. `texts` is shuffled by name, as a caller's join with the result
     does, so that one shuffle of the texts serves both.
     """
@@ -179,9 +179,8 @@ def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
                    .withColumn("no", F.monotonically_increasing_id()), "names")
     one = signed.join(names.select("name", "id", "no"), ["name", "id"])
     single = one.select("no", F.explode(F.arrays_zip("gram", "places")).alias("a")).select("no", "a.*")
-    shared = single.groupBy("gram").agg(F.count("*").alias("texts"), F.sum(F.size("places")).alias("n"))
-    shared = stored(shared.where("n > 1").select("gram", "texts"), "grams")
-    wanted = single.join(shared, "gram").groupBy("no", (F.col("texts") > large).alias("large")).agg(
+    shared = stored(single.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).where("n > 1"), "grams")
+    wanted = single.join(shared, "gram").groupBy("no", (F.col("n") > large).alias("large")).agg(
         F.collect_list(F.struct("gram", "places")).alias("found"))
     wanted = stored(wanted.join(names.select("no", "name", "id"), "no").select("name", F.col("id").alias("own"), "large", "found"), "wanted")
 
@@ -191,7 +190,7 @@ def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
         return texts.join(rows, "name").where("id >= own AND id <= own").select("name", "text", "found")
 
     contexts = map_arrow(around(False), _contexts, "gram bigint, name binary, pos int, before int, bytes binary")
-    # Rows of one gram meet in one task, from at most `large` texts and few of each.
+    # Rows of one gram meet in one task, at most `large` of them.
     spans = map_arrow(contexts.repartition("gram").sortWithinPartitions("gram"), _sort, "name binary, start int, stop int")
     if not wanted.where("large").isEmpty():
         # Both uses read the one shuffle of the texts; only the few contexts are hashed twice.
