@@ -68,8 +68,11 @@ def nearest_codes(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataF
     for radius in range(width + 1):
         if open_.isEmpty():
             break
-        probes = open_.select("asked", F.posexplode("asked").alias("segment", "own")).withColumn("flip", F.explode(_flips(width, radius)))
-        pairs = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).join(parts, ["segment", "value"]).select("asked", "code").distinct()
+        # A few queries become many probes: they are spread before they multiply, and never broadcast by their size before that.
+        spread = open_.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "asked")
+        probes = spread.select("asked", F.posexplode("asked").alias("segment", "own")).withColumn("flip", F.explode(_flips(width, radius)))
+        probes = probes.select("asked", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        pairs = probes.join(parts.hint("merge"), ["segment", "value"]).select("asked", "code").distinct()
         found = pairs.withColumn("distance", _distance("asked", "code", segments)).join(index, "code").select("asked", "vec_id", "distance")
         found = found if near is None else found.union(near.select("asked", "vec_id", "distance")).distinct()
         near = stored(_best(found, k), f"near-{radius}")
