@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, stored, words
 
 WINDOW = 8
-SAMPLE = 4000     # rows on which cost and selectivity are estimated; they decide the order only, never a verdict
+SAMPLE = 500      # rows on which cost and selectivity are estimated; they decide the order only, never a verdict
+REPEAT = 16       # times each sample row is evaluated, so that a rule's time stands out from a job's
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,6 +101,8 @@ def estimate(rows: DataFrame, rules: list[Rule]) -> list[Estimate]:
 
     A rule's cost is the least time of two runs over the sample beyond that of an empty rule.
     """
+    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEAT))))
+
     def run(rule: Column) -> tuple[float, float]:
         taken = []
         for _ in range(2):
@@ -129,7 +132,10 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     """
     rules = standard_rules() if rules is None else rules
     docs = columns_of(docs, "doc_id", "text")
-    sample = stored(base_measures(docs.sample(0.02, 11).limit(SAMPLE)).where(~F.col("base_failed")), "rules-sample")
+    # take() reads as few partitions as it needs, where a limit under a write would scan the table.
+    few = docs.select(F.col("doc_id").cast("bigint"), "text").sample(0.02, 11).take(SAMPLE)
+    few = docs.sparkSession.createDataFrame(few, "doc_id bigint, text string")
+    sample = stored(base_measures(few).where(~F.col("base_failed")), "rules-sample")
     ordered = [e.rule for e in estimate(sample, rules)]
     measured = base_measures(docs).withColumn("kept", cascade(ordered))
     return measured.select(F.col("doc_id").cast("bigint"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
