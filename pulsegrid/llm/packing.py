@@ -246,7 +246,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.withColumn("here", here).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("here"))
-    # A pattern list has a few thousand rows at any size of the input: what it can hold depends on the window alone.
+    # What this list can hold depends on the window alone: at most 1024 pairs, 60 * 2048 triples and a few thousand greedy patterns.
     by_length = spots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "first", "offset"))).alias("spots"))
     found = ranked.join(F.broadcast(by_length), "length")
     lows = F.transform("spots", lambda s: s["low"])
