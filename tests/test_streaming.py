@@ -98,13 +98,14 @@ def test_work_dir_is_fresh_and_in_the_named_folder(spark):
     assert one != two and (not named or one.startswith(named.rstrip("/") + "/x-"))
 
 
-def test_work_dir_refuses_a_local_folder_on_a_cluster():
+@pytest.mark.parametrize("url", ["spark://somewhere:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_work_dir_refuses_a_local_folder_on_a_cluster(url):
     class Conf:
         def get(self, key, default):
             return default
 
     class Context:
-        master = "spark://somewhere:7077"
+        master = url
 
     class Session:
         conf, sparkContext = Conf(), Context()
