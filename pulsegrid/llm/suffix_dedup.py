@@ -91,14 +91,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A 128-bit hash of every single passage around an anchor."""
+    """A 128-bit hash of every single passage around an anchor; one that a text has more than once goes on once.
+
+    What such passages cover is settled here: rows without a hash are spans that go.
+    """
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
     for batch in batches:
         for name, text, found in _passages(batch):
             places = [_place(p) for a in found for p in a["places"]]
-            starts = sorted({s for pos, before, after in places for s in range(pos - before, pos + after - S.LENGTH + 1)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(text[s:s + S.LENGTH]) for s in starts], pa.binary()),
-                 pa.array([name] * len(starts), pa.binary()), pa.array(starts, pa.int32())], names=["passage", "name", "start"])
+            seen: dict[bytes, list[int]] = {}
+            for start in {s for pos, before, after in places for s in range(pos - before, pos + after - S.LENGTH + 1)}:
+                seen.setdefault(xxhash.xxh3_128_digest(text[start:start + S.LENGTH]), []).append(start)
+            rows = [(passage, name, at[0], at[0] + S.LENGTH) for passage, at in seen.items()]
+            rows += [(None, name, *span) for span in _merged([(s, s + S.LENGTH) for at in seen.values() if len(at) > 1 for s in at])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=["passage", "name", "start", "stop"])
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +201,10 @@ def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
     spans = map_arrow(contexts.repartition("gram").sortWithinPartitions("gram"), _sort, "name binary, start int, stop int")
     if not wanted.where("large").isEmpty():
         # Both uses read the one shuffle of the texts; only the few contexts are hashed twice.
-        each = map_arrow(around(True), _hashes, "passage binary, name binary, start int")
-        twice = each.groupBy("passage").agg(F.min(F.xxhash64("name", "start")).alias("a"), F.max(F.xxhash64("name", "start")).alias("b"))
-        again = map_arrow(around(True), _hashes, "passage binary, name binary, start int")
-        hot = again.join(twice.where("a != b").select("passage"), "passage", "left_semi")
-        spans = spans.union(hot.select("name", "start", (F.col("start") + S.LENGTH).alias("stop")))
+        schema = "passage binary, name binary, start int, stop int"
+        twice = map_arrow(around(True), _hashes, schema).groupBy("passage").agg(F.count("*").alias("texts")).where("texts > 1 AND passage IS NOT NULL")
+        hot = map_arrow(around(True), _hashes, schema).join(twice, "passage", "left").where("passage IS NULL OR texts IS NOT NULL")
+        spans = spans.union(hot.select("name", "start", "stop"))
     partial = spans.groupBy("name").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     partial = partial.select("name", _merge(F.col("spans")).alias("spans"))
     copied = names.where("copies > 1").select("name", F.lit(True).alias("whole"))
