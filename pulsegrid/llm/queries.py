@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .code_search import ORACLE as SEARCH_SQL
 from .code_search import nearest_codes
@@ -29,7 +30,11 @@ def op1_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(table(spark, sf_dir, "documents"))
+    """The mixture as text: languages and shares, largest first."""
+    found = languages(table(spark, sf_dir, "documents"))
+    shares = F.transform("proportions", lambda p: F.round(p, 4).cast("string"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"),
+                        F.array_join(shares, ",").alias("proportions"))
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
