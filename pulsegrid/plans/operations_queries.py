@@ -58,7 +58,7 @@ def _service_series(metric: str, fn: str, scale: int = 1) -> str:
     return _series(metric, fn, "service IS NOT NULL", keys="service", scale=scale)
 
 
-_ALL = dict(period=300, hours=672, end=END)
+_ALL = dict(period=300, hours=None)     # every point of the table; only metric_series_lookback and scan_logs look back
 
 
 _ERR = "pri <= 4"
@@ -117,9 +117,9 @@ QUERIES: dict[str, Query] = {
             FROM points"""),
     "metric_series": Query(lambda x: metric_series(x.points, C.METRIC_API_LATENCY, "Average", dims=BACKEND, **_ALL),
                            _series(C.METRIC_API_LATENCY, "avg", _OWN), VALUE),
-    "metric_series_sum": Query(lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, period=86400, hours=672, end=END),
+    "metric_series_sum": Query(lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, period=86400, hours=None),
                                _series(C.METRIC_API_REQUEST, "sum", _OWN, 86400), {"value": 2}),
-    "metric_series_max": Query(lambda x: metric_series(x.points, C.METRIC_WS_CONNECTIONS, "Maximum", dims=BACKEND, hours=72, end=END),
+    "metric_series_max": Query(lambda x: metric_series(x.points, C.METRIC_WS_CONNECTIONS, "Maximum", dims=BACKEND, period=900, hours=None),
                                _series(C.METRIC_WS_CONNECTIONS, "max", _OWN + " AND ts >= TIMESTAMP '2024-01-26'", 900)),
     "metric_series_lookback": Query(
         lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, hours=168, end=END, exact_dims=False),
@@ -132,7 +132,7 @@ QUERIES: dict[str, Query] = {
     "metric_series_by_service": Query(lambda x: metric_series_by_service(x.points, C.METRIC_MEMORY, "Average", **_ALL),
                                       _service_series(C.METRIC_MEMORY, "avg"), VALUE),
     "metric_dim_values": Query(
-        lambda x: metric_dim_values(x.points, C.METRIC_MEMORY, C.DIM_SERVICE, hours=672, end=END),
+        lambda x: metric_dim_values(x.points, C.METRIC_MEMORY, C.DIM_SERVICE, hours=None),
         f"SELECT DISTINCT service AS value FROM {P} WHERE metric_name = '{C.METRIC_MEMORY}' AND service IS NOT NULL"),
     # --- backend ---
     "api_health": Query(
