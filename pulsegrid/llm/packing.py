@@ -141,8 +141,8 @@ class Pattern:
     repeats: int
 
 
-def combinations(histogram: np.ndarray, triples: int = 60) -> np.ndarray:
-    """Rows of up to three lengths that fill a window exactly, 0 for none: all pairs, and triples with two of the commonest lengths."""
+def combinations(histogram: np.ndarray) -> np.ndarray:
+    """Rows of up to three lengths that fill a window exactly, 0 for none: all pairs and triples, which the window bounds to about 350,000."""
     lengths = np.flatnonzero(histogram)
     have = np.zeros(WINDOW + 1, dtype=bool)
     have[lengths] = True
@@ -150,14 +150,13 @@ def combinations(histogram: np.ndarray, triples: int = 60) -> np.ndarray:
     low = lengths[(2 * lengths <= WINDOW)]
     low = low[have[WINDOW - low]]
     rows.append(np.stack([WINDOW - low, low, np.zeros_like(low)], axis=1))
-    common = lengths[np.argsort(-histogram[lengths], kind="stable")][:triples]
-    for a in common:
+    for a in lengths[3 * lengths >= WINDOW]:                # the longest of three is a third of the window at least
         b = lengths[lengths <= a]
         c = WINDOW - a - b
         ok = (c > 0) & (c <= b)
         ok[ok] = have[c[ok]]
         rows.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
-    return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), dtype=np.int64)
+    return np.concatenate(rows)
 
 
 def least_squares(mixes: np.ndarray, histogram: np.ndarray) -> np.ndarray:
@@ -183,6 +182,7 @@ def least_squares(mixes: np.ndarray, histogram: np.ndarray) -> np.ndarray:
 def patterns(histogram: np.ndarray) -> list[Pattern]:
     """Patterns that use up the histogram exactly: solved and rounded repeats first, what is left greedily.
 
+    Most triples get less than one repeat. Rounding carries the rest on to the next row, so that these count together.
     The work depends on the window only, not on how many pieces there are. The greedy part starts with the longest piece left
     and adds the longest that fits, for as many sequences at once as the counts allow.
     """
@@ -199,11 +199,11 @@ def patterns(histogram: np.ndarray) -> list[Pattern]:
 
     mixes = combinations(left)
     if len(mixes):
-        repeats = least_squares(mixes, left)
-        for i in np.argsort(-repeats, kind="stable"):
-            if repeats[i] < 0.5:
-                break
-            use([x for x in mixes[i].tolist() if x], round(float(repeats[i])))
+        solved = least_squares(mixes, left)
+        repeats = np.diff(np.floor(np.cumsum(solved) + 0.5).astype(np.int64), prepend=0)
+        order = np.argsort(-solved, kind="stable")
+        for i in order[repeats[order] > 0]:
+            use([x for x in mixes[i].tolist() if x], int(repeats[i]))
     while left.any():
         room, lengths, spare = WINDOW, [], left.copy()
         while room and len(fits := np.flatnonzero(spare[1:room + 1])):
@@ -246,7 +246,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = cut.withColumn("here", here).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("here"))
-    # What this list can hold depends on the window alone: at most 1024 pairs, 60 * 2048 triples and a few thousand greedy patterns.
+    # What this list can hold depends on the window alone: at most 1024 pairs, 350,000 triples and a few thousand greedy patterns.
     by_length = spots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "first", "offset"))).alias("spots"))
     found = ranked.join(F.broadcast(by_length), "length")
     lows = F.transform("spots", lambda s: s["low"])

@@ -103,3 +103,20 @@ def test_edge_rows(spark, rows, tokenizer):
     assert len(twice) == 2 and twice[0]["ids_crc32"] == twice[1]["ids_crc32"]      # each repeated row is packed
     assert sum(r["doc_id"] is None for r in got) == 2
     assert P.packed(documents(spark, [])).count() == 0
+
+
+def test_all_pairs_and_triples_are_offered():
+    pick = random.Random(5)
+    lengths = sorted({*pick.sample(range(1, 2049), 300), 1024, 683, 682, 2048})
+    histogram = np.zeros(2049, dtype=np.int64)
+    histogram[lengths] = [1 + 2048 // n for n in lengths]                 # the commonest are too short to be the longest of three
+    have = set(lengths)
+    want = {(2048, 0, 0)} | {(2048 - b, b, 0) for b in lengths if 2048 - b in have and 2 * b <= 2048}
+    want |= {(a, b, 2048 - a - b) for a in lengths for b in lengths if b <= a and 2048 - a - b in have and 2048 - a - b <= b}
+    got = [tuple(row) for row in P.combinations(histogram).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+    smooth = np.zeros(2049, dtype=np.int64)
+    np.add.at(smooth, np.minimum(2048, 1 + np.random.default_rng(0).exponential(500, 20_000).astype(int)), 1)
+    found = P.patterns(smooth)
+    exact = sum(p.repeats for p in found if sum(p.lengths) == 2048 and len(p.lengths) <= 3)
+    assert exact > 0.75 * sum(p.repeats for p in found)
