@@ -20,11 +20,11 @@ def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, source, size in words, the hash that shuffles it, and a row number without meaning."""
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """Per row: doc_id, source, size in words, the hash that shuffles it, a row number without meaning, and the columns `more`."""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), word_count().alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
-                       F.monotonically_increasing_id().alias("row"))
+                       F.monotonically_increasing_id().alias("row"), *more)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -125,6 +125,32 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return taken(docs, block).select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"))
 
 
+def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as a stream of blocks: slot, place, source, doc_id, words; ordered by slot and place it is the interleaved text.
+
+    A slot has a row per document that its block has words of; `place` is where in the block they start. Empty texts have none.
+    """
+    columns = columns_of(docs, "doc_id", "source", "text")
+    sized = sizes(columns.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), "text")
+    sized = stored(sized, "sized-texts")
+    plan = stored(targets(sized), "targets")
+    total = plan.agg(F.sum("target")).first()[0] or 0.0
+    names = ["slot", "place", "source", "doc_id", "words"]
+    if not total:
+        return docs.sparkSession.createDataFrame([], "slot bigint, place bigint, source string, doc_id bigint, words array<string>")
+    placed = lines(sized.drop("text"), plan).where("size > 0").select("row", "doc_id", "source", "size", "k", "start")
+    stop = F.col("start") + F.col("size")
+    over = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((stop - 1) / block))))
+    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(stop, (F.col("block") + 1) * block)
+    over = over.select("row", "doc_id", "source", "k", "block", (low - F.col("block") * block).alias("place"),
+                       (low - F.col("start") + 1).cast("int").alias("first"), (high - low).cast("int").alias("n"))
+    # The words are cut once per document and block, whatever the number of slots that take the block.
+    parts = over.groupBy("row").agg(F.collect_list(F.struct("block", "place", "first", "n", "k", "doc_id", "source")).alias("parts"))
+    cut = sized.select("row", words(F.col("text")).alias("all")).join(parts, "row")
+    cut = cut.select("all", F.explode("parts").alias("p")).select("p.*", F.slice("all", F.col("p.first"), F.col("p.n")).alias("words"))
+    return schedule(plan, total, block).select("slot", "k", "block").join(cut, ["k", "block"]).select(*names)
+
+
 def first_words(text: Column, size: Column, n: Column) -> Column:
     """The first `n` words of a text of `size` words; the text as it is where those are all."""
     return F.when(n >= size, text).otherwise(F.array_join(F.slice(words(text), 1, n.cast("int")), " "))

@@ -93,3 +93,24 @@ def test_edge_rows(spark, rows):
     assert M.mixture(documents(spark, [])).count() == 0 and M.mixed_documents(documents(spark, [])).count() == 0
     blank = rows(M.mixture(documents(spark, [(1, "", "x", "a", 0), (2, None, None, None, None)])))
     assert [(r["target"], r["taken"]) for r in blank] == [(0.0, 0)] * 2
+
+
+def test_blocks_come_in_mix_order(spark, rows, corpus):
+    df = clashing(spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(n)), "en", s, 1) for i, s, n in corpus], DOCS))
+    got = sorted(rows(M.mixed_blocks(df, 16)), key=lambda r: (r["slot"], r["place"]))
+    words, of_slot = {}, {}
+    for r in got:
+        of_slot.setdefault(r["slot"], []).append(r)
+        first = int(r["words"][0].split("w")[1])
+        assert r["words"] == [f"d{r['doc_id']}w{j}" for j in range(first, first + len(r["words"]))]
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["words"])
+    assert words == {r["doc_id"]: r["taken"] for r in rows(M.mixture(df, 16)) if r["taken"]}
+    for parts in of_slot.values():
+        assert len({p["source"] for p in parts}) == 1
+        assert [p["place"] for p in parts] == [sum(len(q["words"]) for q in parts[:i]) for i in range(len(parts))]
+    target, _ = mixed(corpus, 16)
+    total, order = sum(target.values()), sorted(of_slot)
+    for n in range(100, len(order), 50):                       # every source comes in step with its weight
+        for s, t in target.items():
+            assert abs(sum(of_slot[slot][0]["source"] == s for slot in order[:n]) - n * t / total) < 8
+    assert M.mixed_blocks(documents(spark, [])).count() == 0 and M.mixed_blocks(documents(spark)).count() > 0
