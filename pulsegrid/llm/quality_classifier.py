@@ -55,8 +55,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [statistics(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
         nothing = [None] * (1 + len(STATISTICS))
         columns = zip(*[nothing if r is None else r for r in rows], strict=True) if rows else [[] for _ in nothing]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.float64()) for c in columns]],
-                                         names=["doc_id", "n", *_COLUMNS])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.float64()) for c in columns], *batch.columns[2:]],
+                                         names=["doc_id", "n", *_COLUMNS, *batch.schema.names[2:]])
 
 
 @dataclass(frozen=True)
@@ -100,11 +100,11 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, pooled: floa
     return Discriminant(means / scale, np.stack(factors), np.array(constants), scale)
 
 
-def steadied(measured: DataFrame) -> DataFrame:
+def steadied(measured: DataFrame, *more: str) -> DataFrame:
     """Statistics of short texts drawn towards the averages of all texts: few words say little."""
     mean = measured.agg(*[F.avg(c).alias(c) for c in _COLUMNS]).first()
     weight = F.col("n") / (F.col("n") + STEADY)
-    return measured.select("doc_id", *[(F.lit(mean[c]).cast("double") + (F.col(c) - F.lit(mean[c]).cast("double")) * weight).alias(c) for c in _COLUMNS])
+    return measured.select("doc_id", *[(F.lit(mean[c]).cast("double") + (F.col(c) - F.lit(mean[c]).cast("double")) * weight).alias(c) for c in _COLUMNS], *more)
 
 
 def train(measured: DataFrame, labels: DataFrame) -> Discriminant | float:
@@ -131,26 +131,28 @@ def train(measured: DataFrame, labels: DataFrame) -> Discriminant | float:
 def _scorer(model: Discriminant | float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:2 + len(_COLUMNS)]], axis=1)
             some = ~np.isnan(x[:, 0])
             scores = np.zeros(len(x))
             if some.any():
                 scores[some] = model if isinstance(model, float) else model.score(x[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
-                                             names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)),
+                                              *batch.columns[2 + len(_COLUMNS):]],
+                                             names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[2 + len(_COLUMNS):]])
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, held_out, score (0 to 1), predicted (score >= 0.7).
+def quality_scores(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """Per row of `docs`: doc_id, held_out, score (0 to 1), predicted (score >= 0.7), and the columns `more`.
 
     Texts are read once, whole; labels are learned only from documents that are not held out. Texts without a
     word (null, empty, blank) score 0. With labels of one class only, that class is the score of all others; without
     any it is 0.5. Repeated rows score alike.
     """
-    measured = map_arrow(columns_of(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text"), _measure,
-                         "doc_id bigint, n double, " + ", ".join(f"{c} double" for c in _COLUMNS))
-    measured = steadied(stored(measured, "statistics"))
+    rows = columns_of(docs, "doc_id", "text", *more).select(F.col("doc_id").cast("bigint"), "text", *more)
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]
+    measured = map_arrow(rows, _measure, ", ".join(["doc_id bigint, n double", *[f"{c} double" for c in _COLUMNS], *kinds]))
+    measured = steadied(stored(measured, "statistics"), *more)
     model = train(measured, columns_of(labels, "doc_id", "quality"))
-    return map_arrow(measured.select("doc_id", held_out().alias("held_out"), *_COLUMNS), _scorer(model),
-                     "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_arrow(measured.select("doc_id", held_out().alias("held_out"), *_COLUMNS, *more), _scorer(model),
+                     ", ".join(["doc_id bigint, held_out boolean, score double, predicted int", *kinds]))
