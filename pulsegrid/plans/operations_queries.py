@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -84,27 +85,37 @@ def _short(col: str) -> str:
 
 def _raw_stream(x: Inputs):
     raw = fixtures.table(x.spark, x.sf_dir, "events")
-    reader = x.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet")
-    return reader.option("maxFilesPerTrigger", 64).parquet(x.sf_dir)
+    # As a pattern the path may be a file or a folder of part files; a stream takes a plain path for a folder.
+    return x.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 64).parquet(f"{x.sf_dir}/[e]vents.parquet")
+
+
+def _closed(x: Inputs, stream: DataFrame, purpose: str) -> DataFrame:
+    """The closed windows of a whole run; an error where rows are missing from them."""
+    run = run_available(stream, work_dir(x.spark, purpose))
+    if run.late_rows:
+        raise RuntimeError(f"{purpose}: {run.late_rows} rows came too late for their windows")
+    if not run.read_rows and not fixtures.table(x.spark, x.sf_dir, "events").isEmpty():
+        raise RuntimeError(f"{purpose}: the stream read no row of a table that has some")
+    return run.table
 
 
 def _stream_users(x: Inputs):
     flat = _raw_stream(x).selectExpr(*[f"{e} AS `{n}`" for n, e in fixtures.EVENTS.items()])
     real = real_users(flat.withColumn("ts", F.col("timestamp")))
-    run = run_available(stream_concurrent_users(real), work_dir(x.spark, "concurrent-users"))
-    return with_open_windows(run.table, x.ev, "time_utc", 300, viewers_per_bucket)
+    closed = _closed(x, stream_concurrent_users(real), "concurrent-users")
+    return with_open_windows(closed, x.ev, "time_utc", 300, viewers_per_bucket)
 
 
 def _stream_rollup(x: Inputs):
     points = fixtures.points_of(_raw_stream(x))
-    run = run_available(stream_metric_rollup(points, C.METRIC_API_LATENCY, period=3600, dims=BACKEND), work_dir(x.spark, "metric-rollup"))
-    return with_open_windows(run.table, x.points, "timestamp", 3600, lambda p: metric_rollup(p, C.METRIC_API_LATENCY, period=3600, dims=BACKEND))
+    closed = _closed(x, stream_metric_rollup(points, C.METRIC_API_LATENCY, period=3600, dims=BACKEND), "metric-rollup")
+    return with_open_windows(closed, x.points, "timestamp", 3600, lambda p: metric_rollup(p, C.METRIC_API_LATENCY, period=3600, dims=BACKEND))
 
 
 def _stream_errors(x: Inputs):
     lines = _raw_stream(x).selectExpr(*[f"{e} AS `{n}`" for n, e in fixtures.LOGS.items()])
-    run = run_available(stream_errors_per_hour(lines), work_dir(x.spark, "errors-per-hour"))
-    return with_open_windows(run.table, x.logs, "hour", 3600, L.errors_per_hour)
+    closed = _closed(x, stream_errors_per_hour(lines), "errors-per-hour")
+    return with_open_windows(closed, x.logs, "hour", 3600, L.errors_per_hour)
 
 
 QUERIES: dict[str, Query] = {

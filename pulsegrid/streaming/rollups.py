@@ -78,10 +78,11 @@ def stream_errors_per_hour(logs: DataFrame, *, delay: str = "10 minutes") -> Dat
 
 
 class Run(NamedTuple):
-    """The closed windows so far, and how many rows of this run came too late for theirs."""
+    """The closed windows so far, how many rows of this run came too late for theirs, and how many it read."""
 
     table: DataFrame
     late_rows: int
+    read_rows: int
 
 
 def run_available(stream: DataFrame, folder: str) -> Run:
@@ -98,7 +99,8 @@ def run_available(stream: DataFrame, folder: str) -> Run:
              .trigger(availableNow=True).start())
     query.awaitTermination()
     late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
-    return Run(spark.read.schema(stream.schema).parquet(f"{folder}/table"), late)
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    return Run(spark.read.schema(stream.schema).parquet(f"{folder}/table"), late, read)
 
 
 def with_open_windows(closed: DataFrame, rows: DataFrame, time_col: str, seconds: int,
