@@ -116,6 +116,14 @@ def estimate(rows: DataFrame, rules: list[Rule]) -> list[Estimate]:
     return sorted(found, key=lambda e: (-e.worth, e.rule.name))
 
 
+def sample_rows(docs: DataFrame) -> DataFrame:
+    """The `SAMPLE` rows of least hash, over all partitions: doc_id, text. Only hashes go to the driver."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    # Repeated rows share a hash, so that more rows than SAMPLE can be below the last one.
+    return rows.where(F.col("h") <= F.lit(last).cast("bigint")).limit(SAMPLE).drop("h")
+
+
 def cascade(rules: list[Rule]) -> Column:
     """False at the first rule that rejects; later rules are not evaluated for that row. True where none does."""
     verdict = F.when(F.col("base_failed"), F.lit(False))
@@ -132,9 +140,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     """
     rules = standard_rules() if rules is None else rules
     docs = columns_of(docs, "doc_id", "text")
-    # take() reads as few partitions as it needs, where a limit under a write would scan the table.
-    few = docs.select(F.col("doc_id").cast("bigint"), "text").sample(0.02, 11).take(SAMPLE)
-    few = docs.sparkSession.createDataFrame(few, "doc_id bigint, text string")
+    few = stored(sample_rows(docs), "rules-rows")
     sample = stored(base_measures(few).where(~F.col("base_failed")), "rules-sample")
     ordered = [e.rule for e in estimate(sample, rules)]
     measured = base_measures(docs).withColumn("kept", cascade(ordered))

@@ -114,3 +114,13 @@ def test_rules_edge_rows(spark, rows):
     assert all((by[i]["n_words"], by[i]["base_failed"], by[i]["kept"]) == (0, True, False) for i in (1, 2, 3))
     assert by[7]["n_words"] == 200_000 == by[7]["n_repeat_words"] and by[4]["kept"]
     assert R.quality_rules(documents(spark, [])).count() == 0
+
+
+def test_sample_sees_every_source(spark, tmp_path):
+    """Stored by source, in a file each: the first files alone would fill the sample."""
+    from pulsegrid.llm import quality_rules
+    df = spark.range(40_000, numPartitions=8).selectExpr("id AS doc_id", "concat('text of source ', floor(id / 5000)) AS text")
+    df.write.parquet(f"{tmp_path}/docs")
+    got = quality_rules.sample_rows(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert len(got) == quality_rules.SAMPLE and len({r["text"] for r in got}) == 8
+    assert len(quality_rules.sample_rows(df.limit(30)).collect()) == 30 and quality_rules.sample_rows(df.limit(0)).count() == 0
