@@ -8,6 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import ORACLE as CENTROID_SQL
+from .centroids import centroid_clusters
 from .code_search import ORACLE as SEARCH_SQL
 from .code_search import nearest_codes
 from .common import table
@@ -70,6 +72,10 @@ def op10_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_low_discrepancy_mixing": op8_low_discrepancy_mixing,
     "op9_longest_first_sharding": op9_longest_first_sharding,
     "op10_least_squares_packing": op10_least_squares_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -88,6 +95,7 @@ ORACLES: dict[str, str] = {
     "op4_rule_cascade": RULES_SQL,
     "op7_multi_index_search": SEARCH_SQL,
     "op8_low_discrepancy_mixing": MIXTURE_SQL,
+    "op11_centroid_clustering": CENTROID_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

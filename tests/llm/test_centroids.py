@@ -1,0 +1,75 @@
+import hashlib
+import random
+
+import pytest
+
+from pulsegrid.llm import centroids as C
+
+SCHEMA = "vec_id bigint, embedding array<float>"
+
+
+def brute(rows, k, rounds):
+    """Plain k-means over (vec_id, integer components)."""
+    name = lambda i: hashlib.sha256(f"3:{i}".encode()).hexdigest()
+    centres = [v for _, v in sorted(rows, key=lambda r: (r[0] is None, name(r[0]), r[1]))[:k]]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), i) for i, c in enumerate(centres))
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v in rows:
+            groups.setdefault(near(v)[1], []).append(v)
+        for i, vs in groups.items():
+            centres[i] = [sum(column) // len(vs) for column in zip(*vs, strict=True)]
+    placed = [(i, *near(v)[::-1]) for i, v in rows]
+    of = {c: sum(d for _, k, d in placed if k == c) for _, c, _ in placed}
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return sorted([(i, c, d, of[c], sum(of.values()), sha[c]) for i, c, d in placed], key=str)
+
+
+def found(df):
+    return sorted([tuple(r) for r in df.collect()], key=str)
+
+
+def test_equals_brute_force(spark):
+    pick = random.Random(5)
+    middle = [[pick.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(i, [pick.choice(middle)[j] + pick.gauss(0, 0.3) for j in range(6)]) for i in range(150)]
+    rows += [(200 + i, [0.5, -0.5, 0.25, -0.25, 1.0, -1.0]) for i in range(80)]           # one vector with a third of the rows
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = [(r["vec_id"], [int(x * 64 // 1) for x in r["embedding"]]) for r in df.collect()]
+    assert found(C.centroid_clusters(df, 5, 4, 6, 64)) == brute(whole, 5, 4)
+
+
+def test_ties_go_to_the_smaller_number_and_means_are_floored(spark):
+    rows = [(i, [float(x), 0.0]) for i, x in enumerate([-3, -2, -2, 0, 0, 1, 5, 5])]
+    whole = [(i, [int(a), int(b)]) for i, (a, b) in rows]
+    for k in (1, 2, 3, 8):
+        assert found(C.centroid_clusters(spark.createDataFrame(rows, SCHEMA), k, 3, 2, 1)) == brute(whole, k, 3)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 2.0]), (2, [1.0, None]), (3, [nan, 0.0]), (4, [inf, 0.0]), (5, [1.0]), (6, [1.0, 2.0, 3.0]), (7, None), (8, []), (None, [4.0, 4.0]),
+            (1, [1.0, 2.0]), (9, [3e38, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS v", "'x' AS cluster", "'x' AS distance", "'x' AS nearest")
+    kept = [(1, [1, 2]), (None, [4, 4]), (1, [1, 2])]
+    got = C.centroid_clusters(df, 8, 2, 2, 1)
+    assert sorted([r["vec_id"] or 0 for r in got.collect()]) == [0, 1, 1]
+    assert found(got) == brute(kept, 8, 2)
+    empty = C.centroid_clusters(df.limit(0), 8, 2, 2, 1)
+    assert empty.columns == got.columns and empty.count() == 0
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [131071.0 * (-1) ** i, 131000.0]) for i in range(6)]
+    whole = [(i, [int(a) * 1024, int(b) * 1024]) for i, (a, b) in rows]
+    assert found(C.centroid_clusters(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 2, 2, 2)) == brute(whole, 2, 2)
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_rounds_stay_in_the_jvm(spark, k):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], SCHEMA)
+    plan = C.centroid_clusters(df, k, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in ("Python", "Pandas", "Arrow", "Window") if node in plan]
