@@ -12,6 +12,8 @@ from .centroids import ORACLE as CENTROID_SQL
 from .centroids import centroid_clusters
 from .code_search import ORACLE as SEARCH_SQL
 from .code_search import nearest_codes
+from .collocations import ORACLE as COLLOCATION_SQL
+from .collocations import collocations
 from .common import table
 from .language_mixture import languages
 from .near_dedup import near_duplicates
@@ -25,6 +27,8 @@ from .sharding import shards
 from .source_mixing import ORACLE as MIXTURE_SQL
 from .source_mixing import mixture
 from .suffix_dedup import repeat_report
+from .url_rules import ORACLE as URL_SQL
+from .url_rules import url_verdicts
 
 
 def op1_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_odd_sketch_near_dedup": op1_odd_sketch_near_dedup,
     "op2_language_mixture": op2_language_mixture,
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_longest_first_sharding": op9_longest_first_sharding,
     "op10_least_squares_packing": op10_least_squares_packing,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_collocation_graph": op12_collocation_graph,
+    "op13_association_url_filter": op13_association_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -96,6 +110,8 @@ ORACLES: dict[str, str] = {
     "op7_multi_index_search": SEARCH_SQL,
     "op8_low_discrepancy_mixing": MIXTURE_SQL,
     "op11_centroid_clustering": CENTROID_SQL,
+    "op12_collocation_graph": COLLOCATION_SQL,
+    "op13_association_url_filter": URL_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
