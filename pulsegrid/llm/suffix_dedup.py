@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,13 @@ def _lists(sizes: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
 
-def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor(passage: S.Passage, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct gram hashes of each text and, for each, the places of its anchors: position, bytes before, bytes after in one number."""
     none = np.empty(0, dtype=np.int64)
     for batch in batches:
         grams, places, per_text, per_gram = [none], [none], [], [none]
         for text in batch.column(2).cast(pa.large_binary()):
-            pos, gram, before, after = S.anchors(text.as_py() or b"")
+            pos, gram, before, after = S.anchors(text.as_py() or b"", passage)
             order = np.argsort(gram, kind="stable")
             found, counts = np.unique(gram, return_counts=True)
             grams.append(found)
@@ -90,7 +91,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A 128-bit hash of every single passage around an anchor; one that a text has more than once goes on once.
 
     What such passages cover is settled here: rows without a hash are spans that go.
@@ -100,15 +101,15 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, text, found in _passages(batch):
             places = [_place(p) for a in found for p in a["places"]]
             seen: dict[bytes, list[int]] = {}
-            for start in {s for pos, before, after in places for s in range(pos - before, pos + after - S.LENGTH + 1)}:
-                seen.setdefault(xxhash.xxh3_128_digest(text[start:start + S.LENGTH]), []).append(start)
-            rows = [(passage, name, at[0], at[0] + S.LENGTH) for passage, at in seen.items()]
-            rows += [(None, name, *span) for span in _merged([(s, s + S.LENGTH) for at in seen.values() if len(at) > 1 for s in at])]
+            for start in {s for pos, before, after in places for s in range(pos - before, pos + after - length + 1)}:
+                seen.setdefault(xxhash.xxh3_128_digest(text[start:start + length]), []).append(start)
+            rows = [(passage, name, at[0], at[0] + length) for passage, at in seen.items()]
+            rows += [(None, name, *span) for span in _merged([(s, s + length) for at in seen.values() if len(at) > 1 for s in at])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                              names=["passage", "name", "start", "stop"])
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort(passage: S.Passage, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans from contexts that come ordered by gram; only the last, unfinished group is carried on."""
 
     def spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -126,11 +127,11 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.frombuffer(data.buffers()[2], dtype=np.uint8)
         group = np.cumsum(np.diff(gram, prepend=gram[:1]) != 0)
         left = left.astype(np.int64)
-        near, far = S.repeated(group, flat, ends[:-1], left, np.diff(ends) - left)
+        near, far = S.repeated(group, flat, ends[:-1], left, np.diff(ends) - left, passage)
         hit = np.flatnonzero(far >= 0)
         yield pa.RecordBatch.from_arrays(
             [rows.column("name").combine_chunks().take(pa.array(hit)) if len(hit) else pa.array([], pa.binary()),
-             pa.array((pos[hit] - far[hit]).astype(np.int32)), pa.array((pos[hit] - near[hit] + S.LENGTH).astype(np.int32))],
+             pa.array((pos[hit] - far[hit]).astype(np.int32)), pa.array((pos[hit] - near[hit] + passage.length).astype(np.int32))],
             names=["name", "start", "stop"])
 
     rest: pa.Table | None = None
@@ -146,20 +147,6 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from spans(rest)
 
 
-def _merge(spans: Column) -> Column:
-    """Overlapping or touching spans of one text as maximal ones, in order."""
-    span = "struct<start:int,stop:int>"
-    start = F.array().cast(f"array<{span}>")
-
-    def step(done: Column, new: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], new["stop"]).alias("stop"))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        return F.when((F.size(done) > 0) & (new["start"] <= last["stop"]), grown).otherwise(F.concat(done, F.array(new)))
-
-    return F.aggregate(F.sort_array(spans), start, step)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     """(name, id, text) of every row; a null id gets the least number.
 
@@ -170,17 +157,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return named.where(F.col("name").isNotNull())
 
 
-def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
-    """(name, spans): per distinct text of which something goes, the maximal byte spans that go.
+def removals(texts: DataFrame, large: int = LARGE, length: int = S.PASSAGE.length) -> DataFrame:
+    """(name, spans): per distinct text of which something goes, the byte spans that go; they may overlap.
 
-    A span is what passages of 400 bytes cover that also start elsewhere, in the same text or another. Texts that
-    occur more than once go whole if they have 400 bytes. Anchors (least hashed 100-grams of each passage) bring
+    A span is what passages of `length` bytes cover that also start elsewhere, in the same text or another. Texts that
+    occur more than once go whole if they have that length. Anchors (least hashed gram of a quarter of it) bring
     equal passages together; around anchors that share a gram both sides are ordered by deep-shallow sorting.
     Where more than `large` anchors share one, passages are counted by a 128-bit hash instead, combined before the
     shuffle, so no group of any size lands in one task. `texts` is shuffled by name, as a caller's join with the result
     does, so that one shuffle of the texts serves both.
     """
-    signed = stored(map_arrow(texts.where(F.octet_length("text") >= S.LENGTH), _anchor,
+    passage = S.Passage(length)
+    signed = stored(map_arrow(texts.where(F.octet_length("text") >= length), partial(_anchor, passage),
                               "name binary, id bigint, gram array<bigint>, places array<array<bigint>>"), "anchors")
     names = stored(signed.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
                    .withColumn("no", F.monotonically_increasing_id()), "names")
@@ -198,28 +186,30 @@ def removals(texts: DataFrame, large: int = LARGE) -> DataFrame:
 
     contexts = map_arrow(around(False), _contexts, "gram bigint, name binary, pos int, before int, bytes binary")
     # Rows of one gram meet in one task, at most `large` of them.
-    spans = map_arrow(contexts.repartition("gram").sortWithinPartitions("gram"), _sort, "name binary, start int, stop int")
+    spans = map_arrow(contexts.repartition("gram").sortWithinPartitions("gram"), partial(_sort, passage), "name binary, start int, stop int")
     if not wanted.where("large").isEmpty():
         # Both uses read the one shuffle of the texts; only the few contexts are hashed twice.
         schema = "passage binary, name binary, start int, stop int"
-        twice = map_arrow(around(True), _hashes, schema).groupBy("passage").agg(F.count("*").alias("texts")).where("texts > 1 AND passage IS NOT NULL")
-        hot = map_arrow(around(True), _hashes, schema).join(twice, "passage", "left").where("passage IS NULL OR texts IS NOT NULL")
+        twice = map_arrow(around(True), partial(_hashes, length), schema).groupBy("passage").agg(F.count("*").alias("texts")).where("texts > 1 AND passage IS NOT NULL")
+        hot = map_arrow(around(True), partial(_hashes, length), schema).join(twice, "passage", "left").where("passage IS NULL OR texts IS NOT NULL")
         spans = spans.union(hot.select("name", "start", "stop"))
-    partial = spans.groupBy("name").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    partial = partial.select("name", _merge(F.col("spans")).alias("spans"))
+    cut = spans.groupBy("name").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copied = names.where("copies > 1").select("name", F.lit(True).alias("whole"))
     span = "array<struct<start:int,stop:int>>"
     everything = F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).cast(span)
-    return partial.join(copied, "name", "full").select("name", F.when(F.col("whole"), everything).otherwise(F.col("spans").cast(span)).alias("spans"))
+    return cut.join(copied, "name", "full").select("name", F.when(F.col("whole"), everything).otherwise(F.col("spans").cast(span)).alias("spans"))
 
 
-def _kept(text: bytes, spans: list | None) -> tuple[bytes, int]:
-    parts, at = [], 0
-    for span in spans or []:
-        parts.append(text[at:span["start"]])
-        at = span["stop"]
+def _kept(text: bytes, spans: list | None, words: int = 0) -> tuple[bytes, int]:
+    """What is left of a text without the runs that its spans make up, and the number of these; runs of fewer than `words` words stay."""
+    parts, at, runs = [], 0, 0
+    for start, stop in _merged([(s["start"], s["stop"]) for s in spans or []]):
+        if words and len(text[start:stop].split()) < words:
+            continue
+        parts.append(text[at:start])
+        at, runs = stop, runs + 1
     parts.append(text[at:])
-    return b"".join(parts), len(spans or [])
+    return b"".join(parts), runs
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +235,23 @@ def repeat_report(docs: DataFrame, large: int = LARGE) -> DataFrame:
     return map_arrow(rows, _apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        new = [None if t.as_py() is None else _kept(t.as_py(), s.as_py())[0].decode("utf-8", "ignore")
-               for t, s in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["d", "text"])
+def _cut(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [None if t.as_py() is None else _kept(t.as_py(), s.as_py(), words)[0].decode("utf-8", "ignore")
+                   for t, s in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["d", "text"])
+    return cut
 
 
-def without_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def without_repeats(docs: DataFrame, large: int = LARGE, length: int = S.PASSAGE.length, words: int = 0) -> DataFrame:
     """`docs` with the repeated passages cut out of `text`; a character of which only some bytes go, goes whole.
 
-    All other columns, of any name, are handed on; null texts stay null.
+    A run of repeated bytes goes if passages of `length` bytes make it up and it has `words` words or more, cut ones at its ends
+    included. All other columns, of any name, are handed on; null texts stay null.
     """
-    gone = removals(_texts(columns_of(docs, "doc_id", "text")), large)
+    gone = removals(_texts(columns_of(docs, "doc_id", "text")), large, length)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(_name(F.col("text")).alias("name"), F.struct(*rest).alias("d"), "text").join(gone, "name", "left").select("d", "text", "spans")
-    cut = map_arrow(rows, _cut, f"d {rows.schema['d'].dataType.simpleString()}, text string")
+    cut = map_arrow(rows, _cut(words), f"d {rows.schema['d'].dataType.simpleString()}, text string")
     return cut.select(*[F.col("text") if c == "text" else F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from .common import MASK
 from .shingles import mix
 
-LENGTH = 400                  # a passage counts from this many bytes on
-GRAM = 100                    # bytes under an anchor
-WINDOW = LENGTH - GRAM + 1    # grams in one passage
+
+@dataclass(frozen=True)
+class Passage:
+    """What counts as a passage: `length` bytes and more. Anchors are grams of a quarter of that; `window` grams lie in one passage."""
+
+    length: int = 400
+
+    def __post_init__(self) -> None:
+        if not 32 <= self.length < 1024:
+            raise ValueError("a passage has 32 to 1023 bytes")
+
+    @property
+    def gram(self) -> int:
+        return self.length // 4
+
+    @property
+    def window(self) -> int:
+        return self.length - self.gram + 1
+
+
+PASSAGE = Passage()
 SHALLOW = 64                  # bytes ordered by multikey sorting before blind tries take over
 PIECE = 1 << 16               # passage starts looked at together; bounds the memory for long texts
 
@@ -17,16 +37,16 @@ _BASE = 0x5851F42D4C957F2D
 _random = np.random.default_rng(77)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _UNIT = np.ones(1, dtype=np.uint64)
-_span = PIECE + LENGTH + 1
+_span = PIECE + 1024
 _POWER = np.concatenate([_UNIT, np.cumprod(np.full(_span, _BASE, dtype=np.uint64))])
 _BACK = np.concatenate([_UNIT, np.cumprod(np.full(_span, pow(_BASE, -1, MASK + 1), dtype=np.uint64))])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every `GRAM` bytes, from prefix sums of a polynomial."""
+def gram_hashes(data: np.ndarray, gram: int = PASSAGE.gram) -> np.ndarray:
+    """A 64-bit hash of every `gram` bytes, from prefix sums of a polynomial."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _POWER[:len(data)], out=sums[1:])
-    return mix((sums[GRAM:] - sums[:-GRAM]) * _BACK[:len(data) - GRAM + 1])
+    return mix((sums[gram:] - sums[:-gram]) * _BACK[:len(data) - gram + 1])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,27 +60,28 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, passage: Passage = PASSAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, hash, left, right): the least gram of every passage, ties included.
 
     Equal passages have the same anchors at the same distance from their start. The passages that an
     anchor stands for lie within `left` bytes before and `right` bytes after its position.
     """
+    length, window = passage.length, passage.window
     found: list[list[np.ndarray]] = [[], [], [], []]
-    for begin in range(0, len(text) - LENGTH + 1, PIECE):
-        data = np.frombuffer(text, dtype=np.uint8, offset=begin, count=min(PIECE + LENGTH - 1, len(text) - begin))
-        grams = gram_hashes(data)
-        least = sliding_min(grams, WINDOW)
+    for begin in range(0, len(text) - length + 1, PIECE):
+        data = np.frombuffer(text, dtype=np.uint8, offset=begin, count=min(PIECE + length - 1, len(text) - begin))
+        grams = gram_hashes(data, passage.gram)
+        least = sliding_min(grams, window)
         cut = np.flatnonzero(least[1:] != least[:-1]) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(least)]]) - 1
-        edge = np.full(WINDOW - 1, MASK, dtype=np.uint64)
-        highest = ~sliding_min(np.concatenate([edge, ~least, edge]), WINDOW)
+        edge = np.full(window - 1, MASK, dtype=np.uint64)
+        highest = ~sliding_min(np.concatenate([edge, ~least, edge]), window)
         at = np.flatnonzero(highest == grams)
-        run = np.searchsorted(last, at - WINDOW + 1)
+        run = np.searchsorted(last, at - window + 1)
         while (wrong := least[first[run]] != grams[at]).any():  # the run of passages with this least value
             run[wrong] += 1
-        for part, values in zip(found, (at + begin, grams[at].view(np.int64), at - np.maximum(first[run], at - WINDOW + 1),
-                                        np.minimum(last[run], at) + LENGTH - at), strict=True):
+        for part, values in zip(found, (at + begin, grams[at].view(np.int64), at - np.maximum(first[run], at - window + 1),
+                                        np.minimum(last[run], at) + length - at), strict=True):
             part.append(values)
     return tuple(np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in found)
 
@@ -155,28 +176,29 @@ def deep_shallow(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, common
 
 
-def repeated(group: np.ndarray, flat: np.ndarray, offset: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(group: np.ndarray, flat: np.ndarray, offset: np.ndarray, left: np.ndarray, right: np.ndarray,
+             passage: Passage = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
     """(nearest, farthest) distance of an anchor from the start of a passage that occurs at another anchor of its group; -1 for none.
 
     Row i has `left[i]` bytes before and `right[i]` bytes from its anchor on, which is `flat[offset[i] + left[i]]`.
     Both sides are ordered by deep-shallow sorting, the left one backwards. A passage that starts d bytes before
-    the anchor occurs twice where two rows agree in d bytes to the left and in LENGTH - d to the right.
+    the anchor occurs twice where two rows agree in d bytes to the left and in length - d to the right.
     """
-    n = len(group)
+    n, length = len(group), passage.length
     at, end = offset + left, len(flat) - 1
-    ahead, back = np.arange(LENGTH), np.arange((LENGTH - GRAM + 7) // 8 * 8)
+    ahead, back = np.arange((length + 7) // 8 * 8), np.arange((passage.window + 6) // 8 * 8)
     after = np.where(ahead < right[:, None], flat[np.minimum(at[:, None] + ahead, end)], 0).astype(np.uint8)
     before = np.where(back < left[:, None], flat[np.maximum(at[:, None] - 1 - back, 0)], 0).astype(np.uint8)
     right_order, right_common = deep_shallow(after, group)
     left_order, left_common = deep_shallow(before, group)
     nearest, farthest = np.full(n, -1), np.full(n, -1)
     left_class, right_class = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    for d in range(LENGTH - GRAM + 1):
-        own = np.flatnonzero((left >= d) & (right >= LENGTH - d))
+    for d in range(passage.window):
+        own = np.flatnonzero((left >= d) & (right >= length - d))
         if len(own) < 2:
             continue
         left_class[left_order] = np.cumsum(left_common < d)
-        right_class[right_order] = np.cumsum(right_common < LENGTH - d)
+        right_class[right_order] = np.cumsum(right_common < length - d)
         key = left_class[own] * (n + 1) + right_class[own]
         sort = np.argsort(key, kind="stable")
         same = key[sort[1:]] == key[sort[:-1]]

@@ -13,19 +13,25 @@ from pulsegrid.llm import suffixes as S
 from .cases import clashing, documents
 
 
-def brute(texts):
-    """Removed bytes by definition, per text."""
+def covered(texts, length):
+    """Bytes of each text that repeated passages cover, by definition."""
     seen = defaultdict(int)
     for b in texts:
-        for i in range(len(b) - 399):
-            seen[b[i:i + 400]] += 1
-    out = []
+        for i in range(len(b) - length + 1):
+            seen[b[i:i + length]] += 1
     for b in texts:
         gone = np.zeros(len(b) + 1, dtype=bool)
-        for i in range(len(b) - 399):
-            if seen[b[i:i + 400]] > 1:
-                gone[i:i + 400] = True
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                gone[i:i + length] = True
         gone[-1] = False
+        yield b, gone
+
+
+def brute(texts, length=400):
+    """Removed bytes by definition, per text."""
+    out = []
+    for b, gone in covered(texts, length):
         kept = bytes(x for x, g in zip(b, gone[:-1], strict=True) if not g)
         out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
@@ -55,6 +61,37 @@ def test_equals_brute_force(spark, rows, large):
     assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("length", [200, 96])
+@pytest.mark.parametrize("large", [D.LARGE, 2])
+def test_other_lengths_equal_brute_force(spark, rows, length, large):
+    texts = corpus(length)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    spans = {bytes(r["name"]): r["spans"] for r in rows(D.removals(D._texts(df), large, length))}
+    want = {b: np.flatnonzero(np.diff(gone.astype(int), prepend=0)).tolist() for b, gone in covered([t.encode() for t in texts], length)}
+    for b, edges in want.items():
+        found = D._merged([(s["start"], min(s["stop"], len(b))) for s in spans.get(hashlib.md5(b).digest()) or []])
+        assert [x for span in found for x in span] == edges
+
+
+def test_runs_of_few_words_stay(spark, rows):
+    """Of repeats with 200 bytes and more, those with over 50 words go and shorter ones stay."""
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choice("abcdefé") for _ in range(pick.randint(2, 8)))
+    own = lambda: " ".join(word() for _ in range(40))
+    long, short, bare = " ".join(word() for _ in range(51)), " ".join(word() for _ in range(45)), "".join(word() for _ in range(100))
+    parts = [(f"{own()} {i}", passage, f"{i} {own()}") for i, passage in enumerate((long, long, short, short, bare, bare))]
+    texts = ["\n".join(p) for p in parts]
+    got = {r["doc_id"]: r["text"] for r in rows(D.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), length=200, words=51))}
+    for i, (before, passage, after) in enumerate(parts):
+        assert got[i] == (before + after if passage is long else texts[i])
+
+
+def test_passages_have_bounds():
+    for length in (31, 1024):
+        with pytest.raises(ValueError):
+            S.Passage(length)
+
+
 def test_edge_rows(spark, rows):
     got = rows(D.repeat_report(clashing(documents(spark))))
     assert len(got) == 12
@@ -101,14 +138,16 @@ def test_blind_trie_orders_distinct_strings():
         assert shared[k] == next(i for i in range(12) if a[i] != b[i])
 
 
+@pytest.mark.parametrize("length", [400, 200])
 @pytest.mark.parametrize("piece", [S.PIECE, 500])
-def test_anchors_stand_for_every_passage(monkeypatch, piece):
+def test_anchors_stand_for_every_passage(monkeypatch, piece, length):
+    passage = S.Passage(length)
     monkeypatch.setattr(S, "PIECE", piece)
     pick = random.Random(4)
     text = bytes(pick.choice(b"abcd") for _ in range(3000)) + b"a" * 900 + b"xyz" * 200
-    pos, gram, left, right = S.anchors(text)
-    covered = {s for p, a, b in zip(pos, left, right, strict=True) for s in range(p - a, p + b - S.LENGTH + 1)}
-    assert covered == set(range(len(text) - S.LENGTH + 1))
-    shifted = S.anchors(b"0123456789" + text)
+    pos, gram, left, right = S.anchors(text, passage)
+    covered = {s for p, a, b in zip(pos, left, right, strict=True) for s in range(p - a, p + b - length + 1)}
+    assert covered == set(range(len(text) - length + 1))
+    shifted = S.anchors(b"0123456789" + text, passage)
     assert set(gram.tolist()) <= set(shifted[1].tolist())
-    assert all(len(x) == 0 for x in S.anchors(b"a" * 399))
+    assert all(len(x) == 0 for x in S.anchors(b"a" * (length - 1), passage))
