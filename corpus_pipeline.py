@@ -15,6 +15,7 @@ from pulsegrid.llm.common import stored, table
 
 
 TEXT, ROW = "_text_md5", "_row"      # columns a stage adds for its own use
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51     # a passage goes from so many bytes and words on; 51 words of three letters have 200 bytes
 
 
 def _only(docs: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
@@ -64,8 +65,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes and more that occur elsewhere out of the texts."""
-    return _sized(suffix_dedup.without_repeats(docs))
+    """Cuts passages of over 50 words, of 200 bytes at least, that occur elsewhere out of the texts."""
+    return _sized(suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
