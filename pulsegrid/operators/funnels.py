@@ -19,9 +19,13 @@ def funnel(ev: DataFrame, steps: Sequence[tuple[str, str]]) -> DataFrame:
     distinct count serves all steps.
     """
     wanted = [event for _, event in steps]
-    users = (ev.where(F.col("event").isin(wanted)).groupBy("event")
-             .agg(F.count_distinct("wallet_address").alias("users")))
-    spine = ev.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*[
+    return funnel_of(ev.where(F.col("event").isin(wanted)).groupBy("event")
+                     .agg(F.count_distinct("wallet_address").alias("users")), steps)
+
+
+def funnel_of(users: DataFrame, steps: Sequence[tuple[str, str]]) -> DataFrame:
+    """The steps with the users (event, users) that each has, and their share of the step before."""
+    spine = users.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), F.lit(event).alias("event"))
         for i, (label, event) in enumerate(steps, 1)])))
     counted = spine.join(users, "event", "left").withColumn("users", F.coalesce("users", F.lit(0)))

@@ -17,8 +17,8 @@ from .. import constants as C
 from ..functions.frames import fill_spine, fixed_list
 from ..functions.numbers import percent, whole
 from ..functions.timestamps import bucket
-from ..sources.metrics import (STATS, dim, metric_series, metric_series_by_dim, metric_series_by_service,
-                               period_for, rollup, select_points)
+from ..sources.metrics import (dim, metric_series, metric_series_by_dim, metric_series_by_service,
+                               period_for, rollup, select_points, statistics)
 from ..sources.tables import lookback_end
 
 MB = 1024 * 1024
@@ -243,7 +243,7 @@ def service_health(points: DataFrame, *, period: int | None = None, hours: int |
     recent = F.lit(True) if hours is None else F.col("ts") >= lookback_end(end) - F.make_dt_interval(hours=F.lit(hours))
     start = F.when(recent, bucket(F.col("ts"), period or period_for(hours)))
     periods = chosen.groupBy("metric_name", dim(C.DIM_SERVICE).alias("service"), start.alias("timestamp")).agg(
-        *[fn("value").alias(stat) for stat, fn in STATS.items()]).withColumn("recent", F.col("timestamp").isNotNull())
+        *[column.alias(stat) for stat, column in statistics(chosen).items()]).withColumn("recent", F.col("timestamp").isNotNull())
     now = lambda metric, stat: F.when(F.col("recent"), _of(metric, stat))
     per_service = periods.groupBy("service").agg(
         F.coalesce(F.avg(now(C.METRIC_MEMORY, "Average")), F.lit(0.0)).alias("avg_memory"),

@@ -17,6 +17,7 @@ from ..functions.timestamps import bucket
 from .tables import within_hours
 
 STATS = {"Sum": F.sum, "Average": F.avg, "Minimum": F.min, "Maximum": F.max}
+STATES = ("sum", "count", "min", "max")       # columns of a stored rollup, in place of `value`
 
 
 def period_for(hours: int | None) -> int:
@@ -57,17 +58,35 @@ def select_points(points: DataFrame, names: Sequence[str], *, dims: Mapping[str,
     return df
 
 
+def point_states() -> dict[str, Column]:
+    """What a rollup keeps of the values in a bucket."""
+    return {"sum": F.sum("value"), "count": F.count("value"), "min": F.min("value"), "max": F.max("value")}
+
+
+def merged_states() -> dict[str, Column]:
+    """States of a coarser bucket from those of finer ones."""
+    return {"sum": F.sum("sum"), "count": F.sum("count"), "min": F.min("min"), "max": F.max("max")}
+
+
+def statistics(points: DataFrame) -> dict[str, Column]:
+    """The four statistics as aggregates, over raw points or over the rows of a stored rollup."""
+    if "value" in points.columns or not set(STATES) <= set(points.columns):
+        return {stat: fn("value") for stat, fn in STATS.items()}
+    states = merged_states()
+    return {"Sum": states["sum"], "Average": F.try_divide(states["sum"], states["count"]), "Minimum": states["min"], "Maximum": states["max"]}
+
+
 def rollup(points: DataFrame, period: int, *keys: Column) -> DataFrame:
     """All four statistics per key and bucket, in one pass."""
     return (points.groupBy(*keys, bucket(F.col("ts"), period).alias("timestamp"))
-            .agg(*[fn("value").alias(stat) for stat, fn in STATS.items()]))
+            .agg(*[column.alias(stat) for stat, column in statistics(points).items()]))
 
 
 def _series(points: DataFrame, stat: str, period: int, *keys: Column) -> DataFrame:
     if stat not in STATS:
         raise ValueError(f"stat must be one of {sorted(STATS)}")
     return (points.groupBy(*keys, bucket(F.col("ts"), period).alias("timestamp"))
-            .agg(STATS[stat]("value").alias("value")))
+            .agg(statistics(points)[stat].alias("value")))
 
 
 def metric_series(points: DataFrame, name: str, stat: str = "Average", *, period: int | None = None,
