@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, map_arrow, stored
+from .shingles import mix
 
 LEAST, SHARE, TOP = 10, 50, 2000
 NO_LANG = "und"
-BLOCK = 7_000_000         # bytes of text counted together inside a task
-HOT = 1000                # nodes with more than this part of all edge entries are counted edge by edge
+BLOCK = 10_000_000        # bytes of text counted together inside a task
+ROWS = 100_000            # rows a task hands on at a time
+CELLS = 1 << 26           # bits of the filter of frequent nodes: 8 MB at any size of the corpus
 CUTS = b".,;:!?\n\x0b\x0c\r"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 _LETTERS = bytes.maketrans(UPPER + CUTS + b"\t", LOWER + b"\n" * len(CUTS) + b" ")
 _BREAK, _SPACE = 10, 32
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -34,41 +39,70 @@ def _words(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words, np.append(piece[1:] == piece[:-1], False)[:len(begin)]
 
 
-def _graph(lang: str, data: np.ndarray) -> pa.RecordBatch:
-    """The graph of one buffer, a row per node: flow, and the words its edges lead to with their counts.
+class _Graph:
+    """The graph of one buffer: distinct edges as (one, two, three) numbers of words, ascending, and their counts.
 
-    A word that ends its piece is a node without second word. The flow of a node is all that passes it, pieces that end there
-    included; its edges are the passages that go on.
+    The number `size` stands for the end of a piece. A word that ends its piece has it as second word and third word, a pair
+    that does so as third.
     """
-    words, goes_on = _words(data)
-    names = words.dictionary_encode()
-    first, size = names.indices.to_numpy().astype(np.int64), len(names.dictionary)
-    after = lambda ids: np.where(goes_on, np.append(ids[1:], size), size)
-    second = after(first)
-    third = np.where(second < size, np.append(second[1:], size), size)
-    base = size + 1
-    node = first * base + second
-    if base ** 3 < 1 << 63:
-        edge, count = np.unique(node * base + third, return_counts=True)
-        node, third = edge // base, edge % base
-    else:
-        known, number = np.unique(node, return_inverse=True)
-        edge, count = np.unique(number * base + third, return_counts=True)
-        node, third = known[edge // base], edge % base
-    start = np.flatnonzero(np.diff(node, prepend=-1))
-    flow = np.add.reduceat(count, start)
-    leads = third < size
-    entries = np.add.reduceat(leads.astype(np.int64), start)
-    node = node[start]
-    ends = pa.array(np.concatenate([[0], np.cumsum(entries)]), pa.int32())
-    text = names.dictionary.cast(pa.string())
-    following = pa.ListArray.from_arrays(ends, text.take(pa.array(third[leads])))
-    two = node % base
-    word2 = text.take(pa.array(two, pa.int64(), mask=two == size)).fill_null("")
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(node), pa.string()), text.take(pa.array(node // base)), word2, pa.array(flow, pa.int64()), pa.array(entries, pa.int64()),
-         pc.binary_join(following, " "), pa.ListArray.from_arrays(ends, pa.array(count[leads].astype(np.int32)))],
-        names=["lang", "w1", "w2", "flow", "entries", "following", "counts"])
+
+    def __init__(self, lang: str, data: np.ndarray):
+        words, goes_on = _words(data)
+        names = words.dictionary_encode()
+        self.lang, self.size = lang, len(names.dictionary)
+        self.names = names.dictionary.cast(pa.string())
+        base = self.size + 1
+        first = names.indices.to_numpy().astype(np.int64)
+        second = np.where(goes_on, np.append(first[1:], self.size)[:len(first)], self.size)
+        third = np.where(second < self.size, np.append(second[1:], self.size)[:len(first)], self.size)
+        if base ** 3 < 1 << 63:
+            edge, self.count = np.unique((first * base + second) * base + third, return_counts=True)
+            node, self.three = np.divmod(edge, base)
+        else:
+            known, number = np.unique(first * base + second, return_inverse=True)
+            edge, self.count = np.unique(number * base + third, return_counts=True)
+            node, self.three = known[edge // base], edge % base
+        self.one, self.two = np.divmod(node, base)
+
+    def cells(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The filter's bit of each node."""
+        own = xxhash.xxh3_64_intdigest(self.lang.encode())
+        word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=self.size)
+        return (mix(mix(word[one] + np.uint64(own)) * _ODD + word[two]) & np.uint64(CELLS - 1)).astype(np.int64)
+
+    def take(self, numbers: np.ndarray) -> pa.Array:
+        return self.names.take(pa.array(numbers, pa.int64()))
+
+    def rows(self, *columns: pa.Array) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), ROWS):
+            part = [c.slice(at, ROWS) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part[0]), pa.string()), *part], names=["lang", *"abcdef"[:len(part)]])
+
+
+def _flows(graph: _Graph) -> Iterator[pa.RecordBatch]:
+    """Flow of each node (w1, w2), then of each word (w2 empty), then of all words (both empty)."""
+    if not len(graph.count):
+        return
+    start = np.flatnonzero((np.diff(graph.one, prepend=-1) != 0) | (np.diff(graph.two, prepend=-1) != 0))
+    flow, one, two = np.add.reduceat(graph.count, start), graph.one[start], graph.two[start]
+    pair = two < graph.size
+    begin = np.flatnonzero(np.diff(one, prepend=-1))
+    per_word = np.add.reduceat(flow, begin)
+    nothing = pa.array([""] * (len(begin) + 1), pa.string())
+    w1 = pa.concat_arrays([graph.take(one[pair]), graph.take(one[begin]), pa.array([""], pa.string())])
+    w2 = pa.concat_arrays([graph.take(two[pair]), nothing])
+    cell = np.concatenate([graph.cells(one[pair], two[pair]), np.zeros(len(nothing), dtype=np.int64)])
+    yield from graph.rows(w1, w2, pa.array(np.concatenate([flow[pair], per_word, [flow.sum()]]), pa.int64()), pa.array(cell))
+
+
+def _edges(frequent: Broadcast, graph: _Graph) -> Iterator[pa.RecordBatch]:
+    """The edges between nodes that the filter lets pass."""
+    bits = np.frombuffer(frequent.value, dtype=np.uint8)
+    passes = lambda cell: (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    kept = np.flatnonzero((graph.three < graph.size) & (graph.count > 0))
+    kept = kept[passes(graph.cells(graph.one[kept], graph.two[kept]))]
+    kept = kept[passes(graph.cells(graph.two[kept], graph.three[kept]))]
+    yield from graph.rows(*[graph.take(numbers[kept]) for numbers in (graph.one, graph.two, graph.three)], pa.array(graph.count[kept], pa.int64()))
 
 
 def _blocks(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -84,15 +118,15 @@ def _blocks(texts: list[bytes]) -> Iterator[np.ndarray]:
         begin = end + 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local graphs of the texts of each language; a block is counted as soon as it is full."""
+def _graphs(give, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `give` finds in the local graphs of the texts of each language; a block is counted as soon as it is full."""
     waiting: dict[str, list[bytes]] = {}
     held = 0
 
-    def graphs() -> Iterator[pa.RecordBatch]:
+    def counted() -> Iterator[pa.RecordBatch]:
         for lang, texts in waiting.items():
             for block in _blocks(texts):
-                yield from (g for g in [_graph(lang, block)] if g.num_rows)
+                yield from give(_Graph(lang, block))
         waiting.clear()
 
     for batch in batches:
@@ -100,41 +134,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_py()
             waiting.setdefault(lang.as_py(), []).append(data)
             held += len(data)
-            if held >= 2 * BLOCK:
-                yield from graphs()
+            if held >= BLOCK:
+                yield from counted()
                 held = 0
-    yield from graphs()
+    yield from counted()
 
 
 _PAIR, _EDGE = ["lang", "w1", "w2"], ["lang", "w1", "w2", "w3"]
 
 
+def _filter(nodes: DataFrame) -> bytes:
+    """One bit per node's cell; CELLS / 8 bytes, whatever the number of nodes."""
+    place = F.col("cell") + 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    width = CELLS // 8 // 4096
+    found = {r["part"]: bytes(r["bits"]) for r in parts.collect()}          # of 4096 bytes each
+    return b"".join(found.get(i + 1, bytes(4096)) for i in range(width))
+
+
 def weighted_graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(edges, nodes, words, totals) of the graph over `docs` (lang, text), per language.
 
     edges (lang, w1, w2, w3, n), nodes (lang, w1, w2, n) and words (lang, w1, n) have all that occur `least` times or more, with
-    exact counts; totals (lang, n) has all word occurrences. Only the edges are counted: a node's count is its flow, which is
+    exact counts; totals (lang, n) has all word occurrences. Only triples are counted in the texts: a node's count is its flow,
     the sum of its edges and of the pieces that end there, and a word's count the sum of its nodes and piece ends.
 
-    Tasks send a row per node and block, with all its edges, so that a word pair is not sent once per edge. Edges are summed
-    where the nodes meet; nodes that hold more than a thousandth of all edge entries, fewer than 1000, are told by name and
-    their edges summed one by one, combined before the shuffle.
+    Two passes over the texts. The first sends the flows of each block. A frequent edge joins two frequent nodes, so
+    the second sends only edges whose nodes a bit filter of fixed size lets pass; all are then counted, whatever passed.
+    Every sum is combined before its shuffle, so a pair with many edges is no burden to any task.
     """
     texts = columns_of(docs, "lang", "text").where("text <> ''").select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    local = stored(map_arrow(texts, _count, "lang string, w1 string, w2 string, flow bigint, entries bigint, following string, counts array<int>"), "graph")
-    flow = stored(local.groupBy(*_PAIR).agg(F.sum("flow").alias("n"), F.sum("entries").alias("entries")), "flow")
-    words = stored(flow.groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
-    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    nodes = flow.where((F.col("n") >= least) & (F.col("w2") != ""))
-    many = flow.agg(F.sum("entries")).first()[0] or 0
-    hot = F.broadcast(flow.where(F.col("entries") * HOT > many).select(*_PAIR))
-    going = local.where("entries > 0")
-    listed = lambda rows: rows.select(*_PAIR, F.inline(F.arrays_zip(F.split("following", " ").alias("w3"), F.col("counts").alias("c"))))
-    # Rows of one node meet by the join; the sum over its edges keeps that partitioning.
-    cold = listed(going.join(hot, _PAIR, "left_anti").join(nodes.select(*_PAIR), _PAIR, "left_semi"))
-    summed = [part.groupBy(*_EDGE).agg(F.sum("c").alias("n")) for part in (cold, listed(going.join(hot, _PAIR, "left_semi")))]
-    edges = stored(summed[0].union(summed[1]).where(F.col("n") >= least), "edges")
-    return edges, nodes.select(*_PAIR, "n"), words.where(F.col("n") >= least), totals
+    local = map_arrow(texts, partial(_graphs, _flows), "lang string, w1 string, w2 string, flow bigint, cell bigint")
+    flow = local.groupBy(*_PAIR).agg(F.sum("flow").alias("n"), F.max("cell").alias("cell"))
+    flow = stored(flow.where((F.col("n") >= least) | (F.col("w1") == "")), "flow")
+    nodes, words, totals = flow.where("w2 <> ''"), flow.where("w1 <> '' AND w2 = ''").select("lang", "w1", "n"), flow.where("w1 = ''").select("lang", "n")
+    frequent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
+    going = map_arrow(texts, partial(_graphs, partial(_edges, frequent)), "lang string, w1 string, w2 string, w3 string, c bigint")
+    edges = stored(going.groupBy(*_EDGE).agg(F.sum("c").alias("n")).where(F.col("n") >= least), "edges")
+    return edges, nodes.select(*_PAIR, "n"), words, totals
 
 
 def _links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
