@@ -9,13 +9,16 @@ from .. import constants as C
 from ..operators import health as H
 from ..operators import logs as L
 from ..operators.normalize import real_users
-from ..sources import metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, scan_alarms
+from ..operators.notifications import time_to_trade
+from ..sources import metric_dim_values, metric_series, metric_series_by_dim, metric_series_by_service, period_for, scan_alarms
 from ..sources import scan_logs, scan_points
 from ..session import work_dir
 from ..streaming import (metric_rollup, run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup,
-                         viewers_per_bucket, with_open_windows)
+                         stream_time_to_trade, viewers_per_bucket, with_open_taps, with_open_windows)
 from . import fixtures
 from .base import Inputs, Query, moment
+from .trading_queries import HALF_DAY
+from .trading_queries import QUERIES as TRADING
 
 END = "2024-01-29 00:00:00"
 BACKEND = {C.DIM_ENVIRONMENT: C.BACKEND_ENVIRONMENT}
@@ -118,6 +121,22 @@ def _stream_errors(x: Inputs):
     return with_open_windows(closed, x.logs, "hour", 3600, L.errors_per_hour)
 
 
+def _stream_times(x: Inputs):
+    flat = _raw_stream(x).selectExpr(*[f"{e} AS `{n}`" for n, e in fixtures.EVENTS.items()])
+    real = real_users(flat.withColumn("ts", F.col("timestamp")))
+    closed = _closed(x, stream_time_to_trade(real, window_seconds=HALF_DAY), "time-to-trade")
+    return with_open_taps(closed, x.ev, lambda ev: time_to_trade(ev, window_seconds=HALF_DAY))
+
+
+def _lookback(hours: int) -> Query:
+    """Each lookback has its own period: 5 minutes up to a day, 15 minutes up to three, else an hour."""
+    period = period_for(hours)
+    return Query(
+        lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, hours=hours, end=END, exact_dims=False),
+        _series(C.METRIC_API_REQUEST, "sum", f"environment = 'development' AND ts >= TIMESTAMP '{END}' - INTERVAL '{hours} hours' "
+                f"AND ts < TIMESTAMP '{END}'", period), {"value": 2})
+
+
 QUERIES: dict[str, Query] = {
     # --- metric rollups ---
     "scan_points": Query(
@@ -132,10 +151,9 @@ QUERIES: dict[str, Query] = {
                                _series(C.METRIC_API_REQUEST, "sum", _OWN, 86400), {"value": 2}),
     "metric_series_max": Query(lambda x: metric_series(x.points, C.METRIC_WS_CONNECTIONS, "Maximum", dims=BACKEND, period=900, hours=None),
                                _series(C.METRIC_WS_CONNECTIONS, "max", _OWN, 900)),
-    "metric_series_lookback": Query(
-        lambda x: metric_series(x.points, C.METRIC_API_REQUEST, "Sum", dims=BACKEND, hours=168, end=END, exact_dims=False),
-        _series(C.METRIC_API_REQUEST, "sum", "environment = 'development' AND ts >= TIMESTAMP '2024-01-22' "
-                "AND ts < TIMESTAMP '2024-01-29'", 3600), {"value": 2}),
+    "metric_series_lookback": _lookback(168),
+    "metric_series_lookback_24h": _lookback(24),
+    "metric_series_lookback_72h": _lookback(72),
     "metric_series_by_dim": Query(
         lambda x: metric_series_by_dim(x.points, C.METRIC_VENUE_ERROR, C.DIM_VENUE, C.ORDER_VENUES, "Sum", dims=BACKEND, **_ALL),
         "SELECT timestamp, value, venue AS dimension FROM (" + _series(
@@ -352,4 +370,5 @@ QUERIES: dict[str, Query] = {
         _stream_errors,
         f"""SELECT {moment('b')} AS hour, errors FROM (SELECT date_trunc('hour', ts) AS b, count(*) AS errors
             FROM logs WHERE {_ERR} GROUP BY 1)"""),
+    "stream_time_to_trade": Query(_stream_times, TRADING["time_to_trade"].sql, TRADING["time_to_trade"].digits),
 }

@@ -18,9 +18,12 @@ from ..operators.logs import priority
 from ..sources.metrics import select_points
 
 WALLET = "wallet_address"
+_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+KEPT = 2000               # micro-batches whose figures a query keeps
+EACH = 5                  # seconds after which they are read; far fewer batches end in that time
 
 
-def _instant(df: DataFrame) -> Column:
+def instant(df: DataFrame) -> Column:
     """Watermarks need TIMESTAMP: the UTC wall clock `ts` as an instant."""
     return F.timestamp_micros(micros(to_utc(df, "ts")))
 
@@ -32,7 +35,7 @@ def stream_concurrent_users(events: DataFrame, *, minutes: int = 5, delay: str =
     """
     size = f"{minutes} minutes"
     seen = (events.where(F.col("ts").isNotNull() & F.col(WALLET).isNotNull())
-            .select(_instant(events).alias("ts"), WALLET).withWatermark("ts", delay)
+            .select(instant(events).alias("ts"), WALLET).withWatermark("ts", delay)
             .groupBy(F.window("ts", size).alias("w"), WALLET).count())
     return (seen.groupBy(F.window(F.window_time("w"), size).alias("w"))
             .agg(F.count("*").alias("viewers"))
@@ -57,7 +60,7 @@ def stream_metric_rollup(points: DataFrame, name: str, *, period: int = 300, del
                          exact_dims: bool = True) -> DataFrame:
     """All four statistics of one series of a metric per period; a series is chosen as in `metric_series`."""
     chosen = select_points(points, [name], dims=dims, hours=None, namespace=namespace, exact_dims=exact_dims)
-    windows = (chosen.withColumn("ts", _instant(points)).withWatermark("ts", delay)
+    windows = (chosen.withColumn("ts", instant(points)).withWatermark("ts", delay)
                .groupBy(F.window("ts", f"{period} seconds").alias("w")))
     return _rolled(windows).select(instant_to_utc(F.col("w.start")).alias("timestamp"), *_STATISTICS)
 
@@ -72,7 +75,7 @@ def metric_rollup(points: DataFrame, name: str, *, period: int = 300, dims: Mapp
 def stream_errors_per_hour(logs: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
     """Error lines (priority 4 and below) per hour."""
     return (logs.where(priority(F.col("message")) <= ERROR_PRIORITY)
-            .withColumn("ts", _instant(logs)).withWatermark("ts", delay)
+            .withColumn("ts", instant(logs)).withWatermark("ts", delay)
             .groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("errors"))
             .select(instant_to_utc(F.col("w.start")).alias("hour"), "errors"))
 
@@ -94,15 +97,31 @@ def run_available(stream: DataFrame, folder: str) -> Run:
     state; `with_open_windows` adds them to a result.
     """
     spark = stream.sparkSession
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
-    read = sum(p["numInputRows"] for p in query.recentProgress)
+    before = spark.conf.get(_KEPT, None)
+    spark.conf.set(_KEPT, str(KEPT))          # the query takes its settings over when it starts
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset(_KEPT) if before is None else spark.conf.set(_KEPT, before)
+    counts: dict[int, tuple[int, int]] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(EACH)
+        counts |= _counts(query.recentProgress)
+    missing = set(range(min(counts), max(counts) + 1)) - set(counts) if counts else set()
+    if missing:
+        raise RuntimeError(f"no figures of {len(missing)} micro-batches, so late rows cannot be told")
+    late, read = (sum(c[i] for c in counts.values()) for i in (0, 1))
     return Run(spark.read.schema(stream.schema).parquet(f"{folder}/table"), late, read)
 
 
+def _counts(progress: list) -> dict[int, tuple[int, int]]:
+    """(late rows, rows read) of each micro-batch."""
+    return {p["batchId"]: (sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), p["numInputRows"]) for p in progress}
+
+
 def with_open_windows(closed: DataFrame, rows: DataFrame, time_col: str, seconds: int,
                       batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Closed windows of a stream, and those still open from a batch over the newest rows.

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import audience as A
 from pulsegrid.operators import logs as L
+from pulsegrid.operators import notifications as M
 from pulsegrid.session import work_dir
 from pulsegrid.sources import metric_series
 from pulsegrid.streaming import (metric_rollup, run_available, stream_concurrent_users, stream_errors_per_hour, stream_metric_rollup,
-                                 viewers_per_bucket, with_open_windows)
+                                 stream_time_to_trade, viewers_per_bucket, with_open_taps, with_open_windows)
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +113,65 @@ def test_work_dir_refuses_a_local_folder_on_a_cluster(url):
 
     with pytest.raises(ValueError):
         work_dir(Session(), "x")
+
+
+def as_taps(df):
+    """Every event is a tap or a conversion of one of a few wallets; one wallet has a third of all rows."""
+    wallet = F.when(F.col("event_id") % 3 == 0, F.lit("hot")).when(F.col("event_id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("w"), F.col("user_id") % 5))
+    return df.select("ts", "event_id", wallet.cast("string").alias("wallet_address"),
+                     F.when(F.col("event_id") % 2 == 0, "notification_tap").otherwise("trade_initiated").alias("event"))
+
+
+def times_of(df):
+    return M.time_to_trade(as_taps(df), window_seconds=7200)
+
+
+def test_time_to_trade(spark, many_files):
+    stream = stream_time_to_trade(as_taps(stream_of(spark, many_files)), window_seconds=7200)
+    run = run_available(stream, work_dir(spark, "t-taps"))
+    batch = times_of(many_files[1])
+    assert run.late_rows == 0 and 0 < run.table.count() <= batch.count() and run.read_rows == 2 * many_files[1].count()     # each side reads
+    for settled in ("2024-02-01", "2024-01-20 12:00:00", "2023-12-31"):
+        closed = run.table.where(F.col("tap_ts") < settled)
+        assert same(with_open_taps(closed, as_taps(many_files[1]), lambda ev: M.time_to_trade(ev, window_seconds=7200)), batch)
+
+
+def test_time_to_trade_goes_on_where_it_stopped(spark):
+    """Each file is a run of its own; taps wait in the state for trades that only the next run sees."""
+    at = lambda text: datetime.fromisoformat(f"2024-01-01 {text}")
+    files = [[(1, at("10:00:00"), "a", "notification_tap"), (2, at("10:10:00"), "a", "notification_tap"), (3, at("10:10:00"), "a", "notification_tap")],
+             [(4, at("10:50:00"), "a", "trade_initiated"), (5, at("10:10:00"), "b", "trade_initiated"), (6, at("10:50:01"), "a", "trade_initiated")],
+             [(7, at("15:00:00"), "c", "notification_tap")],
+             [(8, at("19:00:00"), "c", "notification_tap"), (9, at("18:00:00"), "c", "trade_initiated")],
+             [(10, at("10:20:00"), "a", "notification_tap"), (11, at("20:00:00"), "c", "notification_tap"), (12, at("20:30:00"), "c", "trade_initiated")]]   # 10 is late
+    schema = "event_id bigint, ts timestamp_ntz, wallet_address string, event string"
+    base, folder, late = work_dir(spark, "tap-input"), work_dir(spark, "t-restart"), []
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+        run = run_available(stream_time_to_trade(spark.readStream.schema(schema).parquet(base)), folder)
+        late.append(run.late_rows)
+    got = sorted((r["tap_ts"], r["trade_ts"], r["seconds"]) for r in run.table.collect())
+    assert got == [(at("10:00:00"), at("10:50:00"), 3000.0), (at("10:10:00"), at("10:50:00"), 2400.0), (at("10:10:00"), at("10:50:00"), 2400.0)]
+    assert late[:4] == [0, 0, 0, 0] and late[4] > 0
+    again = run_available(stream_time_to_trade(spark.readStream.schema(schema).parquet(base)), folder)
+    assert again.table.count() == 3 and again.read_rows == 0
+
+
+def test_late_rows_of_many_batches_are_counted(spark, monkeypatch):
+    """More micro-batches than a query keeps figures of by default, with the late row in the first ones."""
+    schema = "ts timestamp_ntz, message string"
+    base = work_dir(spark, "log-input")
+    hours = [0, 5, 6, 1] + [7 + i for i in range(101)]          # a row is late from the second batch after the watermark on
+    for hour in hours:
+        rows = [(datetime(2024, 1, 1) + timedelta(hours=hour), "<3>1 x")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+    stream = stream_errors_per_hour(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base))
+    run = run_available(stream, work_dir(spark, "t-many"))
+    assert run.read_rows == len(hours) and run.late_rows == 1
+
+
+def test_missing_figures_are_an_error(spark, many_files, monkeypatch):
+    from pulsegrid.streaming import rollups
+    monkeypatch.setattr(rollups, "_counts", lambda progress: {0: (0, 1), 2: (0, 1)})
+    with pytest.raises(RuntimeError, match="1 micro-batches"):
+        run_available(stream_errors_per_hour(as_logs(stream_of(spark, many_files))), work_dir(spark, "t-gap"))
