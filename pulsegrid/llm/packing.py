@@ -19,10 +19,11 @@ from .common import columns_of, map_arrow, stored
 WINDOW = 2048
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-PARTS = 64                # parts in which pieces of one length are numbered
+TOGETHER_RANKED = 100_000  # pieces a part has on average in which pieces of one length are numbered
+CELL = 4096               # places of one length that meet their pieces in one group
 TOGETHER = 500            # texts whose unknown runs are encoded together
 STEPS = 300               # iterations of the least-squares solver
-_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int"
+_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 def _shown() -> dict[int, int]:
@@ -117,13 +118,12 @@ def _cutter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for first in range(0, len(docs), TOGETHER):
                 for doc, found in zip(docs[first:first + TOGETHER], ids.encode(texts[first:first + TOGETHER]), strict=True):
                     data = found + end
-                    part = zlib.crc32(data) % PARTS if doc is None else doc % PARTS
-                    rows += [(doc, at // 4, len(piece := data[at:at + width]) // 4, zlib.crc32(piece), len(data) // 4, part)
+                    rows += [(doc, at // 4, len(piece := data[at:at + width]) // 4, zlib.crc32(piece), len(data) // 4)
                              for at in range(0, len(data), width)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int64(),) * 5
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"])
+                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     return cut
 
 
@@ -214,42 +214,58 @@ def patterns(histogram: np.ndarray) -> list[Pattern]:
     return found
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    Each document's ids, with the end id, are cut only after full windows. Pieces of one length are numbered in two steps and
-    meet the places that patterns have for this length, so no sequence needs its pieces in one task. Sequence ids
-    are gapless from 0. A null text is empty and has the end id alone; repeated rows are packed each.
-    """
-    import pandas as pd
-
-    cut = stored(pieces(columns_of(docs, "doc_id", "text"), tokenizer), "pieces")
-    counts = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
-    rows = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()      # one row per length, WINDOW at most
-    histogram = np.zeros(WINDOW + 1, dtype=np.int64)
-    for row in rows:
-        histogram[row["length"]] = row["n"]
-
+def _places(found: list[Pattern]) -> np.ndarray:
+    """Rows (length, low, high, first, offset): pieces `low` .. `high` - 1 of a length lie at `offset` of the sequences from `first` on."""
     taken = np.zeros(WINDOW + 1, dtype=np.int64)
     places, first = [], 0
-    for pattern in patterns(histogram):
+    for pattern in found:
         offset = 0
         for length in pattern.lengths:
             places.append((length, int(taken[length]), int(taken[length]) + pattern.repeats, first, offset))
             taken[length] += pattern.repeats
             offset += length
         first += pattern.repeats
-    names = ["length", "low", "high", "first", "offset"]
-    table = pd.DataFrame(places, columns=names, dtype="int64")
-    spots = docs.sparkSession.createDataFrame(table, "length bigint, low bigint, high bigint, first bigint, offset bigint")
+    return np.array(places, dtype=np.int64).reshape(-1, 5)
+
 
+def _ranked(cut: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pieces with `rank`, their number among those of their length: within parts, then over the sums of the parts."""
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = cut.withColumn("here", here).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("here"))
-    # What this list can hold depends on the window alone: at most 1024 pairs, 350,000 triples and a few thousand greedy patterns.
-    by_length = spots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "first", "offset"))).alias("spots"))
-    found = ranked.join(F.broadcast(by_length), "length")
-    lows = F.transform("spots", lambda s: s["low"])
-    spot = F.element_at("spots", F.size(F.filter(lows, lambda low: low <= F.col("rank"))))
-    return found.withColumn("s", spot).select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                             (F.col("s.first") + F.col("rank") - F.col("s.low")).alias("sequence_id"), F.col("s.offset").alias("offset"))
+    return cut.withColumn("here", here).join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("here")).drop("here", "before", "part")
+
+
+def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Each document's ids, with the end id, are cut only after full windows. Pieces of one length are numbered in two steps, in
+    parts by a hash of the stored row, as many as there are pieces for, whatever their ids. They meet the places that patterns have for this length in groups of
+    `CELL` numbers, in which each piece takes the last place that begins before it; so no sequence, length or place
+    needs its pieces in one task, and nothing is broadcast. Sequence ids are gapless from 0. A null text is empty and has the end
+    id alone; repeated rows are packed each.
+    """
+    import pandas as pd
+
+    cut = stored(pieces(columns_of(docs, "doc_id", "text"), tokenizer).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    parts = max(1, -(-cut.count() // TOGETHER_RANKED))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).drop("row")
+    counts = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    histogram = np.zeros(WINDOW + 1, dtype=np.int64)
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():       # one row per length, WINDOW at most
+        histogram[row["length"]] = row["n"]
+
+    # The window bounds this list: at most 1024 pairs, 350,000 triples and as many greedy patterns as the counts of a pattern can run out.
+    table = pd.DataFrame(_places(patterns(histogram)), columns=["length", "low", "high", "first", "offset"], dtype="int64")
+    spots = docs.sparkSession.createDataFrame(table, "length bigint, low bigint, high bigint, first bigint, offset bigint")
+    cell = lambda column: F.floor(F.col(column) / CELL)
+    spots = spots.withColumn("cell", F.explode(F.sequence(cell("low"), F.floor((F.col("high") - 1) / CELL))))
+    place = F.struct("low", "first", "offset")
+    starts = spots.select("length", "cell", F.greatest(F.col("low"), F.col("cell") * CELL).alias("rank"), place.alias("place"), F.lit(None).cast(
+        "struct<doc_id:bigint,start:bigint,ids_crc32:bigint,doc_tokens:bigint>").alias("piece"))
+    ranked = _ranked(cut, counts).select("length", cell("rank").alias("cell"), "rank", F.lit(None).cast("struct<low:bigint,first:bigint,offset:bigint>").alias("place"),
+                                         F.struct("doc_id", "start", "ids_crc32", "doc_tokens").alias("piece"))
+    # A place sorts before the piece that has its first number.
+    order = Window.partitionBy("length", "cell").orderBy("rank", F.col("piece").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(ranked).withColumn("s", F.last("place", ignorenulls=True).over(order)).where("piece IS NOT NULL")
+    return met.select("piece.doc_id", "piece.start", "length", "piece.ids_crc32", "piece.doc_tokens",
+                      (F.col("s.first") + F.col("rank") - F.col("s.low")).alias("sequence_id"), F.col("s.offset").alias("offset"))

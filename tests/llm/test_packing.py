@@ -120,3 +120,39 @@ def test_all_pairs_and_triples_are_offered():
     found = P.patterns(smooth)
     exact = sum(p.repeats for p in found if sum(p.lengths) == 2048 and len(p.lengths) <= 3)
     assert exact > 0.75 * sum(p.repeats for p in found)
+
+
+@pytest.mark.parametrize("ids", ["id * 64", "7", "CAST(NULL AS bigint)"])
+def test_no_part_of_a_length_is_hot(spark, monkeypatch, ids):
+    """Ids that share a factor, one id or none: the numbers of one length are still spread, and gapless."""
+    monkeypatch.setattr(P, "TOGETHER_RANKED", 50)
+    cut = spark.range(3000).selectExpr(f"{ids} AS doc_id", "id * 0 AS start", "CAST(2048 AS bigint) AS length", "id * 0 AS ids_crc32", "CAST(2048 AS bigint) AS doc_tokens")
+    monkeypatch.setattr(P, "pieces", lambda docs, tokenizer: cut)
+    seen, ranked = [], P._ranked
+    monkeypatch.setattr(P, "_ranked", lambda cut, counts: seen.append(counts) or ranked(cut, counts))
+    got = P.packed(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
+    assert sorted(r["sequence_id"] for r in got.collect()) == list(range(3000))
+    sizes = [r["n"] for r in seen[0].collect()]
+    assert len(sizes) == 60 and max(sizes) < 3 * 50
+
+
+def test_places_of_many_cells(spark, rows, monkeypatch):
+    """Places that span cells, begin with one or lie within one."""
+    monkeypatch.setattr(P, "CELL", 7)
+    pick = random.Random(6)
+    lengths = [pick.choice([2048, 1500, 548, 1024, 700, 648, 3]) for _ in range(2000)]
+    cut = spark.createDataFrame([(i, 0, n, i, n) for i, n in enumerate(lengths)], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    monkeypatch.setattr(P, "pieces", lambda docs, tokenizer: cut)
+    got = rows(P.packed(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")))
+    assert sorted((r["doc_id"], r["length"]) for r in got) == list(enumerate(lengths))
+    found = sequences(got)
+    assert sum(lengths) / (2048 * len(found)) > 0.97
+
+
+def test_the_list_of_places_has_a_bound():
+    """20 million pieces of all lengths: the list depends on the window, not on their number."""
+    random_ = np.random.default_rng(1)
+    histogram = np.bincount(np.minimum(2048, 1 + random_.exponential(500, 20_000_000).astype(int)), minlength=2049)
+    places = P._places(P.patterns(histogram))
+    assert len(places) < 1_200_000 and places.nbytes < 50_000_000
+    assert (np.bincount(places[:, 0], weights=places[:, 2] - places[:, 1], minlength=2049) == histogram).all()
