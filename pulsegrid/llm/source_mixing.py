@@ -52,12 +52,31 @@ def targets(sized: DataFrame) -> DataFrame:
     return shared.select("k", "source", "source_size", target.alias("target"))
 
 
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with `place`, their number from 0 among those of their k by the hash `h` and then `order`: within parts, then over the sums of the parts."""
+    rows = rows.withColumn("part", F.substring("h", 1, 3))
+    sums = rows.groupBy("k", "part").agg(F.count("*").alias("n"))
+    before = sums.select("k", "part", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before"))
+    here = F.row_number().over(Window.partitionBy("k", "part").orderBy("h", *order)) - 1
+    return rows.withColumn("here", here).join(before, ["k", "part"]).withColumn("place", F.col("before") + F.col("here")).drop("part", "here", "before")
+
+
+def shuffled(plan: DataFrame, block: int) -> DataFrame:
+    """(k, place, block): the blocks of each source in an order by hash. Sources are unfolded in chunks, so a large one is no single task."""
+    last = F.ceil(F.col("source_size") / block).cast("bigint") - 1
+    chunks = plan.where("target > 0 AND source_size > 0").select("k", last.alias("last")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / CHUNK))))
+    low = F.col("chunk") * CHUNK
+    blocks = chunks.repartition("k", "chunk").select("k", F.explode(F.sequence(low, F.least(low + (CHUNK - 1), F.col("last")))).alias("block"))
+    name = F.concat_ws(":", F.col("k").cast("string"), F.col("block").cast("string"))
+    return _numbered(blocks.withColumn("h", F.md5(name.cast("binary"))), "block").select("k", "place", "block")
+
+
 def schedule(plan: DataFrame, total: float, block: int) -> DataFrame:
-    """(slot, k, rank, block): which block of which source comes at each place of the mix.
+    """(slot, k, block): which block of which source comes at each place of the mix.
 
     Slot t falls on the point frac(t * golden ratio) of the cumulative weights. Such points spread evenly at every length, so each
     source comes in step with its weight. Slots of a source are ranked in two steps, within chunks and over chunk counts,
-    and take the source's shuffled blocks in turn, `MOST` rounds at most.
+    and take the source's blocks in shuffled order, in turn, `MOST` rounds at most.
     """
     spark = plan.sparkSession
     upto = F.sum("target").over(Window.orderBy("k"))
@@ -75,7 +94,8 @@ def schedule(plan: DataFrame, total: float, block: int) -> DataFrame:
     before = counts.select("k", "chunk", (F.sum("n").over(Window.partitionBy("k").orderBy("chunk")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("k", "chunk").orderBy("slot")) - 1
     ranked = placed.withColumn("here", here).join(before, ["k", "chunk"]).withColumn("rank", F.col("before") + F.col("here"))
-    return ranked.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "k", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    turns = ranked.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "k", (F.col("rank") % F.col("blocks")).alias("place"))
+    return turns.join(shuffled(plan, block), ["k", "place"]).select("slot", "k", "block")
 
 
 def lines(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -92,37 +112,35 @@ def lines(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("part", "upto", "before")
 
 
-def _rounds(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
-    """Words of each document that the first and the second round of its source's blocks take."""
-    times = slots.groupBy("k", "block").agg(F.count("*").alias("times"))
-    stop = F.col("start") + F.col("size")
-    over = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(stop - 1, F.col("start")) / block))))
-    shared = F.least(stop, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    joined = over.withColumn("shared", shared).join(times, ["k", "block"], "left")
-    take = lambda n: F.coalesce(F.sum(F.when(F.col("times") >= n, F.col("shared"))), F.lit(0)).cast("bigint")
-    return joined.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(take(1).alias("first"), take(2).alias("second"))
-
-
-def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of `docs`: row, doc_id, source, size, source_size, target, first, second; see `mixture`. `row` tells equal rows apart."""
-    sized = stored(sizes(columns_of(docs, "doc_id", "source", "text")), "sizes")
+def _taken(sized: DataFrame, block: int) -> DataFrame:
+    """A row per document and block that has words of it: row, doc_id, source, size, source_size, target, first (word of the document), n (words),
+    times and slot (how often and where first the mix takes the block). Empty documents have one row without words."""
     plan = stored(targets(sized), "targets")
     total = plan.agg(F.sum("target")).first()[0] or 0.0
-    slots = schedule(plan, total, block) if total else None
     placed = lines(sized, plan)
-    if slots is None:
-        none = F.lit(0).cast("bigint")
-        return placed.select("row", "doc_id", "source", "size", "source_size", F.lit(0.0).alias("target"), none.alias("first"), none.alias("second"))
-    return _rounds(placed, slots, block)
+    stop = F.col("start") + F.col("size")
+    over = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(stop - 1, F.col("start")) / block))))
+    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(stop, (F.col("block") + 1) * block)
+    over = over.select("row", "doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "k", "block",
+                       (low - F.col("start")).alias("first"), (high - low).alias("n"))
+    if not total:
+        return over.withColumns({"times": F.lit(0).cast("bigint"), "slot": F.lit(None).cast("bigint")})
+    times = schedule(plan, total, block).groupBy("k", "block").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+    return over.join(times, ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target, taken.
+    """Per row of `docs`: doc_id, size, source_size, target, taken, first_slot.
 
     Sizes are words; null and empty texts have none. Sources follow by code point, null last, as a source of its own.
-    A document's `taken` counts repeats and is at most twice its size. Equal rows may share their words unequally.
+    A document's `taken` counts repeats and is at most twice its size; `first_slot` is the place in the mix of the first
+    block with words of it, null without one. Equal rows may share their words unequally.
     """
-    return taken(docs, block).select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"))
+    sized = stored(sizes(columns_of(docs, "doc_id", "source", "text")), "sizes")
+    slot = F.min(F.when((F.col("n") > 0) & (F.col("times") > 0), F.col("slot")))
+    found = _taken(sized, block).groupBy("row", "doc_id", "size", "source_size", "target").agg(
+        F.sum(F.col("times") * F.col("n")).cast("bigint").alias("taken"), slot.alias("first_slot"))
+    return found.drop("row")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -151,26 +169,26 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return schedule(plan, total, block).select("slot", "k", "block").join(cut, ["k", "block"]).select(*names)
 
 
-def first_words(text: Column, size: Column, n: Column) -> Column:
-    """The first `n` words of a text of `size` words; the text as it is where those are all."""
-    return F.when(n >= size, text).otherwise(F.array_join(F.slice(words(text), 1, n.cast("int")), " "))
+def _passages(text: Column, parts: Column) -> Column:
+    """The words that `parts` name (first, n), with the white space that follows each in the text."""
+    runs = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    return F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(runs, p["first"].cast("int") + 1, p["n"].cast("int")))), "")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of the mix, with the columns of `docs`: a document comes once per round that takes words of it.
 
-    A document whose words a round takes in part has the first of them, joined by blanks, as its text.
+    Its text then has the words of the blocks that the round takes, in order, with the white space between them as it stands; a
+    document that is taken whole is as it was.
     """
-    key = F.to_json(F.struct(F.col("doc_id").cast("bigint").alias("d"), F.col("source").cast("string").alias("s"), F.col("size").alias("n")))
-    takes = taken(docs, block).select(key.alias("key"), F.struct("row", "first", "second").alias("t"))
-    takes = takes.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("takes"))   # as many as rows with one doc_id
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), word_count().alias("size"))
-    rows = rows.select("d", "size", F.to_json(F.struct(F.col("d.doc_id").cast("bigint").alias("d"), F.col("d.source").cast("string").alias("s"),
-                                                       F.col("size").alias("n"))).alias("key"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("size"))
-    rows = rows.withColumn("nth", nth).join(takes, "key").withColumn("t", F.element_at("takes", F.col("nth")))
-    rows = rows.withColumn("words", F.explode(F.filter(F.array("t.first", "t.second"), lambda n: n > 0)))
-    text = first_words(F.col("d.text"), F.col("size"), F.col("words"))
+    columns = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    sized = stored(sizes(columns, "d"), "sized-documents")
+    part = F.struct("first", "n", "times")
+    takes = _taken(sized.drop("d"), block).where("n > 0 AND times > 0").groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    rows = sized.select("row", "d", "size").join(takes, "row").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
+    rows = rows.withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("round"))).where(F.size("parts") > 0)
+    words = F.aggregate("parts", F.lit(0).cast("bigint"), lambda total, p: total + p["n"])
+    text = F.when(words >= F.col("size"), F.col("d.text")).otherwise(_passages(F.col("d.text"), F.col("parts")))
     return rows.select(F.col("d").withField("text", text).alias("d")).select("d.*")
 
 
@@ -190,10 +208,13 @@ i AS (SELECT k, ceil(source_size / {BLOCK})::bigint AS blocks, (sum(target) OVER
              CASE WHEN k = max(k) OVER () THEN 2.0 ELSE sum(target) OVER (ORDER BY k) / words END AS high FROM t, a WHERE target > 0),
 p AS (SELECT range AS slot, range * {GOLDEN}::double - floor(range * {GOLDEN}::double) AS point
       FROM range((SELECT coalesce(round_even(words / {BLOCK}, 0), 0)::bigint FROM a))),
-q AS (SELECT k, blocks, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM p JOIN i ON low <= point AND point < high),
-n AS (SELECT k, rank % blocks AS block, count(*) AS times FROM q WHERE rank < 2 * blocks GROUP BY ALL),
+q AS (SELECT slot, k, blocks, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM p JOIN i ON low <= point AND point < high),
+z AS (SELECT k, unnest(range(blocks)) AS block FROM i),
+y AS (SELECT k, block, row_number() OVER (PARTITION BY k ORDER BY md5(k || ':' || block), block) - 1 AS place FROM z),
+n AS (SELECT q.k, y.block, count(*) AS times, min(slot) AS slot FROM q JOIN y ON y.k = q.k AND y.place = q.rank % q.blocks WHERE rank < 2 * blocks GROUP BY ALL),
 l AS (SELECT s.*, t.k, t.source_size, t.target, sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size, r) - size AS start
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 x AS (SELECT r, doc_id, size, source_size, target, k, start, unnest(range((start // {BLOCK})::bigint, (greatest(start + size - 1, start) // {BLOCK})::bigint + 1)) AS block FROM l)
-SELECT doc_id, size, source_size, target, coalesce(sum(times * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}))), 0)::bigint AS taken
+SELECT doc_id, size, source_size, target, coalesce(sum(times * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}))), 0)::bigint AS taken,
+    min(slot) FILTER (WHERE size > 0) AS first_slot
 FROM x LEFT JOIN n USING (k, block) GROUP BY r, doc_id, size, source_size, target"""

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -29,14 +30,18 @@ def mixed(docs, block):
     for s in sources:
         edges.append((upto / words if words else 0, s))
         upto += target[s]
-    times = {}
+    times, orders = {}, {}
+    for k, s in enumerate(sources):
+        blocks = range(math.ceil(total[s] / block))
+        orders[s] = sorted(blocks, key=lambda b, k=k: (hashlib.md5(f"{k}:{b}".encode()).hexdigest(), b))
     ranks = dict.fromkeys(sources, 0)
     for t in range(round(words / block)):
         point = t * M.GOLDEN - math.floor(t * M.GOLDEN)
         s = [s for low, s in edges if low <= point and target[s]][-1]
         n = math.ceil(total[s] / block)
         if ranks[s] < 2 * n:
-            times[s, ranks[s] % n] = times.get((s, ranks[s] % n), 0) + 1
+            taken_block = orders[s][ranks[s] % n]
+            times[s, taken_block] = times.get((s, taken_block), 0) + 1
         ranks[s] += 1
     taken, at = {}, dict.fromkeys(sources, 0)
     for i, s, n in sorted(docs, key=lambda d: (hashlib.md5(str(d[0]).encode()).hexdigest(), d[0])):
@@ -72,9 +77,52 @@ def test_the_mix_has_the_words_taken(spark, rows, corpus):
     assert out.columns == df.columns
     words, got = {}, rows(out)
     for r in got:
-        assert r["text"].split() == [f"d{r['doc_id']}w{j}" for j in range(len(r["text"].split()))]
-        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
-    assert words == {r["doc_id"]: r["taken"] for r in rows(M.mixture(df)) if r["taken"]}
+        own = r["text"].split()
+        assert own == sorted(own, key=lambda w: int(w.split("w")[1])) and len(set(own)) == len(own) and all(w.startswith(f"d{r['doc_id']}w") for w in own)
+        words.setdefault(r["doc_id"], Counter()).update(own)
+    assert {i: sum(w.values()) for i, w in words.items()} == {r["doc_id"]: r["taken"] for r in rows(M.mixture(df)) if r["taken"]}
+    stream = {}
+    for r in rows(M.mixed_blocks(df)):
+        stream.setdefault(r["doc_id"], Counter()).update(r["words"])
+    assert words == stream                                     # the very words of the blocks that the mix takes
+
+
+def test_white_space_stays_as_it_is(spark, rows):
+    text = "\n".join(f"a{j}  b{j}\tc{j}." for j in range(500)) + "\n"
+    docs = [(i, text.replace("a", f"x{i}a"), "en", s, 1) for i, s in enumerate("abab")]
+    out = rows(M.mixed_documents(spark.createDataFrame(docs, DOCS)))
+    whole = {i: t for i, t, *_ in docs}
+    parts = [r for r in out if r["text"] != whole[r["doc_id"]]]
+    assert parts and len(parts) < len(out)
+    for r in parts:
+        lines = r["text"].split("\n")                            # but for one or two per block, lines are those of the text
+        assert sum(line in whole[r["doc_id"]] for line in lines) > 0.85 * len(lines) > 10 and len(r["text"]) < len(whole[r["doc_id"]])
+
+
+def test_blocks_are_shuffled(spark, rows, monkeypatch):
+    """Every block once, chunks or not; places of neighbours are as far apart as chance has them."""
+    plan = spark.createDataFrame([(0, "a", 64 * 1000 - 5, 9.0), (1, "b", 64, 9.0), (2, "c", 0, 0.0)], "k int, source string, source_size bigint, target double")
+    found = [sorted((r["k"], r["place"], r["block"]) for r in rows(M.shuffled(plan, 64)))]
+    monkeypatch.setattr(M, "CHUNK", 37)
+    found.append(sorted((r["k"], r["place"], r["block"]) for r in rows(M.shuffled(plan, 64))))
+    assert found[0] == found[1] and found[0][-1] == (1, 0, 0)
+    order = [b for k, _, b in found[0] if k == 0]
+    assert sorted(order) == list(range(1000)) and 250 < sum(abs(a - b) for a, b in zip(order, order[1:], strict=False)) / 999 < 420
+
+
+def test_first_slots(spark, rows, corpus):
+    df = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(n)), "en", s, 1) for i, s, n in corpus], DOCS)
+    first = {}
+    for r in rows(M.mixed_blocks(df)):
+        first[r["doc_id"]] = min(first.get(r["doc_id"], r["slot"]), r["slot"])
+    assert {r["doc_id"]: r["first_slot"] for r in rows(M.mixture(df)) if r["first_slot"] is not None} == first
+
+
+def test_rows_without_id_are_no_group(spark, rows):
+    """Rows without doc_id, of one source and size, each meet their own words."""
+    df = spark.createDataFrame([(None, f"r{i} " * 100, "en", "a", i) for i in range(300)], DOCS)
+    got = rows(M.mixed_documents(df))
+    assert all(set(r["text"].split()) == {f"r{r['n_chars']}"} for r in got)
 
 
 def test_sources_come_in_step(spark, rows):
