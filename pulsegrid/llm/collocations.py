@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, map_arrow, stored
-from .shingles import mix
 
 LEAST, SHARE, TOP = 10, 50, 2000
 NO_LANG = "und"
-BLOCK = 10_000_000        # bytes of text counted together inside a task
+BLOCK = 6_000_000         # bytes of text counted together inside a task
+HELD = 4 * BLOCK          # bytes of text of all languages that wait for that
 ROWS = 100_000            # rows a task hands on at a time
 CELLS = 1 << 26           # bits of the filter of frequent nodes: 8 MB at any size of the corpus
 CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -25,7 +25,6 @@ UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
 _LETTERS = bytes.maketrans(UPPER + CUTS + b"\t", LOWER + b"\n" * len(CUTS) + b" ")
 _BREAK, _SPACE = 10, 32
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -65,10 +64,11 @@ class _Graph:
         self.one, self.two = np.divmod(node, base)
 
     def cells(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The filter's bit of each node."""
-        own = xxhash.xxh3_64_intdigest(self.lang.encode())
-        word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=self.size)
-        return (mix(mix(word[one] + np.uint64(own)) * _ODD + word[two]) & np.uint64(CELLS - 1)).astype(np.int64)
+        """The filter's bit of each node; `_cell` is the same in Spark."""
+        own = np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), seed=42))
+        words = self.names.cast(pa.binary()).to_pylist()
+        word = np.fromiter((xxhash.xxh64_intdigest(w, seed=42) for w in words), dtype=np.uint64, count=self.size)
+        return (((word[one] >> np.uint64(7)) ^ word[two] ^ (own >> np.uint64(13))) & np.uint64(CELLS - 1)).astype(np.int64)
 
     def take(self, numbers: np.ndarray) -> pa.Array:
         return self.names.take(pa.array(numbers, pa.int64()))
@@ -91,8 +91,7 @@ def _flows(graph: _Graph) -> Iterator[pa.RecordBatch]:
     nothing = pa.array([""] * (len(begin) + 1), pa.string())
     w1 = pa.concat_arrays([graph.take(one[pair]), graph.take(one[begin]), pa.array([""], pa.string())])
     w2 = pa.concat_arrays([graph.take(two[pair]), nothing])
-    cell = np.concatenate([graph.cells(one[pair], two[pair]), np.zeros(len(nothing), dtype=np.int64)])
-    yield from graph.rows(w1, w2, pa.array(np.concatenate([flow[pair], per_word, [flow.sum()]]), pa.int64()), pa.array(cell))
+    yield from graph.rows(w1, w2, pa.array(np.concatenate([flow[pair], per_word, [flow.sum()]]), pa.int64()))
 
 
 def _edges(frequent: Broadcast, graph: _Graph) -> Iterator[pa.RecordBatch]:
@@ -119,7 +118,7 @@ def _blocks(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def _graphs(give, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What `give` finds in the local graphs of the texts of each language; a block is counted as soon as it is full."""
+    """What `give` finds in the local graphs of the texts of each language; enough texts are counted at a time."""
     waiting: dict[str, list[bytes]] = {}
     held = 0
 
@@ -134,7 +133,7 @@ def _graphs(give, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = text.as_py()
             waiting.setdefault(lang.as_py(), []).append(data)
             held += len(data)
-            if held >= BLOCK:
+            if held >= HELD:
                 yield from counted()
                 held = 0
     yield from counted()
@@ -143,9 +142,14 @@ def _graphs(give, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _PAIR, _EDGE = ["lang", "w1", "w2"], ["lang", "w1", "w2", "w3"]
 
 
+def _cell() -> Column:
+    low = F.call_function("shiftrightunsigned", F.xxhash64("w1"), F.lit(7)).bitwiseXOR(F.xxhash64("w2"))
+    return low.bitwiseXOR(F.call_function("shiftrightunsigned", F.xxhash64("lang"), F.lit(13))).bitwiseAND(F.lit(CELLS - 1))
+
+
 def _filter(nodes: DataFrame) -> bytes:
     """One bit per node's cell; CELLS / 8 bytes, whatever the number of nodes."""
-    place = F.col("cell") + 1
+    place = _cell() + 1
     parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     width = CELLS // 8 // 4096
     found = {r["part"]: bytes(r["bits"]) for r in parts.collect()}          # of 4096 bytes each
@@ -161,16 +165,17 @@ def weighted_graph(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Data
 
     Two passes over the texts. The first sends the flows of each block. A frequent edge joins two frequent nodes, so
     the second sends only edges whose nodes a bit filter of fixed size lets pass; all are then counted, whatever passed.
-    Every sum is combined before its shuffle, so a pair with many edges is no burden to any task.
+    Every sum is combined per block of text before it is sent, so a hot pair or triple is one row per block, and rows are dealt
+    out by the whole triple, so a pair with many edges is no burden to any task.
     """
     texts = columns_of(docs, "lang", "text").where("text <> ''").select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    local = map_arrow(texts, partial(_graphs, _flows), "lang string, w1 string, w2 string, flow bigint, cell bigint")
-    flow = local.groupBy(*_PAIR).agg(F.sum("flow").alias("n"), F.max("cell").alias("cell"))
+    local = map_arrow(texts, partial(_graphs, _flows), "lang string, w1 string, w2 string, flow bigint")
+    flow = local.repartition(*_PAIR).groupBy(*_PAIR).agg(F.sum("flow").alias("n"))
     flow = stored(flow.where((F.col("n") >= least) | (F.col("w1") == "")), "flow")
     nodes, words, totals = flow.where("w2 <> ''"), flow.where("w1 <> '' AND w2 = ''").select("lang", "w1", "n"), flow.where("w1 = ''").select("lang", "n")
     frequent = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
     going = map_arrow(texts, partial(_graphs, partial(_edges, frequent)), "lang string, w1 string, w2 string, w3 string, c bigint")
-    edges = stored(going.groupBy(*_EDGE).agg(F.sum("c").alias("n")).where(F.col("n") >= least), "edges")
+    edges = stored(going.repartition(*_EDGE).groupBy(*_EDGE).agg(F.sum("c").alias("n")).where(F.col("n") >= least), "edges")
     return edges, nodes.select(*_PAIR, "n"), words, totals
 
 
