@@ -49,23 +49,23 @@ def extract_identity(users: DataFrame) -> DataFrame:
         "coalesce(linked, cast(array() AS array<string>)) AS wallets")
 
 
-_OWNED = ["user_id", "label", "login_type", "contact", "email"]
+OWNED = ["user_id", "label", "login_type", "contact", "email"]
 
 
-def _wallets(users: DataFrame, order_col: str = "ingest_order") -> DataFrame:
+def wallet_rows(users: DataFrame, order_col: str = "ingest_order") -> DataFrame:
     """One row per user and linked wallet."""
     people = extract_identity(users if order_col == "ingest_order"
                               else users.withColumn("ingest_order", F.col(order_col)))
-    return people.select(F.explode("wallets").alias("wallet"), "ingest_order", *_OWNED)
+    return people.select(F.explode("wallets").alias("wallet"), "ingest_order", *OWNED)
 
 
-def _owner() -> Column:
-    return F.max_by(F.struct(*_OWNED), F.struct("ingest_order", "user_id"))
+def owner() -> Column:
+    return F.max_by(F.struct(*OWNED), F.struct("ingest_order", "user_id"))
 
 
 def wallet_identity(users: DataFrame, *, order_col: str = "ingest_order") -> DataFrame:
     """One row per lower-cased wallet; where users share one, the last by `order_col` owns it."""
-    return _wallets(users, order_col).groupBy("wallet").agg(_owner().alias("_owner")).select("wallet", "_owner.*")
+    return wallet_rows(users, order_col).groupBy("wallet").agg(owner().alias("_owner")).select("wallet", "_owner.*")
 
 
 def login_badge(login_type: str) -> Column:
@@ -79,7 +79,7 @@ def _people(identity: DataFrame) -> DataFrame:
                            F.col("contact").alias("_contact"), F.col("login_type").alias("_login"))
 
 
-def _with_labels(joined: DataFrame, wallet_col: str) -> DataFrame:
+def with_labels(joined: DataFrame, wallet_col: str) -> DataFrame:
     return joined.withColumns({
         "user_label": F.coalesce(F.when(F.length("_label") > 0, F.col("_label")),
                                  short_wallet(F.col(wallet_col))),
@@ -100,7 +100,7 @@ def enrich_identity(df: DataFrame, identity: DataFrame, wallet_col: str = "walle
     """
     key = F.concat(F.col("_wallet"), F.lit("")) if hot else F.col("_wallet")
     joined = df.join(_people(identity), F.lower(F.col(wallet_col)) == key, "left")
-    return _with_labels(joined, wallet_col)
+    return with_labels(joined, wallet_col)
 
 
 def enrich_top(df: DataFrame, people: DataFrame, wallet_col: str = "wallet_address") -> DataFrame:
@@ -116,8 +116,8 @@ def enrich_top(df: DataFrame, people: DataFrame, wallet_col: str = "wallet_addre
     columns = rows.columns
     wanted = F.broadcast(rows.select("_row", F.lower(F.col(wallet_col)).alias("_wallet")))
     if "linked_accounts" in people.columns:
-        found = _wallets(people).join(wanted, F.col("wallet") == F.col("_wallet"))
-        found = found.groupBy("_row").agg(_owner().alias("_owner")).select("_row", "_owner.*")
+        found = wallet_rows(people).join(wanted, F.col("wallet") == F.col("_wallet"))
+        found = found.groupBy("_row").agg(owner().alias("_owner")).select("_row", "_owner.*")
     else:
         found = people.join(wanted, F.col("wallet") == F.col("_wallet"))
     known = found.select("_row", F.col("label").alias("_label"), F.col("contact").alias("_contact"), F.col("login_type").alias("_login"))
@@ -127,7 +127,7 @@ def enrich_top(df: DataFrame, people: DataFrame, wallet_col: str = "wallet_addre
     empty = F.lit(None).cast(listed.schema["_list"].dataType).alias("_list")
     both = listed.unionByName(known.select(empty, "_row", "_label", "_contact", "_login"))
     folded = both.groupBy("_row").agg(*[F.max(c).alias(c) for c in ("_list", *blank)]).select("_list.*", *blank)
-    return _with_labels(folded, wallet_col).drop("_row")
+    return with_labels(folded, wallet_col).drop("_row")
 
 
 def matched_users(ev: DataFrame, identity: DataFrame) -> DataFrame:

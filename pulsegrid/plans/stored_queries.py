@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import bitmaps as B
 from ..operators import health as H
+from ..operators import identity_store as S
+from ..operators import logs as L
+from ..operators import trades as T
+from ..operators.normalize import normalize_trades
 from ..session import work_dir
-from ..sources import metric_series, metric_series_by_service, read_rollup, write_rollup
+from ..sources import metric_series, metric_series_by_service, newest_rows, read_rollup, write_rollup
 from .audience_queries import QUERIES as AUDIENCE
 from .audience_queries import TODAY
 from .base import Inputs, Query, day, moment
@@ -47,6 +51,44 @@ def _numbers(x: Inputs):
                                              F.min("user_no").alias("first"), F.max("user_no").alias("last"))
 
 
+def _owners(x: Inputs):
+    def write(path: str) -> None:
+        part = F.pmod("ingest_order", F.lit(3))            # three deliveries, the middle one twice
+        for n in (2, 0, 1, 0):
+            S.fold_owners(x.users.where(part == n), path)
+
+    return S.current_owners(x.spark, _table(x, "owners", write))
+
+
+def _bucketed(x: Inputs):
+    def write(path: str) -> None:
+        names = [f"{kind}_{path.rsplit('-', 1)[-1]}" for kind in ("facts", "people")]
+        S.write_bucketed(x.ev.select("session_id", "wallet_address"), x.identity, tuple(names), path)
+
+    path = _table(x, "bucketed", write)
+    return S.enrich_bucketed(x.spark, tuple(f"{kind}_{path.rsplit('-', 1)[-1]}" for kind in ("facts", "people")))
+
+
+def _by_day(x: Inputs, name: str, rows: Callable, column: str):
+    return x.spark.read.parquet(_table(x, f"{name}-by-day", lambda path: rows().repartition(column).write.partitionBy(column).parquet(path)))
+
+
+def _newest_trades(x: Inputs, kind: str, k: int = 50):
+    trades = _by_day(x, "trades", lambda: x.trades, "trade_date")
+    return normalize_trades(newest_rows(trades, k, "trade_date", F.col("type") == kind))
+
+
+def _newest_errors(x: Inputs, k: int = 30):
+    logs = _by_day(x, "logs", lambda: x.logs.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")
+    return newest_rows(logs, k, "day", L.priority(F.col("message")) <= C.ERROR_PRIORITY, "ts")
+
+
+def _as(name: str, build: Callable) -> Query:
+    """A second way to a registered result, with its SQL twin."""
+    known = {**AUDIENCE, **TRADING, **OPERATIONS}[name]
+    return Query(build, known.sql, known.digits)
+
+
 def _from_rollup(name: str, build: Callable) -> Query:
     """A metric result from the states of 300 seconds; its SQL twin reads the points."""
     known = OPERATIONS[name]
@@ -97,4 +139,12 @@ QUERIES: dict[str, Query] = {
     "bitmap_funnel_notification_trade": Query(
         lambda x: B.bitmap_funnel(_bitmaps(x), C.FUNNEL_NOTIFICATION_TRADE), TRADING["funnel_notification_trade"].sql,
         TRADING["funnel_notification_trade"].digits),
+    # --- stored identities ---
+    "owners_folded": _as("wallet_identity", _owners),
+    "enrich_identity_bucketed": _as("enrich_identity", _bucketed),
+    # --- newest folders first ---
+    "newest_swaps": _as("recent_swaps", lambda x: T.recent_swaps(_newest_trades(x, C.SWAP), x.users)),
+    "newest_perps": _as("recent_perps", lambda x: T.recent_perps(_newest_trades(x, C.PERPS), x.users)),
+    "newest_deposits": _as("recent_deposits", lambda x: T.recent_deposits(_newest_trades(x, C.DEPOSIT), x.users)),
+    "newest_errors": _as("recent_errors", lambda x: L.recent_errors(_newest_errors(x))),
 }
