@@ -258,8 +258,8 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     of_triples = of_triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.least(cut(1, first, tail), cut(2, head, third)).alias("cut"))
     found = of_pairs.union(of_triples).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = stored(found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top), "ranked")
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), "ranked")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = f"""

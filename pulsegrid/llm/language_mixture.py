@@ -17,6 +17,7 @@ BITS = 15             # n-grams are hashed to 2**BITS buckets; a model has one n
 BUCKETS = 1 << BITS
 SMOOTHING = 0.5
 ROUNDS = 8
+LANGUAGES = 256       # languages that are learned at most, those with the most documents: bounds the model, which the driver holds
 PENALTY = 3.0         # nats per further language and per logarithm of the number of words
 TOGETHER = 1 << 22    # characters times languages that are worked on at once
 
@@ -87,8 +88,10 @@ class LanguageModel:
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    """Smoothed n-gram log probabilities of each language over all documents that are not held out."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    """Smoothed n-gram log probabilities of each language over all documents that are not held out; of `LANGUAGES` languages at most."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull())
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isin([r["lang"] for r in known])).select("lang", "text")
     found = map_arrow(rows, _count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = found.toArrow()   # at most BUCKETS rows per language
     names = sorted(set(table.column("lang").to_pylist()))

@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -124,3 +126,55 @@ def test_sample_sees_every_source(spark, tmp_path):
     got = quality_rules.sample_rows(spark.read.parquet(f"{tmp_path}/docs")).collect()
     assert len(got) == quality_rules.SAMPLE and len({r["text"] for r in got}) == 8
     assert len(quality_rules.sample_rows(df.limit(30)).collect()) == 30 and quality_rules.sample_rows(df.limit(0)).count() == 0
+
+
+def plain_statistics(text):
+    """The transformed statistics of a text by definition."""
+    blank = " \t\n\x0b\x0c\r"
+    data = text.encode()
+    words = data.split()
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / len(sizes)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes))
+    count = lambda chars: sum(text.count(c) for c in chars)
+    upper = sum("A" <= c <= "Z" for c in text)
+    letters = sum("A" <= c <= "Z" or "a" <= c <= "z" for c in text) + sum(0xC2 <= b < 0xF5 for b in data)
+    ends = sum(c in ".,;:!?" and (i + 1 == len(text) or text[i + 1] in blank) for i, c in enumerate(text))
+    shares = [sum(x <= 3 for x in sizes) / len(words), len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words),
+              len(set(lines)) / len(lines), upper / max(letters, 1), count("0123456789") / len(data), count(".,;:") / len(words), count("!?") / len(words),
+              count("|/\\_") / len(words), count("#*$%&<>@^~=+{}[]") / len(words), ends / len(words)]
+    return [math.log(mean), math.log(1 + spread), *[math.log(0.01 + x) for x in shares]], len(words)
+
+
+def test_classifier_equals_a_plain_version(spark, rows):
+    """Means, shrunken covariances, and log densities from determinants and solved systems, without any factor."""
+    pick = random.Random(21)
+    good = lambda: " ".join(pick.choices(PROSE.split(), k=pick.randint(5, 120))) + pick.choice([".", "!", "", " é"])
+    bad = lambda: " ".join(pick.choice(["###", "BUY", "now!!", "77", "|", "x"]) + pick.choice(["", "%", "\n"]) for _ in range(pick.randint(3, 80)))
+    texts = {i: (good() if pick.random() < 0.85 else bad()) if i % 3 else (bad() if pick.random() < 0.9 else good()) for i in range(300)} | {900: "", 901: None}
+    labels = {i: int(i % 3 != 0) for i in range(300) if i % 5}
+    got = rows(C.quality_scores(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3),
+                                spark.createDataFrame([(i, y, 0) for i, y in labels.items()], LABELS)))
+    raw = {i: plain_statistics(t) for i, t in texts.items() if t and t.split()}
+    average = np.mean([s for s, _ in raw.values()], axis=0)
+    x = {i: average + (np.array(s) - average) * n / (n + C.STEADY) for i, (s, n) in raw.items()}
+    learn = [(x[i], y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2 and i in x]
+    own = [np.array([v for v, y in learn if y == k]) for k in (0, 1)]
+    within = [(v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) for v in own]
+    d, everything = len(average), sum(map(len, own))
+    scale = np.sqrt(np.maximum(np.diag(within[0] + within[1]) / everything, 1e-6))
+    pooled = (within[0] + within[1]) / everything / np.outer(scale, scale)
+
+    def density(v, k):
+        n = len(own[k])
+        part = max(0.05, d / (d + n))
+        cov = (1 - part) * within[k] / n / np.outer(scale, scale) + part * pooled
+        cov = 0.99 * cov + 0.01 * max(np.trace(cov) / d, 1e-3) * np.eye(d)
+        off = (v - own[k].mean(axis=0)) / scale
+        return math.log(n / everything) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * off @ np.linalg.solve(cov, off)
+
+    for r in got:
+        want = 0.0 if r["doc_id"] not in x else 1 / (1 + math.exp(min(500, max(-500, density(x[r["doc_id"]], 0) - density(x[r["doc_id"]], 1)))))
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7), r["doc_id"]
+    assert 50 < sum(r["predicted"] for r in got) < 250
