@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..operators import audience as A
 from ..operators import bitmaps as B
+from ..operators import funnels as U
 from ..operators import health as H
 from ..operators import identity_store as S
 from ..operators import logs as L
+from ..operators import notifications as M
 from ..operators import trades as T
-from ..operators.normalize import normalize_trades
+from ..operators.normalize import normalize_events, normalize_trades, real_users
 from ..session import work_dir
-from ..sources import metric_series, metric_series_by_service, newest_rows, read_rollup, write_rollup
+from ..sources import metric_series, metric_series_by_service, newest_rows, read_rollup, write_rollup, write_shredded_events
 from .audience_queries import QUERIES as AUDIENCE
 from .audience_queries import TODAY
 from .base import Inputs, Query, day, moment
@@ -73,6 +76,11 @@ def _by_day(x: Inputs, name: str, rows: Callable, column: str):
     return x.spark.read.parquet(_table(x, f"{name}-by-day", lambda path: rows().repartition(column).write.partitionBy(column).parquet(path)))
 
 
+def _shredded(x: Inputs):
+    path = _table(x, "shredded", lambda path: write_shredded_events(x.events, path))
+    return real_users(normalize_events(x.spark.read.parquet(path)))
+
+
 def _newest_trades(x: Inputs, kind: str, k: int = 50):
     trades = _by_day(x, "trades", lambda: x.trades, "trade_date")
     return normalize_trades(newest_rows(trades, k, "trade_date", F.col("type") == kind))
@@ -147,4 +155,8 @@ QUERIES: dict[str, Query] = {
     "newest_perps": _as("recent_perps", lambda x: T.recent_perps(_newest_trades(x, C.PERPS), x.users)),
     "newest_deposits": _as("recent_deposits", lambda x: T.recent_deposits(_newest_trades(x, C.DEPOSIT), x.users)),
     "newest_errors": _as("recent_errors", lambda x: L.recent_errors(_newest_errors(x))),
+    # --- shredded metadata ---
+    "shredded_session_durations": _as("session_durations", lambda x: A.session_durations(_shredded(x))),
+    "shredded_deposits_by_provider": _as("deposits_by_provider", lambda x: U.deposits_by_provider(_shredded(x))),
+    "shredded_top_tapped_tickers": _as("top_tapped_tickers", lambda x: M.top_tapped_tickers(_shredded(x))),
 }
