@@ -58,7 +58,7 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     sums = rows.groupBy("k", "part").agg(F.count("*").alias("n"))
     before = sums.select("k", "part", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before"))
     here = F.row_number().over(Window.partitionBy("k", "part").orderBy("h", *order)) - 1
-    return rows.withColumn("here", here).join(before, ["k", "part"]).withColumn("place", F.col("before") + F.col("here")).drop("part", "here", "before")
+    return rows.withColumn("here", here).join(before.hint("merge"), ["k", "part"]).withColumn("place", F.col("before") + F.col("here")).drop("part", "here", "before")
 
 
 def shuffled(plan: DataFrame, block: int) -> DataFrame:
@@ -95,7 +95,8 @@ def schedule(plan: DataFrame, total: float, block: int) -> DataFrame:
     here = F.row_number().over(Window.partitionBy("k", "chunk").orderBy("slot")) - 1
     ranked = placed.withColumn("here", here).join(before, ["k", "chunk"]).withColumn("rank", F.col("before") + F.col("here"))
     turns = ranked.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "k", (F.col("rank") % F.col("blocks")).alias("place"))
-    return turns.join(shuffled(plan, block), ["k", "place"]).select("slot", "k", "block")
+    # Blocks are as many as slots; what they unfold from is small, which is no reason to broadcast them.
+    return turns.join(shuffled(plan, block).hint("merge"), ["k", "place"]).select("slot", "k", "block")
 
 
 def lines(sized: DataFrame, plan: DataFrame) -> DataFrame:
